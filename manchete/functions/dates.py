@@ -10,7 +10,7 @@ from manchete import schema as S
 # "5 junho 2025": one- or two-digit day, month name, four-digit year, nothing else.
 _DATE_TEXT = (
     r"^(3[01]|[12][0-9]|0[1-9]|[1-9]| [1-9])"
-    rf"[{S.WHITESPACE}]+([^{S.WHITESPACE}]+)[{S.WHITESPACE}]+([0-9]{{4}})\z"
+    rf"[{S.WHITESPACE}]+(\p{{L}}+)[{S.WHITESPACE}]+([0-9]{{4}})\z"
 )
 
 
@@ -28,7 +28,9 @@ def parse_date(c: Column) -> Column:
     parsed = F.try_to_date(
         F.concat(year, F.lit("-"), number.cast("string"), F.lit("-"), F.btrim(day)), "y-M-d"
     )
-    return F.when(parsed.between(F.lit(S.FIRST_DATE).cast("date"), F.lit(S.LAST_DATE).cast("date")), parsed)
+    # As a one-element array, so that the range test does not parse the text again.
+    first, last = (F.lit(d).cast("date") for d in (S.FIRST_DATE, S.LAST_DATE))
+    return F.get(F.filter(F.array(parsed), lambda d: d.between(first, last)), 0)
 
 
 def month_name(number: Column) -> Column:

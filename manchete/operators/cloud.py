@@ -53,9 +53,12 @@ def cloud_terms(
     stop = portuguese_stop_words() if stop_words is None else stop_words
     stop = sorted({w.lower() for w in stop})
 
+    # The test of the count is always true. Without it the optimiser moves the filters
+    # below the aggregate, where they would run once per token.
+    word = F.when(F.col("n") > 0, cut_possessive(F.col("palavra")))
     spellings = (
         _vocabulary(df, fields, row_id)
-        .withColumn("palavra", cut_possessive(F.col("palavra")))
+        .withColumn("palavra", word)
         .where(~is_number(F.col("palavra")))
         .withColumn("termo", F.lower("palavra"))
         .where(~F.col("termo").isin(stop))

@@ -28,7 +28,10 @@ def _date_totals(df: DataFrame) -> DataFrame:
     if "data_dt" in df.columns:
         totals = df.groupBy("data_dt").agg(F.count("*").alias("total_noticias"))
     else:
-        totals = _date_text_totals(df).withColumn("data_dt", parse_date(F.col("data_pura")))
+        # The test of the total is always true. Without it the optimiser moves filters
+        # on the date below the aggregate, where every row's text would be parsed.
+        date = F.when(F.col("total_noticias") > 0, parse_date(F.col("data_pura")))
+        totals = _date_text_totals(df).select(date.alias("data_dt"), "total_noticias")
     return totals.where(F.col("data_dt").isNotNull())
 
 

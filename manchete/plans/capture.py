@@ -9,6 +9,7 @@ from manchete.operators.selection import first_articles, first_pages, usable_hit
 from manchete.sinks.csv_tables import write_articles
 from manchete.sources.captured_pages import extract_articles, extract_hits
 from manchete.sources.site_profile import SiteProfile
+from manchete.workspace import materialise
 
 
 def capture_articles(
@@ -32,7 +33,9 @@ def capture_articles(
     hits = extract_hits(list_pages, profile)
     if max_articles is not None:
         hits = first_articles(hits, max_articles, total_pages)
-    return join_details(usable_hits(hits), extract_articles(article_pages, profile))
+    # Written once: the join reads the hits twice, to find hot links and to join them.
+    hits = materialise(usable_hits(hits))
+    return join_details(hits, extract_articles(article_pages, profile))
 
 
 def run_capture(

@@ -68,7 +68,8 @@ def _parsed(
         for batch in batches:
             rows = []
             for page in batch.to_pylist():
-                rows.extend(read(page))
+                if page["html"] is not None:
+                    rows.extend(read(page))
                 if len(rows) >= _ROWS_PER_BATCH:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                     rows = []
@@ -173,7 +174,7 @@ def extract_hits(pages: DataFrame, profile: SiteProfile) -> DataFrame:
 
     Rows keep what was found: a hit without link or title has nulls there.
     """
-    pages = pages.select(F.col("page_no").cast("int"), "html").where("html is not null")
+    pages = pages.select(F.col("page_no").cast("int"), "html")
     return _parsed(pages, _HITS_DDL, _HITS_ARROW, _hit_rows(profile))
 
 
@@ -183,7 +184,7 @@ def extract_articles(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     ``coletado`` says whether the page carries the article signature; without it the
     page counts as not collected (see :func:`manchete.operators.capture.join_details`).
     """
-    pages = pages.select(F.col("page_id").cast("bigint"), "url", "html").where("html is not null")
+    pages = pages.select(F.col("page_id").cast("bigint"), "url", "html")
     raw = _parsed(pages, _FRAGMENTS_DDL, _FRAGMENTS_ARROW, _article_rows(profile))
     return raw.select(
         "page_id",
@@ -209,7 +210,7 @@ def declared_totals(pages: DataFrame, profile: SiteProfile) -> DataFrame:
         info = page.find(profile.page_info)
         yield {"page_no": row["page_no"], "info": None if info is None else page.text(info)}
 
-    pages = pages.select(F.col("page_no").cast("int"), "html").where("html is not null")
+    pages = pages.select(F.col("page_no").cast("int"), "html")
     declared = fields.declared_pages(F.col("info"))
     return _parsed(pages, _INFO_DDL, _INFO_ARROW, read).select(
         "page_no",

@@ -89,9 +89,10 @@ def raw_articles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def order_dates(spark: SparkSession, sf: str) -> DataFrame:
+def order_dates(spark: SparkSession, sf: str, spread_by: str | None = None) -> DataFrame:
     """Orders as articles that carry only a Portuguese date text."""
-    orders = read_table(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_orderpriority", "o_orderdate"])
+    columns = ["o_orderkey", "o_orderpriority", "o_orderdate"]
+    orders = read_table(spark, f"{sf}/orders.parquet", columns, spread_by=spread_by)
     return orders.select(
         "o_orderkey",
         F.col("o_orderpriority").alias("titulo"),
