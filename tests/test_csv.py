@@ -1,0 +1,78 @@
+import csv
+import datetime as dt
+
+from manchete import schema as S
+from manchete.functions.dates import with_dates
+from manchete.sinks import csv_tables
+from manchete.sources.news_csv import decode_missing, read_news_csv
+
+ROW = {
+    "titulo": 'Um "título", com vírgula',
+    "subtitulo": " espaços ",
+    "data_pura": "11 de junho de 2025",
+    "horario": "N/A",
+    "link_noticia": "https://x.example/1",
+    "texto_completo": 'linha 1\nlinha "2"\r\n\n\\fim\\',
+    "link_imagem_principal": None,
+    "tem_video": True,
+    "nome_reporter": "Ana\xa0Lima",
+    "tags_noticia": "a, b",
+}
+
+
+def test_reads_what_a_csv_writer_wrote(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.DictWriter(f, fieldnames=list(S.ARTICLE_COLUMNS))
+        w.writeheader()
+        w.writerows([ROW, ROW | {"titulo": "", "tem_video": False, "tags_noticia": "NaN"}])
+    a, b = read_news_csv(spark, str(path)).collect()
+    # Where rows end in CR LF, a CR LF inside a cell comes back as LF.
+    body = ROW["texto_completo"].replace("\r\n", "\n")
+    assert a.asDict() == ROW | {"horario": None, "texto_completo": body}
+    assert (b.titulo, b.tem_video, b.tags_noticia) == (None, False, None)
+    assert read_news_csv(spark, str(path)).schema["tem_video"].dataType.simpleString() == "boolean"
+
+
+def test_row_ids_follow_the_file(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("titulo\n" + "".join(f"t{i}\n" for i in range(500)), encoding="utf-8")
+    rows = read_news_csv(spark, str(path), row_id="row_id").orderBy("row_id").collect()
+    assert [r.titulo for r in rows] == [f"t{i}" for i in range(500)]
+
+
+def test_every_missing_value_token(spark):
+    values = [*S.NA_TOKENS, "N/A ", "na", "Nan", "0", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r.v for r in decode_missing(df).orderBy("i").collect()]
+    assert got == [None] * len(S.NA_TOKENS) + ["N/A ", "na", "Nan", "0", None]
+
+
+def test_articles_round_trip(spark, tmp_path):
+    schema = S.ARTICLE
+    df = spark.createDataFrame([tuple(ROW[c] for c in S.ARTICLE_COLUMNS)], schema)
+    assert csv_tables.write_articles(df, str(tmp_path / "a"))
+    assert read_news_csv(spark, str(tmp_path / "a")).first().asDict() == ROW | {"horario": None}
+    assert not csv_tables.write_articles(df.limit(0), str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
+
+
+def test_null_is_an_empty_cell(spark, tmp_path):
+    csv_tables.write_csv(spark.createDataFrame([("a", None, "")], "x string, y string, z string").coalesce(1), str(tmp_path / "c"))
+    (part,) = (tmp_path / "c").glob("part-*.csv")
+    assert part.read_text() == 'x,y,z\na,,""\n'
+
+
+def test_cleaned_table_round_trip_keeps_types(spark, tmp_path):
+    df = with_dates(spark.createDataFrame([tuple(ROW[c] for c in S.ARTICLE_COLUMNS)], S.ARTICLE))
+    df = df.drop("subtitulo").selectExpr("1 as outra", "*")
+    csv_tables.write_clean_articles(df, str(tmp_path / "d"))
+    back = read_news_csv(spark, str(tmp_path / "d"))
+    assert back.columns == [c for c in (*S.ARTICLE_COLUMNS, *S.DATE_COLUMNS) if c != "subtitulo"]
+    row = back.first()
+    assert (row.data_dt, row.ano_publicacao, row.mes_publicacao, row.mes_numero) == (dt.date(2025, 6, 11), 2025, "junho", 6)
+
+
+def test_integer_column_with_gaps(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("titulo,mes_numero\na,6.0\nb,\n", encoding="utf-8")
+    assert [r.mes_numero for r in read_news_csv(spark, str(tmp_path / "e.csv")).collect()] == [6, None]

@@ -1,0 +1,207 @@
+import pytest
+
+from manchete.sources._html import PageIndex
+from manchete.sources.captured_pages import declared_totals, extract_articles, extract_hits
+from manchete.sources.site_profile import SiteProfile, generic_profile
+
+BASE = "https://www.jornal.example"
+SITE = SiteProfile(BASE)
+SIGNED = '<div class="a cp023-assinatura-do-artigo"></div>'
+BODY = "read-controller materia__tts article-whole article-body"
+
+
+def articles(spark, *pages):
+    df = spark.createDataFrame(
+        [(i, f"{BASE}/{i}", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string"
+    )
+    return extract_articles(df, SITE).orderBy("page_id").collect()
+
+
+def hits(spark, *pages):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages, 1)], "page_no int, html string")
+    rows = extract_hits(df, SITE).orderBy("page_no", "pos").collect()
+    return [tuple(r) for r in rows]
+
+
+def author(inner):
+    return f'<div class="cmp__author-info"><span class="x cmp__author-name">{inner}</span></div>'
+
+
+def stamp(text):
+    return f'<span class="cmp__author-publication"><b>x</b><span>{text}</span></span>'
+
+
+def test_text_joins_inner_nodes_with_or_without_blanks():
+    page = PageIndex("<p> a <b>b</b> c &amp; d<!-- x --> e <script>no</script></p>")
+    p = page.find(("p", None))
+    assert page.text(p) == "abc & de"
+    assert page.text(p, " ") == "a b c & d e"
+
+
+def test_paragraphs_close_at_the_next_one_and_at_their_parent():
+    page = PageIndex("<div><p>a<b>b<p>c</div>d<p>e")
+    assert [page.text(i) for i in page.find_all(("p", None))] == ["ab", "c", "e"]
+    assert page.text(page.find(("div", None))) == "abc"
+
+
+def test_void_elements_and_stray_end_tags_do_not_nest():
+    page = PageIndex("<ul><li>a<br>b<img src=x>c</li></i></p><li>d</ul>")
+    assert [page.text(i) for i in page.find_all(("li", None))][0] == "abc"
+
+
+@pytest.mark.parametrize(
+    "cls, wanted, found",
+    [
+        ("a b", "a", True),
+        ("a b", "b", True),
+        ("a b", "a b", True),
+        (" a   b ", "a b", True),
+        ("b a", "a b", False),
+        ("a b c", "a b", False),
+        ("ab", "a", False),
+    ],
+)
+def test_class_matching(cls, wanted, found):
+    assert (PageIndex(f'<div class="{cls}">x</div>').find(("div", wanted)) is not None) is found
+
+
+def test_hits(spark):
+    page = """<div class="pagination__info">Página 1 de 37</div><ol>
+      <li class="ais-Hits-item"><a class="search-results" href="/n/1?a=1&amp;b=2">
+        <h2 class="search-results__texto--title"> Um <b>título</b></h2>
+        <h3 class="search-results__texto--subtitle">Sub &amp; tal</h3></a></li>
+      <li class="other"><a class="search-results" href="/no"></a></li>
+      <li class="x ais-Hits-item"><h2 class="search-results__texto--title">Sem link</h2></li>
+      <li class="ais-Hits-item"><a class="search-results" href="https://fora.example/2">
+        <h2 class="search-results__texto--title">Dois</h2></a></li>
+      <li class="ais-Hits-item"><a class="search-results"><h2 class="search-results__texto--title">Sem href</h2></a></li>
+    </ol>"""
+    assert hits(spark, page, "<p>nada</p>", None) == [
+        (1, 0, "Um título", "Sub & tal", f"{BASE}/n/1?a=1&b=2"),
+        (1, 1, None, None, None),
+        (1, 2, "Dois", None, "https://fora.example/2"),
+        (1, 3, "Sem href", None, None),
+    ]
+
+
+def test_declared_totals(spark):
+    pages = [
+        '<div class="pagination__info"> Página 1 de <b>37</b></div>',
+        '<div class="pagination__info">Página 1 de muitas</div>',
+        "<div>Página 1 de 3</div>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages, 1)), "page_no int, html string")
+    got = [tuple(r) for r in declared_totals(df, SITE).orderBy("page_no").collect()]
+    # Inner nodes are joined without blanks, so "de" and "37" touch on the first page.
+    assert got == [(1, None, None), (2, None, None), (3, None, None)]
+    whole = spark.createDataFrame([(1, '<div class="pagination__info">Página 1 de 37</div>')], df.schema)
+    assert tuple(declared_totals(whole, SITE).first()) == (1, 37, 296)
+
+
+def test_author_places_and_byline(spark):
+    got = articles(
+        spark,
+        author("<span>Por Ana  Lima</span>"),
+        author("<a>REDAÇÃO</a>"),
+        author(" Portela\n e  Silva "),
+        author("<a>a</a><span>b</span>"),
+        "<span class='cmp__author-name'>fora</span>",
+    )
+    assert [r.nome_reporter for r in got] == ["Ana Lima", "", "tela e Silva", "b", None]
+
+
+def test_stamp(spark):
+    got = articles(
+        spark,
+        stamp("11 de junho de 2025 | 18:05 - Atualizado em 12"),
+        stamp("11 de junho de 2025"),
+        stamp("1 de maio de 2024|07:00|x"),
+        stamp(""),
+        '<span class="cmp__author-publication">sem</span>',
+    )
+    assert [(r.data_pura, r.horario) for r in got] == [
+        ("11 de junho de 2025", "18:05"),
+        ("11 de junho de 2025", "N/A"),
+        ("1 de maio de 2024", "07:00"),
+        ("", "N/A"),
+        (None, None),
+    ]
+
+
+def test_body(spark):
+    got = articles(
+        spark,
+        f'<div class="{BODY}"><p> um <b>dois</b> </p><div><p>\xa0</p></div><p>três\nquatro</p></div><p>fora</p>',
+        f'<div class="{BODY} mais"><p>x</p></div>',
+        f'<div class="{BODY}">sem parágrafo</div>',
+    )
+    assert [r.texto_completo for r in got] == ["umdois\ntrês\nquatro", None, ""]
+
+
+def test_image(spark):
+    def gallery(src):
+        return f'<div class="gallery__container gallery_highlight"><img class="gallery__image" {src}></div>'
+
+    got = articles(
+        spark,
+        gallery('src="/foto/1.jpg"'),
+        gallery('src="http://x.example/2.jpg"'),
+        gallery('data-src="/3.jpg"'),
+        '<div class="gallery__container"><img class="gallery__image" src="/4.jpg"></div>',
+    )
+    assert [r.link_imagem_principal for r in got] == [f"{BASE}/foto/1.jpg", "http://x.example/2.jpg", None, None]
+
+
+def test_video_rules(spark):
+    def frame(src):
+        return f'<div class="c-news-body"><iframe {src}></iframe></div>'
+
+    got = articles(
+        spark,
+        '<iframe class="c-video__frame"></iframe>',
+        "<video></video>",
+        frame('src="https://player.vimeo.com/video/1"'),
+        frame('src="https://cdn.jornaljornal.example/videos/1"'),
+        frame('src="https://www.youtube.com/embed/G8jXv_yjVVI?si=A-jPxoZqLkP8I1Ry&amp;x=1"'),
+        frame('src="https://www.youtube.com/embed/outro"'),
+        frame(""),
+        '<iframe src="https://player.vimeo.com/video/1"></iframe>',
+    )
+    assert [r.tem_video for r in got] == [True, True, True, True, True, False, False, False]
+
+
+def test_tags(spark):
+    def tags(inner):
+        return f'<div class="tags"><ul class="cmp__tagbox">{inner}</ul></div>'
+
+    got = articles(
+        spark,
+        tags('<li><a class="label__tag"> Galo </a></li><a class="label__tag">Minas <b>Gerais</b></a><a>x</a>'),
+        tags(""),
+        '<ul class="cmp__tagbox"><a class="label__tag">fora</a></ul>',
+    )
+    assert [r.tags_noticia for r in got] == ["Galo, MinasGerais", "N/A", "N/A"]
+
+
+def test_signature_decides_whether_a_page_counts(spark):
+    assert [r.coletado for r in articles(spark, SIGNED, "<div></div>")] == [True, False]
+
+
+def test_generic_profile(spark):
+    df = spark.createDataFrame(
+        [(1, "u", "<ul><li><a href='/a'> A </a></li></ul><article><h1>t</h1><p>x<p>y</article>")],
+        "page_id bigint, url string, html string",
+    )
+    row = extract_articles(df, generic_profile(BASE)).first()
+    assert (row.coletado, row.texto_completo, row.tags_noticia) == (True, "x\ny", "N/A")
+    from pyspark.sql import functions as F
+
+    hit = extract_hits(df.withColumn("page_no", F.lit(1)), generic_profile(BASE)).first()
+    assert tuple(hit) == (1, 0, "A", None, f"{BASE}/a")
+
+
+def test_html_is_not_carried_on(spark):
+    df = spark.createDataFrame([(1, "u", "x", "y")], "page_id bigint, url string, html string, outra string")
+    plan = extract_articles(df, SITE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "outra" not in plan.split("MapInArrow")[0]
+    assert "html" not in extract_articles(df, SITE).columns
