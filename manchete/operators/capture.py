@@ -45,8 +45,10 @@ def join_details(
 ) -> DataFrame:
     """Left outer join hit → article; what was not collected gets sentinel fields.
 
-    Every hit gives one row, duplicates included. If some links carry very many hits,
-    their rows are spread over several tasks by a chunk number.
+    Every hit gives one row, duplicates included. Most links are joined on the
+    partitioning that picking one article per link leaves behind, so bodies are shuffled
+    once. Links with very many hits are joined apart, their hits spread over several
+    tasks by a chunk number.
     """
     hot = (
         hits.groupBy("link_noticia")
@@ -59,15 +61,27 @@ def join_details(
             F.least(F.ceil(F.col("n") / hot_link_hits), F.lit(_MAX_CHUNKS)).cast("int").alias("chunks"),
         )
     )
-    chunks = F.coalesce(F.col("chunks"), F.lit(1))
-    spread_hits = hits.join(F.broadcast(hot), "link_noticia", "left").select(
-        *hits.columns, F.pmod(F.xxhash64("page_no", "pos"), chunks).cast("int").alias("chunk")
+    marked_hits = hits.join(F.broadcast(hot), "link_noticia", "left")
+    marked_articles = one_article_per_link(articles).join(F.broadcast(hot), "link_noticia", "left")
+
+    usual = marked_hits.where("chunks is null").drop("chunks").join(
+        marked_articles.where("chunks is null").drop("chunks"), "link_noticia", "left"
     )
-    single = one_article_per_link(articles)
-    copies = single.join(F.broadcast(hot), "link_noticia", "left").select(
-        *single.columns, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
+    chunk = F.pmod(F.xxhash64("page_no", "pos"), "chunks").cast("int")
+    split = (
+        marked_hits.where("chunks is not null")
+        .withColumn("chunk", chunk)
+        .drop("chunks")
+        .join(
+            marked_articles.where("chunks is not null")
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .drop("chunks"),
+            ["link_noticia", "chunk"],
+            "left",
+        )
+        .drop("chunk")
     )
-    joined = spread_hits.join(copies, ["link_noticia", "chunk"], "left")
+    joined = usual.unionByName(split)
     collected = F.coalesce(F.col("coletado"), F.lit(False))
     return joined.select(
         "page_no",

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manchete import schema as S
 from manchete.functions.text import kept_words, portuguese_stop_words, split_tags
 from manchete.operators.ranking import arrival, row_key, top_by_frequency
+from manchete.workspace import materialise
 
 # Sections are numbered field by field, words before bigrams before trigrams.
 _SIZES = (1, 2, 3)
 _TAG_SECTION = len(S.TEXT_FIELDS) * len(_SIZES) + 1
 
+# Hash buckets per section of the two-pass count, and how many of them it counts exactly.
+_BUCKETS = 1 << 20
+_HEAVY_BUCKETS = 4096
+
 
 def section_labels() -> dict[int, str]:
     labels = {
@@ -91,11 +96,15 @@ def _tags(df: DataFrame, row_id: str) -> DataFrame:
     )
 
 
-def _rank(terms: DataFrame, limit: int) -> DataFrame:
-    """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms."""
-    counted = terms.groupBy("secao", "termo").agg(
+def _counted(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("secao", "termo").agg(
         F.count("*").alias("frequencia"), F.min("chegada").alias("primeira")
     )
+
+
+def _rank(terms: DataFrame, limit: int, two_pass: bool = False) -> DataFrame:
+    """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms."""
+    counted = count_frequent(terms, limit) if two_pass else _counted(terms)
     labels = section_labels()
     names = F.array(*(F.lit(labels[i]) for i in sorted(labels)))
     return top_by_frequency(counted, "secao", limit).select(
@@ -103,6 +112,40 @@ def _rank(terms: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def count_frequent(
+    terms: DataFrame, limit: int, buckets: int = _BUCKETS, heavy_buckets: int = _HEAVY_BUCKETS
+) -> DataFrame:
+    """Exact counts of enough terms to contain the ``limit`` most frequent of each section.
+
+    For corpora whose distinct n-grams are too many to shuffle. A first pass counts hash
+    buckets, which shrink to a fixed size in every task; a bucket's load bounds the count
+    of each term in it. A second pass counts only the terms in the heaviest buckets. All
+    other terms are rarer than the heaviest bucket left out, so a section is settled if
+    its last ranked term beats that bucket. Sections that are not settled are counted in
+    full. Runs these passes as jobs; their results go to the shared working folder.
+    """
+    hashed = terms.withColumn("balde", F.pmod(F.xxhash64("termo"), F.lit(buckets)).cast("int"))
+    loads = hashed.groupBy("secao", "balde").agg(F.count("*").alias("carga"))
+    by_load = Window.partitionBy("secao").orderBy(F.desc("carga"), "balde")
+    heavy = materialise(
+        loads.withColumn("ordem", F.row_number().over(by_load)).where(F.col("ordem") <= heavy_buckets + 1)
+    )
+    # At most heavy_buckets rows for each of the ten sections, so this side is broadcast.
+    chosen = F.broadcast(heavy.where(F.col("ordem") <= heavy_buckets).select("secao", "balde"))
+    counted = materialise(_counted(hashed.join(chosen, ["secao", "balde"], "left_semi")))
+
+    left_out = heavy.where(F.col("ordem") > heavy_buckets).select("secao", "carga")
+    last = top_by_frequency(counted, "secao", limit).where(F.col("posicao") == limit)
+    unsettled = left_out.join(last.select("secao", "frequencia"), "secao", "left").where(
+        F.coalesce("frequencia", F.lit(0)) <= F.col("carga")
+    )
+    again = [r.secao for r in unsettled.select("secao").collect()]  # at most ten numbers
+    if not again:
+        return counted
+    in_full = _counted(terms.where(F.col("secao").isin(again)))
+    return counted.where(~F.col("secao").isin(again)).unionByName(in_full)
+
+
 def top_ngrams(
     df: DataFrame,
     fields: Iterable[str] = tuple(c for c, _ in S.TEXT_FIELDS),
@@ -110,15 +153,17 @@ def top_ngrams(
     limit: int = S.TOP_TERMS,
     row_id: str = "row_id",
     stop_words: Iterable[str] | None = None,
+    two_pass: bool = False,
 ) -> DataFrame:
     """Most frequent n-grams per field and size, all of them in one pass over the texts.
 
     Ties keep the order of first appearance, for which ``row_id`` must grow with the
-    order of the articles.
+    order of the articles. ``two_pass`` gives the same result with far less data
+    shuffled and the texts read twice (see :func:`count_frequent`).
     """
     stop = portuguese_stop_words() if stop_words is None else list(stop_words)
     texts = stack_texts(df, _present(df, fields), row_id)
-    return _rank(_ngrams(texts, stop, tuple(sizes)), limit)
+    return _rank(_ngrams(texts, stop, tuple(sizes)), limit, two_pass)
 
 
 def top_tags(df: DataFrame, limit: int = S.TOP_TERMS, row_id: str = "row_id") -> DataFrame:
@@ -131,6 +176,7 @@ def term_stats(
     limit: int = S.TOP_TERMS,
     row_id: str = "row_id",
     stop_words: Iterable[str] | None = None,
+    two_pass: bool = False,
 ) -> DataFrame:
     """All n-gram sections and the tag section as one long, ordered table.
 
@@ -145,7 +191,7 @@ def term_stats(
     if "tags_noticia" in df.columns:
         terms = terms.unionByName(_tags(df, row_id))
     return (
-        _rank(terms, limit)
+        _rank(terms, limit, two_pass)
         .orderBy("secao", "posicao")
         .select(
             F.col("tipo").alias("Tipo de Análise"),

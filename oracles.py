@@ -286,11 +286,18 @@ def _profiles() -> str:
     return f"WITH {', '.join(c for c, _ in parts)} {' UNION ALL '.join(q for _, q in parts)}"
 
 
+def _survives(c: str) -> str:
+    value = f"{c} IS NOT NULL" if c == "tem_video" else f"{c} NOT IN ({_SENTINELS})"
+    return f"(count(*) FILTER (titulo IS NOT NULL AND link_noticia IS NOT NULL AND {value}) > 0)"
+
+
 _REPORT = f"""
-    SELECT linhas_antes, linhas_depois, linhas_antes - linhas_depois AS linhas_removidas,
-           10 AS colunas_antes, 9 AS colunas_depois, 1 AS colunas_removidas
+    SELECT *, linhas_antes - linhas_depois AS linhas_removidas,
+           colunas_antes - colunas_depois AS colunas_removidas
     FROM (SELECT count(*) AS linhas_antes,
-                 count(*) FILTER (titulo IS NOT NULL AND link_noticia IS NOT NULL) AS linhas_depois
+                 count(*) FILTER (titulo IS NOT NULL AND link_noticia IS NOT NULL) AS linhas_depois,
+                 {len(S.ARTICLE_COLUMNS)} AS colunas_antes,
+                 {' + '.join(f"CAST({_survives(c)} AS INTEGER)" for c in S.ARTICLE_COLUMNS)} AS colunas_depois
           FROM ({_DECODED}))"""
 
 
@@ -301,6 +308,7 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "top_bigrams_body": _top_ngrams(2),
         "top_trigrams_body": _top_ngrams(3),
         "term_stats": _term_stats(),
+        "term_stats_two_pass": _term_stats(),
         "top_tags": _top_tags(S.TOP_TERMS),
         "top_tags_chart": _top_tags(S.TOP_CHART_TAGS),
         "cloud_terms": _cloud_terms(),

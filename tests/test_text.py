@@ -147,3 +147,27 @@ def test_hash_aggregation_is_used(spark):
 
 def test_word_pattern_is_not_a_negated_class():
     assert not re.search(r"\[\^", text._DELETED + text._WORD)
+
+
+@pytest.mark.parametrize("buckets, heavy", [(7, 2), (64, 8), (1024, 1), (1 << 20, 4096)])
+def test_two_passes_give_the_same_terms(spark, buckets, heavy):
+    """Few buckets leave sections unsettled, many settle them: both are exact."""
+    rows = [(i, t, b) for i, (t, b) in enumerate(zip(random_texts(3, 80), random_texts(4, 80)))]
+    df = spark.createDataFrame(rows, "row_id bigint, titulo string, texto_completo string")
+    grams = terms._ngrams(terms.stack_texts(df, [(0, "titulo"), (2, "texto_completo")], "row_id"), STOP, (1, 2, 3))
+
+    def top(counted):
+        ranked = terms.top_by_frequency(counted, "secao", 5).orderBy("secao", "posicao")
+        return [tuple(r)[:3] for r in ranked.collect()]
+
+    assert top(terms.count_frequent(grams, 5, buckets, heavy)) == top(terms._counted(grams))
+
+
+def test_two_passes_count_few_terms_when_settled(spark):
+    rows = [(i, f"comum um{i} dois{i}") for i in range(300)]
+    df = spark.createDataFrame(
+        [(i, t.translate(str.maketrans("0123456789", "abcdefghij"))) for i, t in rows], "row_id bigint, titulo string"
+    )
+    grams = terms._ngrams(terms.stack_texts(df, [(0, "titulo")], "row_id"), [], (1,))
+    counted = terms.count_frequent(grams, 1, buckets=1 << 16, heavy_buckets=1)
+    assert [(r.termo, r.frequencia) for r in counted.collect()] == [("comum", 300)]
