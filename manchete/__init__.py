@@ -1,0 +1 @@
+"""News-corpus analytics on Spark: capture tables, cleaning, counts and text statistics."""

@@ -62,6 +62,11 @@ def first_articles(
     return whole.select(*hits.columns).unionByName(cut.select(*hits.columns))
 
 
+def first_rows(df: DataFrame, order_by: str | list[str], n: int = S.PREVIEW) -> DataFrame:
+    """Preview of a table: its first rows in a stated order."""
+    return df.orderBy(order_by).limit(n)
+
+
 def search_articles(df: DataFrame, term: str) -> DataFrame:
     """Articles whose title, subtitle or body holds the term, ignoring case."""
     wanted = F.lower(F.lit(term))

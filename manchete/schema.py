@@ -171,6 +171,7 @@ TOP_TERMS = 50
 TOP_CHART_TAGS = 20
 TOP_CLOUD_TERMS = 100
 NEWEST = 5
+PREVIEW = 5
 HITS_PER_PAGE = 8
 # ------------------------------------------------------------ end fixed values
 

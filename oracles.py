@@ -349,6 +349,9 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
             FROM documents d""",
         "first_n_hits": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
         "first_p_pages": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' AND page_no <= {limits['pages']}",
+        "preview5": f"""
+            SELECT * REPLACE (coalesce(tags_noticia, 'N/A') AS tags_noticia) FROM ({_TEXTS})
+            ORDER BY row_id LIMIT {S.PREVIEW}""",
         "search_articles": f"""
             SELECT row_id, titulo, subtitulo, texto_completo FROM ({_TEXTS})
             WHERE contains(lower(concat_ws(chr(10), titulo, subtitulo, texto_completo)), lower('Auréa'))""",

@@ -62,6 +62,23 @@ def test_hot_links_are_split_without_changing_the_result(spark):
     assert len(plain) == len(rows)
 
 
+@pytest.mark.parametrize("hot_link_hits", [50, 10**6])
+def test_every_page_is_parsed_once(spark, hot_link_hits):
+    """The usual and the hot links share one scan and one shuffle of the articles."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, 0, f"t{i}", None, "hot" if i % 3 else f"l{i}") for i in range(600)]
+    articles = spark.createDataFrame([detail(i, f"l{i}" if i else "hot") for i in range(100)], DETAILS)
+    articles = articles.repartition(4).mapInArrow(counting, DETAILS)
+    assert len(capture.join_details(hits_table(spark, rows), articles, hot_link_hits).collect()) == 600
+    assert parsed.value == 100
+
+
 def test_usable_hits(spark):
     hits = hits_table(
         spark, [(1, 0, "A", None, "a"), (1, 1, "", None, "b"), (1, 2, None, None, "c"), (1, 3, "D", None, None)]

@@ -68,3 +68,54 @@ def test_nothing_to_count_writes_nothing(spark, tmp_path):
     path.write_text("titulo\n1\n", encoding="utf-8")
     run_text_statistics(spark, str(path), str(tmp_path / "stats"))
     assert not (tmp_path / "stats").exists()
+
+
+def test_jobs_from_the_command_line(spark, news_csv, tmp_path):
+    from manchete.__main__ import arguments, run
+
+    run(spark, arguments(["clean", news_csv, str(tmp_path / "c"), "--start", "2025-01-01", "--end", "2025-12-31"]))
+    assert lines(spark, tmp_path / "c" / "monthly")[1:] == [["2025", "junho", "1"], ["2025", "julho", "1"]]
+    run(spark, arguments(["stats", news_csv, str(tmp_path / "s")]))
+    assert lines(spark, tmp_path / "s" / "tag_chart")[1][3:] == ["Galo", "2"]
+    assert {r[2] for r in lines(spark, tmp_path / "s" / "clouds")[1:]} == {
+        "Tags das Notícias", "Títulos das Notícias", "Subtítulos das Notícias", "Texto Completo das Notícias",
+    }
+    item = '<li class="ais-Hits-item"><a class="search-results" href="/a"><h2 class="search-results__texto--title">A</h2></a></li>'
+    spark.createDataFrame([(1, item)], "page_no int, html string").write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "a"))
+    run(spark, arguments(["capture", str(tmp_path / "l"), str(tmp_path / "a"), str(tmp_path / "o"), "--base-url", "https://x.example", "--articles", "3"]))
+    assert read_news_csv(spark, str(tmp_path / "o")).first().link_noticia == "https://x.example/a"
+
+
+def test_a_table_without_dates_has_empty_counts(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("titulo,link_noticia,data_pura\na,l,Erro\n", encoding="utf-8")
+    run_cleaning(spark, str(path), str(tmp_path / "c"), str(tmp_path / "m"), str(tmp_path / "y"))
+    assert lines(spark, tmp_path / "y") in ([], [["ano_publicacao", "total_noticias"]])
+
+
+def test_extraction_runs_unchanged_on_a_stream(spark, tmp_path):
+    """Pages that keep arriving go through the same stateless functions."""
+    from manchete.sources.captured_pages import extract_articles
+    from manchete.sources.site_profile import generic_profile
+
+    schema = "page_id bigint, url string, html string"
+    profile = generic_profile("https://x.example")
+    out = str(tmp_path / "out")
+
+    def drain():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = (
+            extract_articles(stream, profile)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True)
+            .start(out)
+        )
+        assert query.awaitTermination(120)
+
+    for batch in (1, 2):
+        rows = [(batch, "u", f"<article><p>texto {batch}</article>")]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        drain()
+    assert sorted(r.texto_completo for r in spark.read.parquet(out).collect()) == ["texto 1", "texto 2"]
