@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from manchete import schema as S
+from manchete.functions.literals import text_array
 
 # "5 junho 2025": one- or two-digit day, month name, four-digit year, nothing else.
 _DATE_TEXT = (
@@ -23,8 +24,7 @@ def parse_date(c: Column) -> Column:
     """DATE of a Portuguese date text, null for anything that is not one."""
     text = normalise_date_text(c)
     day, month, year = (F.regexp_extract(text, _DATE_TEXT, i) for i in (1, 2, 3))
-    names = F.array(*(F.lit(m) for m in S.MONTHS))
-    number = F.nullif(F.array_position(names, F.lower(month)), F.lit(0))
+    number = F.nullif(F.array_position(text_array(S.MONTHS), F.lower(month)), F.lit(0))
     parsed = F.try_to_date(
         F.concat(year, F.lit("-"), number.cast("string"), F.lit("-"), F.btrim(day)), "y-M-d"
     )
@@ -34,7 +34,7 @@ def parse_date(c: Column) -> Column:
 
 
 def month_name(number: Column) -> Column:
-    return F.get(F.array(*(F.lit(m) for m in S.MONTHS)), number - 1)
+    return F.get(text_array(S.MONTHS), number - 1)
 
 
 def date_parts(date: str = "data_dt") -> list[Column]:

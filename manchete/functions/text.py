@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from manchete import schema as S
+from manchete.functions.literals import listed, name
 
 _LETTERS = (
     S.ASCII_LETTERS + S.ASCII_LETTERS.upper() + S.ACCENTED_LETTERS + S.ACCENTED_LETTERS.upper()
@@ -37,16 +38,21 @@ def clean_text(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, f"[{_DELETED}]", ""))
 
 
-def kept_words(c: Column, stop_words: Iterable[str]) -> Column:
-    """Words of a text in order: longer than two characters and not a stop word.
+def long_words(c: Column) -> Column:
+    """Words of a text in order that are longer than two characters.
 
     Cleaned text holds only letters, hyphens and whitespace, so the maximal runs
     of three or more non-space characters are exactly the whitespace-separated
     words that pass the length rule.
     """
-    words = F.regexp_extract_all(clean_text(c), F.lit(f"[{_WORD}]{{3,}}"), F.lit(0))
+    return F.regexp_extract_all(clean_text(c), F.lit(f"[{_WORD}]{{3,}}"), F.lit(0))
+
+
+def without_stop_words(words: str, stop_words: Iterable[str]) -> Column:
+    """The words of an array column, by name, that are not stop words; order is kept."""
     stop = [w for w in stop_words if len(w) > 2]
-    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+    kept = f"filter({name(words)}, w -> w NOT IN ({listed(stop)}))"
+    return F.expr(kept) if stop else F.col(words)
 
 
 def strip(c: Column) -> Column:

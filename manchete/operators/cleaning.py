@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manchete import schema as S
+from manchete.functions.literals import name, null_if_listed, quoted
 
 REQUIRED = ("titulo", "link_noticia")
 _PROBE_ROWS = 1_000
@@ -19,14 +19,12 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
 
 def null_sentinels(df: DataFrame) -> DataFrame:
     """Cells that are exactly an error text become null, in every text column."""
-    return df.select(*_without_sentinels(df))
+    return df.selectExpr(*_without_sentinels(df))
 
 
-def _without_sentinels(df: DataFrame):
+def _without_sentinels(df: DataFrame) -> list[str]:
     return [
-        F.when(~F.col(f.name).isin(*S.SENTINELS), F.col(f.name)).alias(f.name)
-        if isinstance(f.dataType, T.StringType)
-        else F.col(f.name)
+        null_if_listed(f.name, S.SENTINELS) if isinstance(f.dataType, T.StringType) else name(f.name)
         for f in df.schema.fields
     ]
 
@@ -39,7 +37,7 @@ def empty_columns(df: DataFrame) -> list[str]:
     """
 
     def still_empty(rows: DataFrame, columns: list[str]) -> list[str]:
-        seen = rows.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in columns)).first()
+        seen = rows.selectExpr(*(f"max({name(c)} IS NOT NULL) AS {name(c)}" for c in columns)).first()
         return [c for c in columns if not seen[c]]
 
     left = still_empty(df.limit(_PROBE_ROWS), df.columns)
@@ -57,43 +55,34 @@ def clean(df: DataFrame) -> DataFrame:
 
 def clean_report(df: DataFrame) -> DataFrame:
     """Rows and columns before and after :func:`clean`, as one row, in one pass."""
-    complete = F.lit(True)
-    for c in REQUIRED:
-        complete = complete & F.col(c).isNotNull()
-    marked = df.select(complete.alias("_complete"), *_without_sentinels(df))
-    kept = F.lit(0)
-    for c in df.columns:
-        # A column survives if some complete row still has a value in it.
-        kept = kept + F.coalesce(F.max(F.col("_complete") & F.col(c).isNotNull()), F.lit(False)).cast("int")
-    counts = marked.agg(
-        F.count("*").alias("linhas_antes"),
-        F.count_if("_complete").alias("linhas_depois"),
-        F.lit(len(df.columns)).alias("colunas_antes"),
-        kept.alias("colunas_depois"),
+    complete = " AND ".join(f"{name(c)} IS NOT NULL" for c in REQUIRED)
+    marked = df.selectExpr(f"{complete} AS _complete", *_without_sentinels(df))
+    # A column survives if some complete row still has a value in it.
+    survives = " + ".join(
+        f"CAST(coalesce(max(_complete AND {name(c)} IS NOT NULL), false) AS INT)" for c in df.columns
     )
-    return counts.select(
+    return marked.selectExpr(
+        "count(*) AS linhas_antes",
+        "count_if(_complete) AS linhas_depois",
+        f"{len(df.columns)} AS colunas_antes",
+        f"{survives} AS colunas_depois",
+    ).selectExpr(
         "linhas_antes",
         "linhas_depois",
-        (F.col("linhas_antes") - F.col("linhas_depois")).alias("linhas_removidas"),
+        "linhas_antes - linhas_depois AS linhas_removidas",
         "colunas_antes",
         "colunas_depois",
-        (F.col("colunas_antes") - F.col("colunas_depois")).alias("colunas_removidas"),
+        "colunas_antes - colunas_depois AS colunas_removidas",
     )
 
 
 def profile(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, non-null cells, rows of the table."""
-    counts = df.agg(F.count("*").alias("_rows"), *(F.count(c).alias(c) for c in df.columns))
-    lines = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("ordem"),
-                F.lit(f.name).alias("coluna"),
-                F.lit(f.dataType.simpleString()).alias("tipo"),
-                F.col(f.name).alias("nao_nulos"),
-                F.col("_rows").alias("linhas"),
-            )
-            for i, f in enumerate(df.schema.fields)
-        )
+    counts = df.selectExpr("count(*) AS _rows", *(f"count({name(c)}) AS {name(c)}" for c in df.columns))
+    lines = ", ".join(
+        f"{i}, {quoted(f.name)}, {quoted(f.dataType.simpleString())}, {name(f.name)}, _rows"
+        for i, f in enumerate(df.schema.fields)
+    )
+    return counts.selectExpr(
+        f"stack({len(df.columns)}, {lines}) AS (ordem, coluna, tipo, nao_nulos, linhas)"
     )
-    return counts.select(F.inline(lines))

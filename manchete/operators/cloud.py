@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manchete import schema as S
+from manchete.functions.literals import listed, text_array
 from manchete.functions.text import cloud_tokens, cut_possessive, is_number, portuguese_stop_words
 from manchete.operators.ranking import arrival, row_key, top_by_frequency
 
@@ -61,7 +62,7 @@ def cloud_terms(
         .withColumn("palavra", word)
         .where(~is_number(F.col("palavra")))
         .withColumn("termo", F.lower("palavra"))
-        .where(~F.col("termo").isin(stop))
+        .where(f"termo NOT IN ({listed(stop)})" if stop else "true")
         .withColumn("plural", F.col("termo").endswith("s") & ~F.col("termo").endswith("ss"))
         .withColumn("raiz", F.expr("if(plural, left(termo, length(termo) - 1), termo)"))
     )
@@ -92,7 +93,7 @@ def cloud_terms(
         F.sum("n").alias("frequencia"),
         F.min("propria").alias("primeira"),
     )
-    labels = F.array(*(F.lit(name) for _, name in CLOUDS))
+    labels = text_array(label for _, label in CLOUDS)
     heaviest = F.max("frequencia").over(Window.partitionBy("nuvem"))
     return (
         top_by_frequency(counted, "nuvem", limit)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from manchete import schema as S
-from manchete.functions.text import kept_words, portuguese_stop_words, split_tags
+from manchete.functions.literals import text_array
+from manchete.functions.text import long_words, portuguese_stop_words, split_tags, without_stop_words
 from manchete.operators.ranking import arrival, row_key, top_by_frequency
 from manchete.workspace import materialise
 
@@ -61,7 +62,8 @@ def _ngrams(texts: DataFrame, stop_words: Iterable[str], sizes: Sequence[int]) -
         for k, w in enumerate(words)
     ]
     starts = (
-        texts.select("chave", "campo", kept_words(F.col("texto"), stop_words).alias("palavras"))
+        texts.select("chave", "campo", long_words(F.col("texto")).alias("palavras"))
+        .withColumn("palavras", without_stop_words("palavras", stop_words))
         .select("chave", "campo", F.posexplode(F.arrays_zip(*shifted)).alias("posicao", "inicio"))
         .select("chave", "campo", "posicao", "inicio.*")
     )
@@ -106,7 +108,7 @@ def _rank(terms: DataFrame, limit: int, two_pass: bool = False) -> DataFrame:
     """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms."""
     counted = count_frequent(terms, limit) if two_pass else _counted(terms)
     labels = section_labels()
-    names = F.array(*(F.lit(labels[i]) for i in sorted(labels)))
+    names = text_array(labels[i] for i in sorted(labels))
     return top_by_frequency(counted, "secao", limit).select(
         "secao", "posicao", F.get(names, F.col("secao") - 1).alias("tipo"), "termo", "frequencia"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from manchete import schema as S
+from manchete.functions.literals import name, null_if_listed
 
 # Doubled quotes inside quoted cells, line breaks inside cells, blanks kept.
 CSV_OPTIONS = {
@@ -22,26 +23,24 @@ CSV_OPTIONS = {
 
 def decode_missing(df: DataFrame) -> DataFrame:
     """Turn cells that are exactly a missing-value token into nulls, in every text column."""
-    return df.select(
+    return df.selectExpr(
         *(
-            F.when(~F.col(f.name).isin(*S.NA_TOKENS), F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
+            null_if_listed(f.name, S.NA_TOKENS) if isinstance(f.dataType, T.StringType) else name(f.name)
             for f in df.schema.fields
         )
     )
 
 
-def _typed(name: str) -> Column:
-    wanted = S.COLUMN_TYPES.get(name, T.StringType())
-    cell = F.col(name)
+def _typed(column: str) -> Column:
+    wanted = S.COLUMN_TYPES.get(column, T.StringType())
+    cell = F.col(name(column))
     if isinstance(wanted, T.StringType):
         return cell
     if isinstance(wanted, T.BooleanType):
-        return F.when(F.lower(cell).isin("true", "false"), F.lower(cell) == "true").alias(name)
+        return F.when(F.lower(cell).isin("true", "false"), F.lower(cell) == "true").alias(column)
     if isinstance(wanted, T.IntegerType):  # an integer column with gaps may be saved as 6.0
-        return cell.try_cast("double").cast("int").alias(name)
-    return cell.try_cast(wanted).alias(name)
+        return cell.try_cast("double").cast("int").alias(column)
+    return cell.try_cast(wanted).alias(column)
 
 
 def read_news_csv(spark: SparkSession, path: str | list[str], row_id: str | None = None) -> DataFrame:
@@ -55,4 +54,4 @@ def read_news_csv(spark: SparkSession, path: str | list[str], row_id: str | None
     if row_id:
         raw = raw.withColumn(row_id, F.monotonically_increasing_id())
     cells = decode_missing(raw)
-    return cells.select(*(F.col(c) if c == row_id else _typed(c) for c in cells.columns))
+    return cells.select(*(F.col(name(c)) if c == row_id else _typed(c) for c in cells.columns))

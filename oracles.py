@@ -215,7 +215,7 @@ def _plain(c: str) -> str:
 
 
 _LIST_HITS = f"""
-    SELECT CAST(page_id // 8 + 1 AS INTEGER) AS page_no, CAST(i - 1 AS INTEGER) AS pos,
+    SELECT CAST(page_id + 1 AS INTEGER) AS page_no, CAST(i - 1 AS INTEGER) AS pos,
            trim({_plain("texts[i]")}, {_WS_CHARS}) AS titulo, CAST(NULL AS VARCHAR) AS subtitulo,
            '{BASE_URL}' || {_plain("links[i]")} AS link_noticia
     FROM (SELECT *, unnest(range(1, len(links) + 1)) AS i
@@ -223,7 +223,7 @@ _LIST_HITS = f"""
                        regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS links,
                        regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS texts
                 FROM pages))"""
-_HIT_ORDER = "page_no, pos, titulo, link_noticia"
+_HIT_ORDER = "page_no, pos"
 
 _DOC_TEXT = f"""
     array_to_string(list_filter(list_transform(string_split(d.text, chr(10)), lambda x: trim(x, {_WS_CHARS})),
@@ -348,6 +348,7 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
                    CASE WHEN d.lang = 'es' THEN 'N/A' ELSE '18:05' END AS horario
             FROM documents d""",
         "first_n_hits": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
+        "first_n_hits_by_block": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
         "first_p_pages": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' AND page_no <= {limits['pages']}",
         "preview5": f"""
             SELECT * REPLACE (coalesce(tags_noticia, 'N/A') AS tags_noticia) FROM ({_TEXTS})

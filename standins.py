@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from manchete import schema as S
+from manchete.functions.dates import month_name
 from manchete.sources.scans import read_table
 
 BASE_URL = "https://www.noticias.example"
@@ -22,9 +23,8 @@ def _lines(n: int) -> Column:
 
 
 def portuguese_date(date: Column) -> Column:
-    names = F.array(*(F.lit(m) for m in S.MONTHS))
     return F.concat_ws(
-        " de ", F.day(date).cast("string"), F.get(names, F.month(date) - 1), F.year(date).cast("string")
+        " de ", F.day(date).cast("string"), month_name(F.month(date)), F.year(date).cast("string")
     )
 
 
@@ -107,9 +107,9 @@ def event_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The given web pages, eight to a result page number."""
+    """The given web pages as result pages, in the order of their ids."""
     pages = read_table(spark, f"{sf}/pages.parquet", ["page_id", "html"], spread_by="page_id")
-    return pages.select((F.floor(F.col("page_id") / 8) + 1).cast("int").alias("page_no"), "page_id", "html")
+    return pages.select((F.col("page_id") + 1).cast("int").alias("page_no"), "html")
 
 
 def web_pages(spark: SparkSession, sf: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_cleaned_table_round_trip_keeps_types(spark, tmp_path):
 def test_integer_column_with_gaps(spark, tmp_path):
     (tmp_path / "e.csv").write_text("titulo,mes_numero\na,6.0\nb,\n", encoding="utf-8")
     assert [r.mes_numero for r in read_news_csv(spark, str(tmp_path / "e.csv")).collect()] == [6, None]
+
+
+def test_constants_keep_quotes_and_backslashes(spark):
+    from manchete.functions.literals import listed, text_array
+
+    values = ["d'água", "a\\b", 'x"y', "ção"]
+    got = spark.range(1).select(text_array(values).alias("a")).first().a
+    assert got == values
+    df = spark.createDataFrame([(v,) for v in [*values, "z"]], "v string")
+    assert [r.v for r in df.where(f"v NOT IN ({listed(values)})").collect()] == ["z"]

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from manchete import schema as S
 from manchete.functions import text
@@ -37,7 +38,7 @@ def test_cleaning_deletes_and_keeps_whitespace(column):
     assert got == ["fimdepois àéç", "andu   x", "a b c\td-e", "", None]
 
 
-def test_kept_words(column):
+def test_kept_words(spark):
     values = [
         "Uma casa-grande  para o TEMPO novo",
         "--- a bc abc",
@@ -46,7 +47,9 @@ def test_kept_words(column):
         "",
         None,
     ]
-    assert column(lambda c: text.kept_words(c, STOP), values) == [
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    words = df.withColumn("w", text.long_words(F.col("v"))).orderBy("i")
+    assert [r[0] for r in words.select(text.without_stop_words("w", STOP)).collect()] == [
         ["casa-grande", "novo"],
         ["---", "abc"],
         ["abc", "def", "ghi", "jkl", "mno", "pqr"],
