@@ -21,20 +21,30 @@ class PageIndex(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[list] = []
         self._open: list[int] = []
+        self._open_tags: dict[str, int] = {}
         self._merge = False
-        self.feed(html)
-        self.close()
-        self._close_down_to(0)
-
-    def _close_down_to(self, depth: int) -> None:
-        while len(self._open) > depth:
-            self.items[self._open.pop()][2] = len(self.items)
+        try:
+            self.feed(html)
+            if html.rfind("<!--") > html.rfind("-->"):
+                self.feed("-->")  # an open comment hides the rest of the page, as in a browser
+            self.close()
+        except AssertionError:  # markup the parser refuses: a page without content
+            self.items.clear()
+            self._open.clear()
+        while self._open:
+            self._close_top()
+
+    def _close_top(self) -> str:
+        item = self.items[self._open.pop()]
+        item[2] = len(self.items)
+        self._open_tags[item[0]] -= 1
+        return item[0]
 
     def _close_last(self, tag: str) -> None:
-        for depth in range(len(self._open) - 1, -1, -1):
-            if self.items[self._open[depth]][0] == tag:
-                self._close_down_to(depth)
-                return
+        """Close the innermost open ``tag`` with all it holds; a stray end tag does nothing."""
+        if self._open_tags.get(tag):
+            while self._close_top() != tag:
+                pass
 
     def handle_starttag(self, tag, attrs):
         self._merge = False
@@ -43,6 +53,7 @@ class PageIndex(HTMLParser):
         self.items.append([tag, {k: v or "" for k, v in reversed(attrs)}, len(self.items) + 1])
         if tag not in _VOID:
             self._open.append(len(self.items) - 1)
+            self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from manchete.sources._html import PageIndex
@@ -49,6 +51,17 @@ def test_void_elements_and_stray_end_tags_do_not_nest():
     assert [page.text(i) for i in page.find_all(("li", None))][0] == "abc"
 
 
+def test_broken_pages_neither_fail_nor_take_long():
+    for html in ("", "<", "<p", "<![foo[ x", "<!x [", "</", "&#xd800;", "<a href='", "<script>a"):
+        PageIndex(html)
+    start = time.monotonic()
+    for html in ("<i>" * 50_000 + "</b>" * 50_000, "<p>x" * 50_000, "<" * 50_000, "<!--" * 30_000):
+        PageIndex(html)
+    assert time.monotonic() - start < 20
+    page = PageIndex("<p>a<!-- <p>b</p>")
+    assert [page.text(i) for i in page.find_all(("p", None))] == ["a"]
+
+
 @pytest.mark.parametrize(
     "cls, wanted, found",
     [
