@@ -35,7 +35,10 @@ def first_pages(hits: DataFrame, pages: int, total_pages: int | None = None) ->
 def first_articles(
     hits: DataFrame, articles: int, total_pages: int | None = None, top_k_rows: int = _TOP_K_ROWS
 ) -> DataFrame:
-    """First ``articles`` usable hits in order of arrival, i.e. by page and position."""
+    """First ``articles`` usable hits in order of arrival, i.e. by page and position.
+
+    Beyond ``top_k_rows`` the hits are read three times, so they should be a table.
+    """
     _check_limit(
         "articles", articles, None if total_pages is None else total_pages * S.HITS_PER_PAGE
     )

@@ -4,42 +4,62 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from manchete import schema as S
 from manchete.operators.capture import join_details
 from manchete.operators.selection import first_articles, first_pages, usable_hits
-from manchete.sinks.csv_tables import write_articles
+from manchete.sinks.csv_tables import write_csv
 from manchete.sources.captured_pages import extract_articles, extract_hits
 from manchete.sources.site_profile import SiteProfile
 from manchete.workspace import materialise
 
 
-def capture_articles(
+def capture_hits(
     list_pages: DataFrame,
-    article_pages: DataFrame,
     profile: SiteProfile,
     max_pages: int | None = None,
     max_articles: int | None = None,
     total_pages: int | None = None,
 ) -> DataFrame:
-    """One row per usable hit with its article fields, in no particular order.
+    """Usable hits of all result pages, of the first pages, or the first so many articles.
 
-    ``list_pages`` holds ``(page_no, html)``, ``article_pages`` ``(page_id, url, html)``.
-    Capture everything, the first pages, or the first articles. Columns ``page_no`` and
-    ``pos`` give the order of arrival.
+    The hits are parsed once and written to the working folder; what follows reads them
+    several times.
     """
     if max_pages is not None and max_articles is not None:
         raise ValueError("limit either the pages or the articles, not both")
     if max_pages is not None:  # before parsing, so that later pages are not parsed
         list_pages = first_pages(list_pages, max_pages, total_pages)
-    hits = extract_hits(list_pages, profile)
-    if max_articles is not None:
-        hits = first_articles(hits, max_articles, total_pages)
-    # Written once: the join reads the hits twice, to find hot links and to join them.
-    hits = materialise(usable_hits(hits))
+    hits = materialise(usable_hits(extract_hits(list_pages, profile)))
+    return hits if max_articles is None else first_articles(hits, max_articles, total_pages)
+
+
+def capture_articles(
+    list_pages: DataFrame, article_pages: DataFrame, profile: SiteProfile, **limits: int | None
+) -> DataFrame:
+    """One row per usable hit with its article fields, in no particular order.
+
+    ``list_pages`` holds ``(page_no, html)``, ``article_pages`` ``(page_id, url, html)``;
+    the limits are those of :func:`capture_hits`. Columns ``page_no`` and ``pos`` give the
+    order of arrival.
+    """
+    hits = capture_hits(list_pages, profile, **limits)
     return join_details(hits, extract_articles(article_pages, profile))
 
 
 def run_capture(
-    list_pages: DataFrame, article_pages: DataFrame, profile: SiteProfile, path: str, **limits
+    list_pages: DataFrame,
+    article_pages: DataFrame,
+    profile: SiteProfile,
+    path: str,
+    **limits: int | None,
 ) -> bool:
-    """Write the captured articles as CSV; false if there were none."""
-    return write_articles(capture_articles(list_pages, article_pages, profile, **limits), path)
+    """Write the captured articles as CSV; false, and nothing written, if there are none.
+
+    Every hit gives one article, so the hits alone tell whether there are any.
+    """
+    hits = capture_hits(list_pages, profile, **limits)
+    if hits.isEmpty():
+        return False
+    articles = join_details(hits, extract_articles(article_pages, profile))
+    write_csv(articles.select(*S.ARTICLE_COLUMNS), path)
+    return True

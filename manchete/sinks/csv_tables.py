@@ -14,7 +14,11 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_articles(df: DataFrame, path: str, mode: str = "errorifexists") -> bool:
-    """Write the ten article columns; nothing is written when there is no article."""
+    """Write the ten article columns; nothing is written when there is no article.
+
+    Looks for a first row before writing, so ``df`` should be a table or a projection of
+    one; the capture job settles emptiness from its hits instead.
+    """
     articles = df.select(*S.ARTICLE_COLUMNS)
     if articles.isEmpty():
         return False

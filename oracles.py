@@ -9,6 +9,8 @@ import zipfile
 import pyspark
 
 from manchete import schema as S
+from manchete.functions.text import portuguese_stop_words
+from manchete.operators.cloud import CLOUDS
 from standins import BASE_URL, DAYS, FIRST_DAY
 
 _WS = S.WHITESPACE
@@ -24,8 +26,10 @@ _WS_CHARS = " || ".join(
 
 def stop_words() -> list[str]:
     """The list Spark bundles, read from its jar so that no session is needed."""
-    (jar,) = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if not jars:
+        return portuguese_stop_words()
+    with zipfile.ZipFile(jars[0]) as z:
         listed = z.read("org/apache/spark/ml/feature/stopwords/portuguese.txt").decode().split("\n")
     return sorted({w.strip() for w in listed if w.strip()} | set(S.EXTRA_STOP_WORDS))
 
@@ -158,8 +162,6 @@ def _term_stats() -> str:
 
 
 def _cloud_terms() -> str:
-    from manchete.operators.cloud import CLOUDS
-
     columns = [c for c, _ in CLOUDS]
     names = "[" + ", ".join(f"'{n}'" for _, n in CLOUDS) + "]"
     texts = " UNION ALL ".join(
@@ -264,7 +266,7 @@ _PAGE_ARTICLES = f"""
     FROM pages"""
 
 
-def _profile(stage: str, source: str, columns: list[str]) -> str:
+def _profile(stage: str, source: str, columns: list[str]) -> tuple[str, str]:
     types = {"tem_video": "boolean", "data_dt": "date", "ano_publicacao": "int", "mes_numero": "int"}
     counts = ", ".join(f"count({c}) AS {c}" for c in columns)
     lines = " UNION ALL ".join(
