@@ -36,5 +36,10 @@ def top_by_frequency(df: DataFrame, section: str, limit: int) -> DataFrame:
     Expects ``frequencia`` and ``primeira``; Spark cuts each task to ``limit`` rows per
     section before the shuffle.
     """
-    by_rank = Window.partitionBy(section).orderBy(F.desc("frequencia"), "primeira")
+    order = [F.desc("frequencia"), F.col("primeira")]
+    if isinstance(df.schema["primeira"].dataType, T.DecimalType):
+        # Rare terms tie on the frequency, and comparing wide decimals is slow. A double
+        # orders them the same way up to rounding, so the decimal settles the rest.
+        order.insert(1, F.col("primeira").cast("double"))
+    by_rank = Window.partitionBy(section).orderBy(*order)
     return df.withColumn("posicao", F.row_number().over(by_rank)).where(F.col("posicao") <= limit)

@@ -40,7 +40,7 @@ def test_cleaning_deletes_and_keeps_whitespace(column):
 
 def test_kept_words(spark):
     values = [
-        "Uma casa-grande  para o TEMPO novo",
+        "Uma casa-grande  para já TEMPO novo",
         "--- a bc abc",
         "abc def　ghi jkl\x85mno\x1fpqr",
         "a1b2c3",
