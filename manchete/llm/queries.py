@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manchete.llm import simhash, tokens
+from manchete.llm import mixing, oracles, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,11 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return mixing.mix(docs, mixing.cyclic_weights(docs))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf), words=3, max_bits=2)
 
@@ -29,10 +34,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": oracles.MIX}
