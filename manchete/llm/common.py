@@ -16,6 +16,9 @@ TEXTS_AT_ONCE = 256
 #: A key with more than one in this many rows is hot; there are fewer such keys than this.
 HOT_SHARE = 1000
 
+#: A table to look up in is broadcast whole up to so many (narrow) rows.
+BROADCAST_ROWS = 50_000
+
 Rows = dict[str, list]
 
 
@@ -53,12 +56,16 @@ def map_texts(
 def left_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, spread_by: str) -> DataFrame:
     """Left join of `left` to `right`, which has one row per `key`, safe for hot and null keys.
 
+    A `right` of at most BROADCAST_ROWS rows is broadcast. Beyond that its hot keys are:
     `rows` is a column of `right`: how many rows of `left` the key has, about. Keys with
     more than one in HOT_SHARE of all those rows are fewer than HOT_SHARE, so their part
     of `right` is broadcast; all others go through a shuffled join whose keys are small.
     Rows of `left` that need no lookup are spread by the column `spread_by` meanwhile.
     """
-    total = right.agg(F.sum(rows)).first()[0] or 0
+    total, count = right.agg(F.coalesce(F.sum(rows), F.lit(0)), F.count("*")).first()
+    if count <= BROADCAST_ROWS:
+        small = F.broadcast(right.drop(rows).withColumnRenamed(key, "__right_key"))
+        return left.join(small, F.col(key) == F.col("__right_key"), "left").drop("__right_key")
     is_hot = F.col(rows) * HOT_SHARE > total
     values = [c for c in right.columns if c not in (key, rows)]
     hot = right.where(is_hot).select(F.col(key).alias("__hot_key"), F.struct(*values).alias("__hot"))

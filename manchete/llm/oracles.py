@@ -88,3 +88,19 @@ SELECT doc_id, size, source_size, target,
     (seats // blocks * size + greatest(least(seats % blocks * 16 - start, size), 0))::BIGINT AS taken
 FROM placed
 """
+
+#: What the archives hold of every page.
+WARC = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), h AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000
+        THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS holder
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM h
+"""

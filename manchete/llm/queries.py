@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manchete.llm import mixing, oracles, simhash, tokens
+from manchete.llm import mixing, oracles, simhash, tokens, warc
+from manchete.workspace import working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,12 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, mixing.cyclic_weights(docs))
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = working_folder(spark)
+    warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), path)
+    return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf), words=3, max_bits=2)
 
@@ -35,10 +42,11 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op4_warc": op4_warc,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": oracles.MIX}
+    return {"op1_mixing": oracles.MIX, "op4_warc": oracles.WARC}
