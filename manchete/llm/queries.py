@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manchete.llm import mixing, oracles, simhash, tokens, warc
+from manchete.llm import langid, mixing, oracles, pii, simhash, tokens, warc
+from manchete.llm.common import remainder
 from manchete.workspace import working_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,18 @@ def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
 
 
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf))
+
+
+def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    held_out = remainder("doc_id", 5) == 0
+    profiles = langid.learn_profiles(docs.where(~held_out))
+    found = langid.identify(docs, profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf), words=3, max_bits=2)
 
@@ -43,6 +56,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op4_warc": op4_warc,
+        "op5_pii": op5_pii,
+        "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
     }
