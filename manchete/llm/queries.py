@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manchete.llm import langid, mixing, oracles, pii, simhash, tokens, warc
+from manchete.llm import langid, mixing, oracles, pii, simhash, tokens, toxicity, warc
 from manchete.llm.common import remainder
 from manchete.workspace import working_folder
 
@@ -34,6 +34,14 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find_pii(_documents(spark, sf))
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    held_out = remainder("doc_id", 4) == 2
+    machine = toxicity.learn(docs.where(~held_out), spark.read.parquet(f"{sf}/labels.parquet"))
+    found = toxicity.score(docs, machine)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     held_out = remainder("doc_id", 5) == 0
@@ -57,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op1_mixing": op1_mixing,
         "op4_warc": op4_warc,
         "op5_pii": op5_pii,
+        "op6_toxicity": op6_toxicity,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,

@@ -3,10 +3,10 @@ transactions assembled again from such records.
 
 Archives are text files to Spark: a record is its header block and its content, and the
 separator of Spark's text writer is the pair of line ends that closes a WARC record. They
-are read the same way, split at the end of a record followed by the version line of the
-next. A payload that contains that very sequence would be split too; such a cut leaves a
-record shorter than its Content-Length says, so it never goes unnoticed, and the files
-concerned are read whole and cut by length instead.
+are read the same way, split at the version line that begins the next record. A payload
+that contains such a line would be split too; such a cut leaves a record shorter than its
+Content-Length says, so it never goes unnoticed, and the files concerned are read whole
+and cut by length instead.
 """
 
 from __future__ import annotations
@@ -41,8 +41,6 @@ REVISIT_BYTES = 1000
 #: Every capture of a table that has no dates carries this one.
 UNDATED = "1970-01-01T00:00:00Z"
 
-_RECORD = "value string, path string"
-
 
 def _identifier(*parts: Column | str) -> Column:
     """A name-based identifier: the same parts give the same record id."""
@@ -179,25 +177,29 @@ def _cut(content: bytes) -> Iterator[bytes]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below `path`: the columns of FIELDS, `content` (binary) and `path`.
+    """Every record of the archives below `path`: the columns of FIELDS, http_length,
+    payload_bytes, payload_sha1, `content` (binary) and `path`.
+
+    The payload is the body of an HTTP message, else the content.
 
     Files are split and read in parallel (compressed ones by one task each). Header names
     are matched in any case, records of any type and order are returned, and an empty
     folder of archives gives no record. A file that is cut short raises an error.
     """
-    separator = f"{END}{VERSION}{LINE}"
+    # The separator has no repeated beginning: those are missed at the border of a buffer.
+    separator = f"\n{VERSION}{LINE}"
     pieces = spark.read.option("lineSep", separator).text(path)
     pieces = pieces.select("value", F.col("_metadata.file_path").alias("path"))
-    # The last record of a file still has its closing line ends, the first its version line.
+    # Records still have their closing line ends, and the first of a file its version line.
     whole = _fields(pieces, F.when(F.startswith("value", F.lit(VERSION + LINE)), len(VERSION + LINE)).otherwise(0))
     broken = whole.where(~_complete()).select("path").distinct()
     names = [r.path for r in broken.limit(1).collect()]
     if not names:
-        return whole.select(*FIELDS, _content().alias("content"), "path")
+        return _finished(whole)
     by_length = spark.read.format("binaryFile").load(path).join(
         broken.withColumnRenamed("path", "__path"), F.col("path") == F.col("__path"), "left_semi"
     )
-    good = whole.join(broken, "path", "left_anti").select(*FIELDS, _content().alias("content"), "path")
+    good = _finished(whole.join(broken, "path", "left_anti"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
@@ -211,7 +213,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     records = by_length.select("path", "content").mapInArrow(cut, "value binary, path string")
     again = _fields(records.select(F.col("value").cast("string").alias("value"), "path"), F.lit(len(VERSION + LINE)))
-    return good.unionByName(again.select(*FIELDS, _content().alias("content"), "path"))
+    return good.unionByName(_finished(again))
 
 
 def _fields(pieces: DataFrame, skip: Column) -> DataFrame:
@@ -227,22 +229,35 @@ def _fields(pieces: DataFrame, skip: Column) -> DataFrame:
     return rows.withColumns(named | {"__length": length}).drop("__lines")
 
 
-def _content() -> Column:
-    return F.substring(F.col("value").cast("binary"), F.col("__head") + len(END), F.col("__length").cast("int"))
+def _finished(rows: DataFrame) -> DataFrame:
+    content = F.substring(F.col("value").cast("binary"), F.col("__head") + len(END), F.col("__length").cast("int"))
+    is_http = F.coalesce(F.startswith("content_type", F.lit("application/http")), F.lit(False))
+    body = F.when(is_http, http_body(F.col("content"))).otherwise(F.col("content"))
+    # Only the head of a message is searched; a null separates "no HTTP" from a length of 0.
+    head = F.substring(F.col("content"), 1, 4096).cast("string")
+    length = F.regexp_extract(head, r"(?i)\nContent-Length:[ \t]*(\d+)", 1).cast("long")
+    return rows.select(*FIELDS, content.alias("content"), "path").select(
+        *FIELDS,
+        F.when(is_http, length).alias("http_length"),
+        F.octet_length(body).cast("long").alias("payload_bytes"),
+        F.sha1(body).alias("payload_sha1"),
+        "content",
+        "path",
+    )
 
 
 def _complete() -> Column:
-    """Whether the bytes after the header are the declared ones, or those and the closing line ends."""
+    """Whether the bytes after the header are the declared ones, and at most the closing line ends."""
     held = F.octet_length("value") - (F.col("__head") - 1) - len(END)
     return F.coalesce(
-        (F.col("__head") > 0) & ((held == F.col("__length")) | (held == F.col("__length") + len(END))), F.lit(False)
+        (F.col("__head") > 0) & held.between(F.col("__length"), F.col("__length") + len(END)), F.lit(False)
     )
 
 
-def http_payload(content: Column) -> Column:
+def http_body(content: Column) -> Column:
     """The body of an HTTP message held in `content`."""
-    text = content.cast("string")
-    return F.substring(content, F.instr(text, END) + len(END), F.octet_length(content))
+    head = F.instr(content.cast("string"), END)
+    return F.substring(content, head + len(END), F.octet_length(content))
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -254,7 +269,7 @@ def assemble(records: DataFrame) -> DataFrame:
     that name no known capture give a row without response. Repeated captures give a row
     each. Columns: the fields and content of each record as structs, null where missing.
     """
-    parts = [*FIELDS, "content"]
+    parts = [*FIELDS, "http_length", "payload_bytes", "payload_sha1", "content"]
     own = F.struct(*parts)
     is_capture = F.col("record_type").isin("response", "revisit", "resource")
     heads = records.where(is_capture).select(F.col("record_id").alias("capture_id"), own.alias("response"))
@@ -275,20 +290,18 @@ def assemble(records: DataFrame) -> DataFrame:
 def capture_digests(captured: DataFrame) -> DataFrame:
     """Per assembled capture: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    The page is named by the metadata record. A response's payload is measured; a revisit
-    has the digest and HTTP length of the payload it stands for.
+    The page is named by the metadata record. A response's payload was measured when it was
+    read; a revisit has the digest and HTTP length of the payload it stands for.
     """
     fields = F.col("metadata.content").cast("string")
     page = F.nullif(F.regexp_extract(fields, r"(?:^|\n)page-id: *(-?\d+)", 1), F.lit(""))
     other = F.nullif(F.regexp_extract(fields, r"(?:^|\n)refers-to-page-id: *(-?\d+)", 1), F.lit(""))
-    content, is_revisit = F.col("response.content"), F.col("response.record_type") == "revisit"
-    declared = F.regexp_extract(content.cast("string"), r"(?i)\nContent-Length:[ \t]*(\d+)", 1).cast("long")
+    is_revisit = F.col("response.record_type") == "revisit"
     stated = F.regexp_extract("response.payload_digest", r"(?i)^sha1:([0-9a-f]{40})$", 1)
-    body = http_payload(content)
     return captured.select(
         page.cast("long").alias("page_id"),
-        F.when(is_revisit, declared).otherwise(F.octet_length(body).cast("long")).alias("payload_bytes"),
-        F.when(is_revisit, stated).otherwise(F.sha1(body)).alias("payload_digest"),
+        F.when(is_revisit, F.col("response.http_length")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
+        F.when(is_revisit, stated).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         other.cast("long").alias("refers_to"),
     )
