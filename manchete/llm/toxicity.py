@@ -136,7 +136,7 @@ def learn(
     id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    rounds: int = 200,
+    rounds: int = 100,
 ) -> Machine:
     """A machine fitted to the documents of `df` that `labels` (id, label) marks 1 or 0.
 
@@ -163,7 +163,7 @@ def learn(
 
     chosen = labelled.orderBy("order").limit(FIT_ROWS)
     rows = materialise(chosen.select(vector("text").alias("features"), F.col("label").cast("double").alias("label")))
-    classifier = FMClassifier(factorSize=4, maxIter=rounds, stepSize=0.2, regParam=1e-5, initStd=0.01, seed=7)
+    classifier = FMClassifier(factorSize=4, maxIter=rounds, stepSize=1.0, regParam=1e-5, initStd=0.01, seed=7)
     fitted = classifier.fit(rows)
     return Machine(machine.terms, fitted.intercept, fitted.linear.toArray(), fitted.factors.toArray())
 
