@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from manchete.llm import langid, mixing, oracles, pii, simhash, tokens, toxicity, warc
+from manchete.llm import langid, mixing, oracles, pii, simhash, suffix_tree, tokens, toxicity, warc
 from manchete.llm.common import remainder
 from manchete.workspace import working_folder
 
@@ -24,6 +24,10 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, mixing.cyclic_weights(docs))
 
 
+def op3_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree.score_texts(_documents(spark, sf), held_out=remainder("doc_id", 10) == 0)
+
+
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = working_folder(spark)
     warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), path)
@@ -63,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_lm_scores": op3_lm_scores,
         "op4_warc": op4_warc,
         "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
