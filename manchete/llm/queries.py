@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from manchete.llm import langid, mixing, oracles, pii, simhash, suffix_tree, tokens, toxicity, warc
+from manchete.llm import hnsw, langid, mixing, oracles, pii, simhash, suffix_tree, tokens, toxicity, warc
 from manchete.llm.common import remainder
 from manchete.workspace import working_folder
 
@@ -24,6 +25,10 @@ def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(docs, mixing.cyclic_weights(docs))
 
 
+def op2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return hnsw.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"), is_query=F.col("vec_id") % 100 == 0)
+
+
 def op3_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_tree.score_texts(_documents(spark, sf), held_out=remainder("doc_id", 10) == 0)
 
@@ -67,6 +72,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_nearest": op2_nearest,
         "op3_lm_scores": op3_lm_scores,
         "op4_warc": op4_warc,
         "op5_pii": op5_pii,
