@@ -36,7 +36,7 @@ def op3_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = working_folder(spark)
     warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"), path)
-    return warc.capture_digests(warc.assemble(warc.read_records(spark, path)))
+    return warc.capture_digests(warc.assemble(warc.read_records(spark, path), captured_content=False))
 
 
 def op5_pii(spark: SparkSession, sf: str) -> DataFrame:

@@ -260,7 +260,7 @@ def http_body(content: Column) -> Column:
     return F.substring(content, head + len(END), F.octet_length(content))
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, captured_content: bool = True) -> DataFrame:
     """One nested row per capture: capture_id, response, request, metadata.
 
     A response or revisit record is a capture; request and metadata records join it by
@@ -268,9 +268,11 @@ def assemble(records: DataFrame) -> DataFrame:
     smallest identifier counts, and `requests` and `metadatas` say how many there were. Records
     that name no known capture give a row without response. Repeated captures give a row
     each. Columns: the fields and content of each record as structs, null where missing.
+    Without `captured_content` the captures' own content, which was measured when it was
+    read, stays out of the joins and the result.
     """
     parts = [*FIELDS, "http_length", "payload_bytes", "payload_sha1", "content"]
-    own = F.struct(*parts)
+    own = F.struct(*[c for c in parts if captured_content or c != "content"])
     is_capture = F.col("record_type").isin("response", "revisit", "resource")
     heads = records.where(is_capture).select(F.col("record_id").alias("capture_id"), own.alias("response"))
 
