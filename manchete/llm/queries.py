@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manchete.llm import hnsw, langid, mixing, oracles, pii, simhash, suffix_tree, tokens, toxicity, warc
+from manchete.llm import hnsw, langid, latent, mixing, oracles, pii, simhash, suffix_tree, tokens, toxicity, warc
 from manchete.llm.common import remainder
 from manchete.workspace import working_folder
 
@@ -51,6 +51,10 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return latent.find_leaks(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     held_out = remainder("doc_id", 5) == 0
@@ -77,6 +81,7 @@ def queries() -> dict[str, Query]:
         "op4_warc": op4_warc,
         "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
+        "op7_decontamination": op7_decontamination,
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
