@@ -28,16 +28,16 @@ from manchete.llm.common import map_texts
 from manchete.workspace import materialise
 
 #: Passages searched for at once, latent dimensions, and random directions beyond these.
-AT_ONCE = 2000
-RANK, BEYOND = 128, 16
+AT_ONCE = 1000
+RANK, BEYOND = 256, 16
 SEED = 7
 #: Words in a share of more documents than this carry no weight.
 COMMON = 0.35
 #: Shortest passage that can be found, in words.
 LEAST_WORDS = 5
 #: A window is projected if so much of its squared weight lies in words of passages.
-LEAST_MASS = 0.15
-COSINE = 0.4
+LEAST_MASS = 0.3
+COSINE = 0.3
 #: Shares of a passage's words in common order: enough alone, and with the answer.
 VERBATIM, PARAPHRASE = 0.8, 0.5
 #: Words of the answer, and the share of them in common order.
@@ -73,9 +73,17 @@ class Passages:
     terms: dict[str, int]
     weights: np.ndarray
     common: frozenset[str]
+    places_of: dict[str, int] = field(default_factory=dict)
+    squares: np.ndarray = field(default_factory=lambda: np.zeros(2))
     axes: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
+    def __post_init__(self) -> None:
+        self.places_of = self.terms | dict.fromkeys(self.common, -2)
+        # Squared weights by term; common words (-2) have none, other words (-1) the usual one.
+        usual = float(np.median(self.weights)) if len(self.weights) else 0.0
+        self.squares = np.concatenate((self.weights**2, [0.0, usual**2]))
+
     def vector(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of passage `k`."""
         at = np.unique(np.array([self.terms[w] for w in self.words[k] if w in self.terms], np.int64))
@@ -89,48 +97,48 @@ class Passages:
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(passage, start, length, cosine) of windows near a passage. `ids` has a document's
         words as terms, or -1 for other words and -2 for common ones."""
-        at = np.flatnonzero(ids >= 0)
-        if len(at) < 2:
-            return
-        others = np.concatenate(([0], np.cumsum(ids == -1)))
-        usual = float(np.median(self.weights)) if len(self.weights) else 0.0
+        squares = self.squares
+        # Repeated terms count each time here, which can only let more windows through.
+        inside = np.concatenate(([0.0], np.cumsum(np.where(ids >= 0, squares[ids], 0.0))))
+        outside = np.concatenate(([0.0], np.cumsum(np.where(ids < 0, squares[ids], 0.0))))
         for length in self.lengths():
-            step = length // 2
-            window = np.concatenate((at // step, at // step - 1))
-            pairs = np.unique(np.stack((window, np.concatenate((ids[at], ids[at])))), axis=1)
-            pairs = pairs[:, pairs[0] >= 0] if len(ids) > step else pairs[:, pairs[0] == 0]
-            starts, where, sizes = np.unique(pairs[0], return_inverse=True, return_counts=True)
-            mass = np.bincount(where, self.weights[pairs[1]] ** 2, len(starts))
-            end = np.minimum(starts * step + length, len(ids))
-            rest = (others[end] - others[starts * step]) * usual**2
-            near = np.flatnonzero((mass >= LEAST_MASS * (mass + rest)) & (sizes >= 2))
-            if not len(near):
-                continue
-            latent = np.zeros((len(near), self.axes.shape[1]))
-            inside = np.isin(where, near)
-            rows = np.searchsorted(near, where[inside])
-            np.add.at(latent, rows, self.axes[pairs[1][inside]] * self.weights[pairs[1][inside], None])
-            norms = np.linalg.norm(latent, axis=1, keepdims=True)
-            cosines = (latent / np.where(norms > 0, norms, 1)) @ self.places.T
-            for row, passage in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                yield int(passage), int(starts[near[row]] * step), length, float(cosines[row, passage])
+            starts = np.arange(0, max(len(ids) - length // 2, 1), length // 2)
+            ends = np.minimum(starts + length, len(ids))
+            mass, rest = inside[ends] - inside[starts], outside[ends] - outside[starts]
+            for k in np.flatnonzero((mass > 0) & (mass >= LEAST_MASS * (mass + rest))):
+                own = ids[starts[k] : ends[k]]
+                at = np.unique(own[own >= 0])
+                if len(at) < 2:
+                    continue
+                latent = self.weights[at] @ self.axes[at]
+                # The window's length counts in full, what lies outside the latent space included.
+                cosines = self.places @ latent / np.sqrt(squares[at].sum() + rest[k])
+                for passage in np.flatnonzero(cosines >= COSINE):
+                    yield int(passage), int(starts[k]), length, float(cosines[passage])
 
     def find(self, text: str) -> list[tuple[int, int, int, float, float, bool]]:
         """Leaks in a text: item, first word, words, cosine, share in common order, answer found."""
         words = _words(text)
-        get, common = self.terms.get, self.common
-        ids = np.array([-2 if w in common else get(w, -1) for w in words], np.int64)
+        get = self.places_of.get
+        ids = np.array([get(w, -1) for w in words], np.int64)
         best: dict[int, tuple] = {}
         tried: set[tuple[int, int]] = set()
         for passage, start, length, cosine in self.candidates(ids):
             own = self.words[passage]
             size = len(own) + len(own) // 4
             step = max(1, len(own) // 4)
+            # Words in common order are words in common, in the whole stretch and in a part.
+            stretch = set(words[max(0, start - len(own)) : start + length + size])
+            if sum(w in stretch for w in own) < PARAPHRASE * len(own):
+                continue
             for at in range(max(0, start - len(own)) // step * step, min(len(words), start + length), step):
                 if (passage, at) in tried:
                     continue
                 tried.add((passage, at))
                 part = words[at : at + size]
+                present = set(part)
+                if sum(w in present for w in own) < PARAPHRASE * len(own):
+                    continue
                 share = common_length(own, part) / len(own)
                 if share >= PARAPHRASE and (passage not in best or share > best[passage][4]):
                     answer = own[-ANSWER_WORDS:]
@@ -150,7 +158,7 @@ def _frequencies(df: DataFrame, text: str, terms: dict[str, int]) -> tuple[int,
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 n[-1] += 1
-                n[[known.value[w] for w in set(_words(body)) if w in known.value]] += 1
+                n[[known.value[w] for w in known.value.keys() & set(_words(body))]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"term": at, "n": n[at]})
 
