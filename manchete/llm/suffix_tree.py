@@ -39,8 +39,8 @@ FREQUENT = 5e-7
 _END = b"\n"
 _PAD = _END * DEPTH
 #: Positions counted or scored at once, and distinct words a task counts before it hands them over.
-_POSITIONS = 1 << 21
-_WORDS = 300_000
+_POSITIONS = 1 << 19
+_WORDS = 200_000
 
 
 def _mask(symbols: int) -> int:
@@ -59,10 +59,11 @@ def _hash(words: Iterator[bytes]) -> list[int]:
 
 def _sequences(bodies: list[bytes]) -> np.ndarray:
     """For every position of the bodies the DEPTH bytes before it and its own, packed."""
-    stream = np.frombuffer(b"".join([_PAD + b for b in bodies]), np.uint8).astype(np.int64)
+    stream = np.frombuffer(b"".join([_PAD + b for b in bodies]), np.uint8)
     packed = np.zeros(len(stream) - DEPTH, np.int64)
     for k in range(DEPTH + 1):
-        packed |= stream[k : len(stream) - DEPTH + k] << (8 * (DEPTH - k))
+        packed <<= 8
+        packed |= stream[k : len(stream) - DEPTH + k]
     # Bodies follow each other with a pad between them, whose positions are none.
     lengths = np.array([len(b) for b in bodies])
     own = np.ones(len(packed), bool)
@@ -72,20 +73,32 @@ def _sequences(bodies: list[bytes]) -> np.ndarray:
 
 
 class _Counts:
-    """Sorted numbers with counts, merged as they come."""
+    """Distinct numbers with counts. Parts wait until merging them pays."""
 
     def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = self.distinct = 0
 
     def add(self, values: np.ndarray) -> None:
-        keys, counts = np.unique(values, return_counts=True)
-        keys, where = np.unique(np.concatenate((self.keys, keys)), return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, where, np.concatenate((self.counts, counts)))
-        self.keys, self.counts = keys, total
+        self.parts.append(np.unique(values, return_counts=True))
+        self.waiting += len(self.parts[-1][0])
+        if self.waiting > max(self.distinct, _POSITIONS):
+            self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([k for k, _ in self.parts])
+        counts = np.concatenate([n for _, n in self.parts])
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        self.parts = [(keys[starts], np.add.reduceat(counts, starts))]
+        self.waiting, self.distinct = 0, len(starts)
 
     def take(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = self.keys, self.counts
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._merge()
+        keys, counts = self.parts[0]
         self.__init__()
         return keys, counts
 
@@ -113,7 +126,7 @@ def _counted(texts: DataFrame) -> DataFrame:
                 if held >= _POSITIONS:
                     sequences.add(_sequences(bodies))
                     bodies, held = [], 0
-                    if len(sequences.keys) >= _POSITIONS:
+                    if sequences.distinct >= 2 * _POSITIONS:
                         yield rows(False, *sequences.take())
                 if len(words) >= _WORDS:
                     yield rows(True, _hash(words), list(words.values()))
