@@ -225,7 +225,7 @@ def _fields(pieces: DataFrame, skip: Column) -> DataFrame:
         column: F.nullif(F.regexp_extract("__lines", rf"(?i)\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
         for column, name in FIELDS.items()
     }
-    length = F.regexp_extract("__lines", r"(?i)\nContent-Length:[ \t]*(\d+)", 1).cast("long")
+    length = F.regexp_extract("__lines", r"(?i)\nContent-Length:[ \t]*(\d+)", 1).try_cast("long")
     return rows.withColumns(named | {"__length": length}).drop("__lines")
 
 
@@ -235,7 +235,7 @@ def _finished(rows: DataFrame) -> DataFrame:
     body = F.when(is_http, http_body(F.col("content"))).otherwise(F.col("content"))
     # Only the head of a message is searched; a null separates "no HTTP" from a length of 0.
     head = F.substring(F.col("content"), 1, 4096).cast("string")
-    length = F.regexp_extract(head, r"(?i)\nContent-Length:[ \t]*(\d+)", 1).cast("long")
+    length = F.regexp_extract(head, r"(?i)\nContent-Length:[ \t]*(\d+)", 1).try_cast("long")
     return rows.select(*FIELDS, content.alias("content"), "path").select(
         *FIELDS,
         F.when(is_http, length).alias("http_length"),
@@ -301,9 +301,9 @@ def capture_digests(captured: DataFrame) -> DataFrame:
     is_revisit = F.col("response.record_type") == "revisit"
     stated = F.regexp_extract("response.payload_digest", r"(?i)^sha1:([0-9a-f]{40})$", 1)
     return captured.select(
-        page.cast("long").alias("page_id"),
+        page.try_cast("long").alias("page_id"),
         F.when(is_revisit, F.col("response.http_length")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(is_revisit, stated).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        other.cast("long").alias("refers_to"),
+        other.try_cast("long").alias("refers_to"),
     )
