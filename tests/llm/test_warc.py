@@ -1,0 +1,113 @@
+"""Archives: round trips, payloads that look like records, repeated payloads, assembly."""
+
+import gzip
+import hashlib
+
+import pytest
+
+from manchete.llm import warc
+from pyspark.sql import functions as F
+
+SCHEMA = "page_id long, url string, html string"
+LARGE = "é" * 700
+
+
+def round_trip(spark, pages, path, **options):
+    warc.write_archives(pages, str(path), **options)
+    return warc.read_records(spark, str(path))
+
+
+def digests(records):
+    return {r.page_id: r for r in warc.capture_digests(warc.assemble(records, captured_content=False)).collect()}
+
+
+ROWS = [
+    (1, "http://a/ b", "<p>é\r\n\r\nWARC/1.1\r\nWARC-Type: request\r\nContent-Length: 3\r\n\r\nabc"),
+    (2, None, None),
+    (3, "u", ""),
+    (4, "u", LARGE),
+    (5, "u", LARGE),
+    (6, "u", "small"),
+    (7, "u", "small"),
+    (8, "u", "\r\n\r\n"),
+    (9, "u", "ends in a line\r\n"),
+    (10, "u", "\nWARC/1.1\r\n"),
+    (11, "u", "x" * 200_000),
+    (12, "u", LARGE),
+]
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_round_trip(spark, tmp_path, compression):
+    pages = spark.createDataFrame(ROWS, SCHEMA).repartition(3).withColumn("payload", F.lit("clash"))
+    records = round_trip(spark, pages, tmp_path / "w", compression=compression, records_per_file=2)
+    assert records.count() == 3 * len(ROWS)
+    got = digests(records)
+    for page, _, html in ROWS:
+        payload = (html or "").encode()
+        r = got[page]
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+        assert (r.record_type, r.refers_to) == (("revisit", 12) if page in (4, 5) else ("response", None))
+    bodies = warc.assemble(records).where("response.record_type = 'response'").select(
+        warc.http_body(F.col("response.content")).cast("string").alias("body")
+    )
+    assert sorted(r.body for r in bodies.collect()) == sorted(h or "" for i, _, h in ROWS if i not in (4, 5))
+
+
+def test_separators_at_every_place_of_a_buffer(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "\r\n" * (i % 7) + "y" * (61 * i % 997)) for i in range(3000)], SCHEMA)
+    records = round_trip(spark, pages.coalesce(1), tmp_path / "w")
+    assert records.groupBy("record_type").count().orderBy("record_type").collect() == [
+        ("metadata", 3000), ("request", 3000), ("response", 3000)
+    ]
+
+
+def test_repeated_rows_and_missing_ids(spark, tmp_path):
+    rows = [(6, "u", LARGE), (6, "u", LARGE), (None, "u", LARGE), (2, "u", LARGE), (None, "u", "z")]
+    records = round_trip(spark, spark.createDataFrame(rows, SCHEMA), tmp_path / "w")
+    found = warc.capture_digests(warc.assemble(records)).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in found) == [
+        (0, "response", None), (0, "revisit", 6), (2, "revisit", 6), (6, "response", None), (6, "response", None)
+    ]
+
+
+def test_many_shared_payloads_take_the_shuffled_lookup(spark, tmp_path, monkeypatch):
+    from manchete.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = [(i, "u", "h" * 1500 if i % 3 else str(i // 6) * 1000) for i in range(240)]
+    got = digests(round_trip(spark, spark.createDataFrame(rows, SCHEMA), tmp_path / "w"))
+    for i, _, html in rows:
+        last = max(j for j, _, other in rows if other == html)
+        assert got[i].refers_to == (last if last != i and len(html) >= 1000 else None)
+
+
+def test_several_and_orphaned_records(spark):
+    record = dict.fromkeys([*warc.FIELDS, "http_length", "payload_bytes", "payload_sha1", "content"])
+    rows = [
+        record | {"record_type": "response", "record_id": "r"},
+        record | {"record_type": "request", "record_id": "q2", "concurrent_to": "r"},
+        record | {"record_type": "request", "record_id": "q1", "concurrent_to": "r"},
+        record | {"record_type": "metadata", "record_id": "m", "concurrent_to": "gone"},
+        record | {"record_type": "warcinfo", "record_id": "i"},
+    ]
+    types = {"http_length": "long", "payload_bytes": "long", "content": "binary"}
+    records = spark.createDataFrame(rows, ", ".join(f"{c} {types.get(c, 'string')}" for c in record))
+    got = {r.capture_id: r for r in warc.assemble(records).collect()}
+    assert (got["r"].request.record_id, got["r"].requests, got["r"].metadata) == ("q1", 2, None)
+    assert (got["gone"].response, got["gone"].metadata.record_id) == (None, "m")
+
+
+def test_foreign_archive_of_single_members(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\n\x00\xff\xfe binary"
+    head = b"WARC/1.1\r\nwarc-type: response\r\nWARC-Record-ID: <a>\r\nContent-Type: application/http\r\ncontent-length: %d\r\n\r\n" % len(body)
+    other = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(other) + gzip.compress(head + body + b"\r\n\r\n"))
+    rows = {r.record_type: r for r in warc.read_records(spark, str(tmp_path / "x.warc.gz")).collect()}
+    assert bytes(rows["response"].content) == body and rows["response"].payload_bytes == 10
+    assert rows["response"].payload_sha1 == hashlib.sha1(b"\x00\xff\xfe binary").hexdigest()
+
+
+def test_empty_table(spark, tmp_path):
+    records = round_trip(spark, spark.createDataFrame([], SCHEMA), tmp_path / "w")
+    assert warc.assemble(records).collect() == []
