@@ -1,0 +1,51 @@
+"""Token counts against the library itself."""
+
+import random
+
+import pytest
+from tokenizers import Tokenizer
+
+from manchete.llm import tokens
+
+from .helpers import by_id, clashing, documents
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(PATH)
+    return lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_random_texts_of_many_scripts(library):
+    rng = random.Random(10)
+    usual = "aAbBeE'sS tTdvelmr019.,-_é½²ª×÷Éß\x1c\x85\xa0 <|>\n"
+    odd = usual + "İΣσ́Ωж中😀ŉǅﬁẞ" + "".join(map(chr, range(0x80, 0x250)))
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 50))) for a in (usual, odd) for _ in range(4000)]
+    texts += ["<|endoftext|> a <|startoftext|>", "I'll WE'VE it's", "", " ", "word " * 50_000, "x" * 5_000]
+    assert tokens.Counting(PATH).count(texts) == [library(t) for t in texts]
+
+
+def test_a_full_memory_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(tokens, "_REMEMBERED", 1)
+    counting = tokens.Counting(PATH)
+    texts = ["zzqx yyqp", "abcdefgx", "zzqx"]
+    assert [counting.count([t])[0] for t in texts] == [library(t) for t in texts]
+
+
+def test_whole_tokens_are_proved():
+    counting = tokens.Counting(PATH)
+    assert "the" in counting.whole and len(counting.whole) > 20_000
+    assert all(counting.tokenizer.encode(t, add_special_tokens=False).ids for t in list(counting.whole)[:50])
+
+
+def test_table_of_documents(spark, library):
+    rows = [(1, "é " * 2049), (2, None), (3, ""), (None, "a b"), (1, "é " * 2049), (4, "a " * 2048)]
+    found = tokens.token_counts(clashing(documents(spark, rows)), PATH)
+    assert found.count() == 6
+    got = by_id(found)
+    assert (got[1].n_bytes, got[1].n_tokens, got[1].over_limit) == (3 * 2049, library("é " * 2049), True)
+    assert (got[2].n_tokens, got[3].n_bytes, got[None].n_tokens, got[4].over_limit) == (0, 0, 2, False)
+    assert tokens.token_counts(documents(spark, []), PATH).collect() == []
