@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,9 @@ VERBATIM, PARAPHRASE = 0.8, 0.5
 #: Words of the answer, and the share of them in common order.
 ANSWER_WORDS, ANSWER_SHARE = 5, 0.8
 
+#: Windows projected at once.
+_WINDOWS = 1024
+
 _WORD = re.compile(r"[^\W_]+")
 _HITS = "array<struct<item_id:long,first_word:int,n_words:int,cosine:double,lcs:double,answer:boolean>>"
 
@@ -75,7 +79,7 @@ class Passages:
     common: frozenset[str]
     places_of: dict[str, int] = field(default_factory=dict)
     squares: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    axes: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    weighed: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __post_init__(self) -> None:
@@ -94,37 +98,51 @@ class Passages:
         longest = max(map(len, self.words), default=0)
         return [1 << k for k in range(4, max(4, (longest - 1).bit_length()) + 1)]
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
-        """(passage, start, length, cosine) of windows near a passage. `ids` has a document's
-        words as terms, or -1 for other words and -2 for common ones."""
-        squares = self.squares
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        """(document, passage, start, length, cosine) of windows near a passage.
+
+        `ids` has the words of several documents as terms, or -1 for other words and -2 for
+        common ones; document k is between bounds k and k + 1.
+        """
+        squares, sizes = self.squares, np.diff(bounds)
         # Repeated terms count each time here, which can only let more windows through.
         inside = np.concatenate(([0.0], np.cumsum(np.where(ids >= 0, squares[ids], 0.0))))
         outside = np.concatenate(([0.0], np.cumsum(np.where(ids < 0, squares[ids], 0.0))))
         for length in self.lengths():
-            starts = np.arange(0, max(len(ids) - length // 2, 1), length // 2)
-            ends = np.minimum(starts + length, len(ids))
+            step = length // 2
+            windows = np.where(sizes > 0, np.maximum(-(-(sizes - step) // step), 1), 0)
+            document = np.repeat(np.arange(len(sizes)), windows)
+            number = np.arange(len(document)) - np.repeat(np.cumsum(windows) - windows, windows)
+            starts = bounds[document] + number * step
+            ends = np.minimum(starts + length, bounds[document + 1])
             mass, rest = inside[ends] - inside[starts], outside[ends] - outside[starts]
-            for k in np.flatnonzero((mass > 0) & (mass >= LEAST_MASS * (mass + rest))):
-                own = ids[starts[k] : ends[k]]
-                at = np.unique(own[own >= 0])
-                if len(at) < 2:
-                    continue
-                latent = self.weights[at] @ self.axes[at]
+            near = np.flatnonzero((mass > 0) & (mass >= LEAST_MASS * (mass + rest)))
+            for at in range(0, len(near), _WINDOWS):
+                some = near[at : at + _WINDOWS]
+                # (window, term) pairs, each once and in order.
+                spans = ends[some] - starts[some]
+                window = np.repeat(np.arange(len(some)), spans)
+                term = ids[np.arange(len(window)) + np.repeat(starts[some] - np.cumsum(spans) + spans, spans)]
+                window, term = np.divmod(np.unique((window * len(squares) + term)[term >= 0]), len(squares))
+                first = np.searchsorted(window, np.arange(len(some)))
+                latent = np.add.reduceat(self.weighed[term], first, axis=0)
                 # The window's length counts in full, what lies outside the latent space included.
-                cosines = self.places @ latent / np.sqrt(squares[at].sum() + rest[k])
-                for passage in np.flatnonzero(cosines >= COSINE):
-                    yield int(passage), int(starts[k]), length, float(cosines[passage])
-
-    def find(self, text: str) -> list[tuple[int, int, int, float, float, bool]]:
-        """Leaks in a text: item, first word, words, cosine, share in common order, answer found."""
-        words = _words(text)
-        get = self.places_of.get
-        ids = np.array([get(w, -1) for w in words], np.int64)
-        best: dict[int, tuple] = {}
-        tried: set[tuple[int, int]] = set()
-        for passage, start, length, cosine in self.candidates(ids):
-            own = self.words[passage]
+                norms = np.sqrt(np.bincount(window, squares[term], len(some)) + rest[some])
+                cosines = latent @ self.places.T / norms[:, None]
+                for row, passage in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                    k = some[row]
+                    yield int(document[k]), int(passage), int(number[k]) * step, length, float(cosines[row, passage])
+
+    def find(self, texts: list[str]) -> list[list[tuple[int, int, int, float, float, bool]]]:
+        """Leaks in each text: item, first word, words, cosine, share in common order, answer found."""
+        documents = [_words(t) for t in texts]
+        bounds = np.concatenate(([0], np.cumsum([len(d) for d in documents], dtype=np.int64)))
+        flat = map(self.places_of.get, chain.from_iterable(documents), repeat(-1))
+        ids = np.fromiter(flat, np.int64, bounds[-1])
+        best: dict[tuple[int, int], tuple] = {}
+        tried: set[tuple[int, int, int]] = set()
+        for document, passage, start, length, cosine in self.candidates(ids, bounds):
+            words, own = documents[document], self.words[passage]
             size = len(own) + len(own) // 4
             step = max(1, len(own) // 4)
             # Words in common order are words in common, in the whole stretch and in a part.
@@ -132,20 +150,24 @@ class Passages:
             if sum(w in stretch for w in own) < PARAPHRASE * len(own):
                 continue
             for at in range(max(0, start - len(own)) // step * step, min(len(words), start + length), step):
-                if (passage, at) in tried:
+                if (document, passage, at) in tried:
                     continue
-                tried.add((passage, at))
+                tried.add((document, passage, at))
                 part = words[at : at + size]
                 present = set(part)
                 if sum(w in present for w in own) < PARAPHRASE * len(own):
                     continue
                 share = common_length(own, part) / len(own)
-                if share >= PARAPHRASE and (passage not in best or share > best[passage][4]):
+                known = best.get((document, passage))
+                if share >= PARAPHRASE and (known is None or share > known[4]):
                     answer = own[-ANSWER_WORDS:]
                     found = common_length(answer, part) >= ANSWER_SHARE * len(answer)
                     if found or share >= VERBATIM:
-                        best[passage] = (self.ids[passage], at, len(part), cosine, share, found)
-        return [best[k] for k in sorted(best)]
+                        best[document, passage] = (self.ids[passage], at, len(part), cosine, share, found)
+        found_in: list[list[tuple]] = [[] for _ in texts]
+        for document, passage in sorted(best):
+            found_in[document].append(best[document, passage])
+        return found_in
 
 
 def _frequencies(df: DataFrame, text: str, terms: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -249,10 +271,10 @@ def _parts(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text:
         matrix = spark.createDataFrame(
             [(at.tolist(), w.tolist()) for at, w in vectors if len(at)], "at array<long>, weight array<double>"
         )
-        passages.axes = _decompose(matrix, len(kept)) if kept else np.zeros((0, 1))
-        latent = np.array([w @ passages.axes[at] for at, w in vectors]).reshape(len(rows), -1)
+        passages.weighed = (_decompose(matrix, len(kept)) * weights[:, None]).astype(np.float32) if kept else np.zeros((0, 1), np.float32)
+        latent = np.array([passages.weighed[at].sum(axis=0) for at, _ in vectors]).reshape(len(rows), -1)
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
-        passages.places = latent / np.where(norms > 0, norms, 1)
+        passages.places = (latent / np.where(norms > 0, norms, 1)).astype(np.float32)
         yield passages
 
 
@@ -274,7 +296,7 @@ def find_leaks(
     result = None
     for passages in _parts(df, benchmark, text, item, item_text):
         shared = df.sparkSession.sparkContext.broadcast(passages)
-        hits = map_texts(df, [id], text, lambda texts, own=shared: {"hits": [_rows(own.value, t) for t in texts]}, f"hits {_HITS}")
+        hits = map_texts(df, [id], text, lambda texts, own=shared: {"hits": _rows(own.value, texts)}, f"hits {_HITS}")
         found = hits.select(id, F.explode("hits").alias("hit")).select(id, "hit.*")
         result = found if result is None else result.unionByName(found)
     if result is None:
@@ -295,12 +317,12 @@ def drop_leaking(
     for passages in _parts(df, benchmark, text, item, item_text):
         shared = df.sparkSession.sparkContext.broadcast(passages)
         flagged = map_texts(
-            kept, df.columns, text, lambda texts, own=shared: {"__leaks": [bool(own.value.find(t)) for t in texts]}, "__leaks boolean"
+            kept, df.columns, text, lambda texts, own=shared: {"__leaks": [bool(h) for h in own.value.find(texts)]}, "__leaks boolean"
         )
         kept = flagged.where("not __leaks").drop("__leaks")
     return kept
 
 
-def _rows(passages: Passages, text: str) -> list[dict]:
+def _rows(passages: Passages, texts: list[str]) -> list[list[dict]]:
     names = ("item_id", "first_word", "n_words", "cosine", "lcs", "answer")
-    return [dict(zip(names, hit, strict=True)) for hit in passages.find(text)]
+    return [[dict(zip(names, hit, strict=True)) for hit in hits] for hits in passages.find(texts)]
