@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+import manchete
+
+# Ship the operators with the tasks, so executors need no installed package.
+cloudpickle.register_pickle_by_value(manchete)
+
 #: Texts handed to a Python function at once, so that what it holds stays small.
 TEXTS_AT_ONCE = 256
 

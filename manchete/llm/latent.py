@@ -172,15 +172,12 @@ class Passages:
 
 def _frequencies(df: DataFrame, text: str, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """Number of documents, and for each term the number of documents that have it."""
-    spark = df.sparkSession
-    known = spark.sparkContext.broadcast(terms)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(known.value) + 1, np.int64)
+        n = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 n[-1] += 1
-                n[[known.value[w] for w in known.value.keys() & set(_words(body))]] += 1
+                n[[terms[w] for w in terms.keys() & set(_words(body))]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"term": at, "n": n[at]})
 
@@ -295,8 +292,7 @@ def find_leaks(
     """
     result = None
     for passages in _parts(df, benchmark, text, item, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(passages)
-        hits = map_texts(df, [id], text, lambda texts, own=shared: {"hits": _rows(own.value, texts)}, f"hits {_HITS}")
+        hits = map_texts(df, [id], text, lambda texts, own=passages: {"hits": _rows(own, texts)}, f"hits {_HITS}")
         found = hits.select(id, F.explode("hits").alias("hit")).select(id, "hit.*")
         result = found if result is None else result.unionByName(found)
     if result is None:
@@ -315,9 +311,8 @@ def drop_leaking(
     """The rows of `df` whose text holds no leak; all columns are kept."""
     kept = df
     for passages in _parts(df, benchmark, text, item, item_text):
-        shared = df.sparkSession.sparkContext.broadcast(passages)
         flagged = map_texts(
-            kept, df.columns, text, lambda texts, own=shared: {"__leaks": [bool(h) for h in own.value.find(texts)]}, "__leaks boolean"
+            kept, df.columns, text, lambda texts, own=passages: {"__leaks": [bool(h) for h in own.find(texts)]}, "__leaks boolean"
         )
         kept = flagged.where("not __leaks").drop("__leaks")
     return kept
