@@ -7,11 +7,12 @@ import argparse
 from pyspark.sql import SparkSession
 
 from manchete import schema as S
-from manchete.plans.capture import run_capture
-from manchete.plans.cleaning import run_cleaning
+from manchete.plans.capture import declared_pages, run_capture
+from manchete.plans.cleaning import EXTRA_TABLES, run_cleaning
 from manchete.plans.text_statistics import run_text_statistics
 from manchete.sinks.csv_tables import write_counts
 from manchete.sources.site_profile import SiteProfile
+from manchete.workspace import job_folders
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -26,34 +27,54 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     limit = capture.add_mutually_exclusive_group()
     limit.add_argument("--pages", type=int, help="only the first result pages")
     limit.add_argument("--articles", type=int, help="only the first articles")
+    capture.add_argument("--term", help="only articles whose title, subtitle or text holds this term")
+    capture.add_argument(
+        "--video-address", action="append", default=[], help="address part that marks a frame as a video; may repeat"
+    )
 
     clean = jobs.add_parser("clean", help="raw CSV to cleaned table, monthly and yearly counts")
     clean.add_argument("csv")
     clean.add_argument("output", help="folder for the three tables")
     clean.add_argument("--start", default=S.RANGE_START)
     clean.add_argument("--end", default=S.RANGE_END)
+    clean.add_argument(
+        "--also", nargs="*", default=[], choices=EXTRA_TABLES, help="further tables to write into the folder"
+    )
 
     stats = jobs.add_parser("stats", help="CSV to term statistics, tag chart and word clouds")
     stats.add_argument("csv")
     stats.add_argument("output", help="folder for the tables")
+    stats.add_argument("--two-pass", action="store_true", help="read the texts twice and shuffle fewer n-grams")
     return parser.parse_args(argv)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    with job_folders(spark):
+        _run(spark, args)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "capture":
+        list_pages = spark.read.parquet(args.list_pages)
+        profile = SiteProfile(args.base_url).with_video_addresses(*args.video_address)
+        limited = args.pages is not None or args.articles is not None
         run_capture(
-            spark.read.parquet(args.list_pages),
+            list_pages,
             spark.read.parquet(args.article_pages),
-            SiteProfile(args.base_url),
+            profile,
             args.output,
+            term=args.term,
             max_pages=args.pages,
             max_articles=args.articles,
+            total_pages=declared_pages(list_pages, profile) if limited else None,
         )
     elif args.job == "clean":
         names = ("clean", "monthly", "yearly")
-        run_cleaning(spark, args.csv, *(f"{args.output}/{n}" for n in names), args.start, args.end)
+        paths = [f"{args.output}/{n}" for n in names]
+        extras = {n: f"{args.output}/{n}" for n in args.also}
+        run_cleaning(spark, args.csv, *paths, args.start, args.end, extras)
     else:
-        tables = run_text_statistics(spark, args.csv, f"{args.output}/term_stats")
+        tables = run_text_statistics(spark, args.csv, f"{args.output}/term_stats", args.two_pass)
         for name, table in tables.items():  # at most a hundred rows per cloud, twenty tags
             write_counts(table.orderBy(table.columns[0], "posicao"), f"{args.output}/{name}")
 

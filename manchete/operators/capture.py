@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from manchete import schema as S
@@ -20,11 +20,9 @@ _NOT_COLLECTED = {
 
 # A link with more hits than this is a hot link, split into chunks of this size.
 _HOT_LINK_HITS = 200_000
-# Only the heaviest links need splitting: what is not among the first 256 holds less
-# than 1/256 of all hits. The list has at most this many rows, so it is broadcast.
-_HOT_LINKS = 256
-# Upper bound for the copies of one article that the chunks of its link are joined to.
-_MAX_CHUNKS = 2_000
+# There are fewer hot links than this, which bounds what is broadcast: beyond 20 billion
+# hits a link counts as hot from a share of all hits on, and the chunks grow with it.
+_HOT_LINKS = 100_000
 
 
 def one_article_per_link(articles: DataFrame) -> DataFrame:
@@ -50,16 +48,16 @@ def join_details(
     once. Links with very many hits are joined apart, their hits spread over several
     tasks by a chunk number.
     """
+    # Only links over the limit are looked at: one task sees a row for 200,000 hits at most.
+    in_hot_links = F.sum("n").over(Window.partitionBy())
+    chunk_hits = F.greatest(F.lit(hot_link_hits), F.ceil(in_hot_links / _HOT_LINKS))
     hot = (
         hits.groupBy("link_noticia")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > hot_link_hits)
-        .orderBy(F.desc("n"), "link_noticia")
-        .limit(_HOT_LINKS)
-        .select(
-            "link_noticia",
-            F.least(F.ceil(F.col("n") / hot_link_hits), F.lit(_MAX_CHUNKS)).cast("int").alias("chunks"),
-        )
+        .withColumn("chunk_hits", chunk_hits)
+        .where(F.col("n") > F.col("chunk_hits"))
+        .select("link_noticia", F.ceil(F.col("n") / F.col("chunk_hits")).cast("int").alias("chunks"))
     )
     marked_hits = hits.join(F.broadcast(hot), "link_noticia", "left")
     marked_articles = one_article_per_link(articles).join(F.broadcast(hot), "link_noticia", "left")
@@ -95,6 +93,6 @@ def join_details(
     )
 
 
-def captured_count(articles: DataFrame) -> DataFrame:
-    """Number of captured articles."""
-    return articles.agg(F.count("*").alias("total_noticias"))
+def captured_count(hits: DataFrame) -> DataFrame:
+    """Number of captured articles: every usable hit gives one, so no article is read."""
+    return hits.agg(F.count("*").alias("total_noticias"))

@@ -9,7 +9,6 @@ from manchete import schema as S
 from manchete.functions.literals import name, null_if_listed, quoted
 
 REQUIRED = ("titulo", "link_noticia")
-_PROBE_ROWS = 1_000
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:
@@ -30,18 +29,9 @@ def _without_sentinels(df: DataFrame) -> list[str]:
 
 
 def empty_columns(df: DataFrame) -> list[str]:
-    """Names of the columns that are null in every row; runs up to two small jobs.
-
-    Columns seen non-null in the first rows are settled by those; only what is left is
-    looked for in the whole table, which then reads just these columns.
-    """
-
-    def still_empty(rows: DataFrame, columns: list[str]) -> list[str]:
-        seen = rows.selectExpr(*(f"max({name(c)} IS NOT NULL) AS {name(c)}" for c in columns)).first()
-        return [c for c in columns if not seen[c]]
-
-    left = still_empty(df.limit(_PROBE_ROWS), df.columns)
-    return still_empty(df.select(*left), left) if left else []
+    """Names of the columns that are null in every row; one aggregate over the table."""
+    seen = df.selectExpr(*(f"max({name(c)} IS NOT NULL) AS {name(c)}" for c in df.columns)).first()
+    return [c for c in df.columns if not seen[c]]
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from manchete.operators.numbering import number_rows
+
 # Positions inside one text are below 2^31, so a row's number times 2^31 plus the
 # position orders by row, then position.
 _POSITIONS_PER_ROW = "2147483648"
@@ -30,16 +32,24 @@ def arrival(df: DataFrame, key: str, position: str) -> Column:
     return F.struct(key, position)
 
 
+# The most rows that Spark cuts every task to before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+_CUT_BEFORE_SHUFFLE = 1000
+
+
 def top_by_frequency(df: DataFrame, section: str, limit: int) -> DataFrame:
     """Keep the ``limit`` most frequent rows of every section and number them ``posicao``.
 
-    Expects ``frequencia`` and ``primeira``; Spark cuts each task to ``limit`` rows per
-    section before the shuffle.
+    Expects ``frequencia`` and ``primeira``. For limits that Spark does not cut the tasks to
+    before the shuffle, rows are numbered range by range; the result is the same.
     """
-    order = [F.desc("frequencia"), F.col("primeira")]
+    order = [F.desc("frequencia"), F.col("primeira").asc()]
     if isinstance(df.schema["primeira"].dataType, T.DecimalType):
         # Rare terms tie on the frequency, and comparing wide decimals is slow. A double
         # orders them the same way up to rounding, so the decimal settles the rest.
-        order.insert(1, F.col("primeira").cast("double"))
+        order.insert(1, F.col("primeira").cast("double").asc())
+    if limit > _CUT_BEFORE_SHUFFLE:
+        numbered = number_rows(df, order, within=section, name="posicao")
+        return numbered.where(F.col("posicao") <= limit).withColumn("posicao", F.col("posicao").cast("int"))
     by_rank = Window.partitionBy(section).orderBy(*order)
     return df.withColumn("posicao", F.row_number().over(by_rank)).where(F.col("posicao") <= limit)

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manchete import schema as S
-
-# Up to this many rows the first N are taken with a top-k operator; beyond it the
-# cut is found from per-block counts, so no task ever holds N rows.
-_TOP_K_ROWS = 100_000
-_PAGES_PER_BLOCK = 4096
+from manchete.operators.numbering import number_rows
 
 
 def usable_hits(hits: DataFrame) -> DataFrame:
@@ -32,37 +28,19 @@ def first_pages(hits: DataFrame, pages: int, total_pages: int | None = None) ->
     return hits.where(F.col("page_no") <= pages)
 
 
-def first_articles(
-    hits: DataFrame, articles: int, total_pages: int | None = None, top_k_rows: int = _TOP_K_ROWS
-) -> DataFrame:
+def first_articles(hits: DataFrame, articles: int, total_pages: int | None = None) -> DataFrame:
     """First ``articles`` usable hits in order of arrival, i.e. by page and position.
 
-    Beyond ``top_k_rows`` the hits are read three times, so they should be a table.
+    Hits without a page number have no place in that order and are not counted. The hits
+    are numbered range by range, so no task holds all of them, and come out in order.
     """
     _check_limit(
         "articles", articles, None if total_pages is None else total_pages * S.HITS_PER_PAGE
     )
-    usable = usable_hits(hits)
-    if articles <= top_k_rows:
-        return usable.orderBy("page_no", "pos").limit(articles)
-
-    # Whole blocks of pages before the cut pass as they are; only the block the cut
-    # falls into is ranked. The running total covers one row per 4096 pages.
-    block = F.floor(F.col("page_no") / _PAGES_PER_BLOCK).alias("block")
-    ends = (
-        usable.groupBy(block)
-        .agg(F.count("*").alias("n"))
-        .withColumn("end", F.sum("n").over(Window.orderBy("block")))
-        .select("block", "end", (F.col("end") - F.col("n")).alias("start"))
-    )
-    placed = usable.withColumn("block", block).join(ends, "block")
-    whole = placed.where(F.col("end") <= articles)
-    cut = (
-        placed.where((F.col("start") < articles) & (F.col("end") > articles))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("page_no", "pos")))
-        .where(F.col("start") + F.col("nth") <= articles)
-    )
-    return whole.select(*hits.columns).unionByName(cut.select(*hits.columns))
+    placed = usable_hits(hits).where(F.col("page_no").isNotNull())
+    arrival = [F.col("page_no").asc(), F.col("pos").asc()]
+    numbered = number_rows(placed, arrival)
+    return numbered.where(F.col("numero") <= articles).orderBy("numero").drop("numero")
 
 
 def first_rows(df: DataFrame, order_by: str | list[str], n: int = S.PREVIEW) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from manchete import schema as S
 from manchete.operators.capture import join_details
-from manchete.operators.selection import first_articles, first_pages, usable_hits
+from manchete.operators.selection import first_articles, first_pages, search_articles, usable_hits
 from manchete.sinks.csv_tables import write_csv
-from manchete.sources.captured_pages import extract_articles, extract_hits
+from manchete.sources.captured_pages import declared_totals, extract_articles, extract_hits
 from manchete.sources.site_profile import SiteProfile
 from manchete.workspace import materialise
 
@@ -36,7 +37,7 @@ def capture_hits(
 def capture_articles(
     list_pages: DataFrame, article_pages: DataFrame, profile: SiteProfile, **limits: int | None
 ) -> DataFrame:
-    """One row per usable hit with its article fields, in no particular order.
+    """One row per usable hit with its article fields.
 
     ``list_pages`` holds ``(page_no, html)``, ``article_pages`` ``(page_id, url, html)``;
     the limits are those of :func:`capture_hits`. Columns ``page_no`` and ``pos`` give the
@@ -46,20 +47,34 @@ def capture_articles(
     return join_details(hits, extract_articles(article_pages, profile))
 
 
+def declared_pages(list_pages: DataFrame, profile: SiteProfile) -> int | None:
+    """The number of result pages that the first page with a declaration gives, if any does."""
+    declared = declared_totals(list_pages, profile).where("paginas IS NOT NULL")
+    return declared.agg(F.min_by("paginas", "page_no")).first()[0]
+
+
 def run_capture(
     list_pages: DataFrame,
     article_pages: DataFrame,
     profile: SiteProfile,
     path: str,
+    term: str | None = None,
     **limits: int | None,
 ) -> bool:
     """Write the captured articles as CSV; false, and nothing written, if there are none.
 
-    Every hit gives one article, so the hits alone tell whether there are any.
+    The articles come in order of arrival, page by page; the names of the files follow it.
+
+    Every hit gives one article, so the hits alone tell whether there are any. With a
+    ``term`` only articles that hold it are written, which may be none.
     """
     hits = capture_hits(list_pages, profile, **limits)
     if hits.isEmpty():
         return False
     articles = join_details(hits, extract_articles(article_pages, profile))
-    write_csv(articles.select(*S.ARTICLE_COLUMNS), path)
+    if term is not None:
+        articles = materialise(search_articles(articles, term))
+        if articles.isEmpty():
+            return False
+    write_csv(articles.orderBy("page_no", "pos").select(*S.ARTICLE_COLUMNS), path)
     return True

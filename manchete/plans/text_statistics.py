@@ -12,16 +12,17 @@ from manchete.sources.news_csv import read_news_csv
 from manchete.workspace import materialise
 
 ROW_ID = "row_id"
-# From this many scan splits on (64 GiB at the default split size) the n-grams are
-# counted in two passes, because their shuffle outgrows the text itself.
-_TWO_PASS_SPLITS = 512
 
 
-def run_text_statistics(spark: SparkSession, csv_path: str, stats_path: str) -> dict[str, DataFrame]:
-    """Write the statistics; return the tables behind the tag chart and the clouds."""
+def run_text_statistics(
+    spark: SparkSession, csv_path: str, stats_path: str, two_pass: bool = False
+) -> dict[str, DataFrame]:
+    """Write the statistics; return the tables behind the tag chart and the clouds.
+
+    ``two_pass`` reads the texts twice to shuffle fewer n-grams; the result is the same.
+    """
     articles = materialise(read_news_csv(spark, csv_path, row_id=ROW_ID))
-    large = articles.rdd.getNumPartitions() > _TWO_PASS_SPLITS
-    write_term_stats(term_stats(articles, row_id=ROW_ID, two_pass=large), stats_path)
+    write_term_stats(term_stats(articles, row_id=ROW_ID, two_pass=two_pass), stats_path)
     tables = {"clouds": cloud_terms(articles, row_id=ROW_ID)}
     if "tags_noticia" in articles.columns:
         tables["tag_chart"] = top_tags(articles, limit=S.TOP_CHART_TAGS, row_id=ROW_ID)

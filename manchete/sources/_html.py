@@ -28,7 +28,7 @@ class PageIndex(HTMLParser):
             if html.rfind("<!--") > html.rfind("-->"):
                 self.feed("-->")  # an open comment hides the rest of the page, as in a browser
             self.close()
-        except AssertionError:  # markup the parser refuses: a page without content
+        except (AssertionError, ValueError):  # markup the parser refuses: a page without content
             self.items.clear()
             self._open.clear()
         while self._open:

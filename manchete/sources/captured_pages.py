@@ -79,6 +79,14 @@ def _parsed(
     return pages.mapInArrow(run, ddl)
 
 
+def _resolved(base_url: str, address: str | None) -> str | None:
+    """Absolute address; null for none and for one that is no address."""
+    try:
+        return None if address is None else urljoin(base_url, address)
+    except ValueError:
+        return None
+
+
 def _hit_rows(profile: SiteProfile) -> Callable[[dict], Iterator[dict]]:
     def read(row):
         page = PageIndex(row["html"])
@@ -97,7 +105,7 @@ def _hit_rows(profile: SiteProfile) -> Callable[[dict], Iterator[dict]]:
                 "pos": pos,
                 "titulo": title,
                 "subtitulo": subtitle,
-                "link_noticia": None if href is None else urljoin(profile.base_url, href),
+                "link_noticia": _resolved(profile.base_url, href),
             }
 
     return read
@@ -151,10 +159,14 @@ def _tags(page: PageIndex, profile: SiteProfile) -> list[str]:
 
 def _article_rows(profile: SiteProfile) -> Callable[[dict], Iterator[dict]]:
     def read(row):
-        page = PageIndex(row["html"])
-        yield {
-            "page_id": row["page_id"],
-            "link_noticia": row["url"],
+        own = {"page_id": row["page_id"], "link_noticia": row["url"]}
+        try:
+            yield own | fragments(PageIndex(row["html"]))
+        except Exception:  # whatever is wrong with a page, it only makes that page uncollected
+            yield own | {"assinado": False}
+
+    def fragments(page):
+        return {
             "assinado": profile.signature is None or page.find(profile.signature) is not None,
             "autor": _author(page, profile),
             "carimbo": _stamp(page, profile),
@@ -172,7 +184,8 @@ def _article_rows(profile: SiteProfile) -> Callable[[dict], Iterator[dict]]:
 def extract_hits(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     """Result-list pages ``(page_no, html)`` → one row per hit, ``pos`` counting from 0.
 
-    Rows keep what was found: a hit without link or title has nulls there.
+    Rows keep what was found: a hit without link or title has nulls there, and so has a
+    hit whose link is no address.
     """
     pages = pages.select(F.col("page_no").cast("int"), "html")
     return _parsed(pages, _HITS_DDL, _HITS_ARROW, _hit_rows(profile))
@@ -182,7 +195,8 @@ def extract_articles(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     """Article pages ``(page_id, url, html)`` → article detail fields per page.
 
     ``coletado`` says whether the page carries the article signature; without it the
-    page counts as not collected (see :func:`manchete.operators.capture.join_details`).
+    page counts as not collected, and so does a page of which some part cannot be read
+    (see :func:`manchete.operators.capture.join_details`).
     """
     pages = pages.select(F.col("page_id").cast("bigint"), "url", "html")
     raw = _parsed(pages, _FRAGMENTS_DDL, _FRAGMENTS_ARROW, _article_rows(profile))
@@ -194,7 +208,7 @@ def extract_articles(pages: DataFrame, profile: SiteProfile) -> DataFrame:
         fields.stamp_time(F.col("carimbo")).alias("horario"),
         fields.body_text(F.col("paragrafos")).alias("texto_completo"),
         F.col("imagem").alias("link_imagem_principal"),
-        fields.has_video(F.col("reprodutor"), F.col("quadros"), profile.video_markers).alias(
+        fields.has_video(F.col("reprodutor"), F.col("quadros"), profile.video_addresses).alias(
             "tem_video"
         ),
         fields.clean_byline(F.col("autor")).alias("nome_reporter"),

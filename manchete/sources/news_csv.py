@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,15 +47,58 @@ def _typed(column: str) -> Column:
     return cell.try_cast(wanted).alias(column)
 
 
+# A cell beyond the header goes here, and is refused.
+_BEYOND = "_alem_do_cabecalho"
+# Row numbers of one scan task; the number of the file stands above them.
+_ROWS_PER_TASK = 1 << 33
+
+
+def _headers(spark: SparkSession, path: str | list[str]) -> list[tuple[str, tuple[str, ...]]]:
+    """Every file with its column names, in the order of the paths; empty files are left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    ordered = lines.withColumn("at", F.monotonically_increasing_id())
+    # A row for each file, and the list of files is in the driver's hands anyway.
+    firsts = ordered.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
+    parsed = ((r.file, next(csv.reader([r.header.removeprefix("\ufeff")]), [])) for r in firsts)
+    return sorted((file, tuple(header)) for file, header in parsed if header)
+
+
 def read_news_csv(spark: SparkSession, path: str | list[str], row_id: str | None = None) -> DataFrame:
-    """Read a raw or cleaned news CSV: columns by header name, fixed types, tokens as nulls.
+    """Read raw or cleaned news CSVs: columns by header name, fixed types, tokens as nulls.
 
-    ``row_id`` names an extra BIGINT column that numbers the rows in file order; the
-    term statistics use it to break ties by first appearance. Cells may hold line
-    breaks, so a file is one task: save large corpora as many files.
+    Files may differ in their columns and in their order: each is read by its own header,
+    and a column that a file lacks is null there. A row with more cells than its header is
+    an error. ``row_id`` names an extra BIGINT column that grows with the path of the file
+    and the row in it; the term statistics use it to break ties by first appearance. Cells
+    may hold line breaks, so a file is one task: save large corpora as many files.
     """
-    raw = spark.read.options(**CSV_OPTIONS, multiLine="true").csv(path)
-    if row_id:
-        raw = raw.withColumn(row_id, F.monotonically_increasing_id())
+    files = _headers(spark, path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in files:
+        groups.setdefault(header, []).append(file)
+    numbers = {file: k for k, (file, _) in enumerate(files)}
+    tables = [_read_group(spark, header, own, row_id, numbers) for header, own in groups.items()]
+    if not tables:
+        raise ValueError(f"no CSV with a header in {path}")
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     cells = decode_missing(raw)
     return cells.select(*(F.col(name(c)) if c == row_id else _typed(c) for c in cells.columns))
+
+
+def _read_group(
+    spark: SparkSession, header: tuple[str, ...], files: list[str], row_id: str | None, numbers: dict[str, int]
+) -> DataFrame:
+    """The files that share a header, as texts."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*header, _BEYOND)])
+    rows = spark.read.options(**CSV_OPTIONS, multiLine="true").schema(schema).csv([unquote(f) for f in files])
+    beyond = F.col(_BEYOND).isNull()
+    checked = rows.where(beyond | F.assert_true(beyond, "a CSV row has more cells than its header").isNull())
+    if not row_id:
+        return checked.drop(_BEYOND)
+    own = spark.createDataFrame([(f, numbers[f]) for f in files], "_arquivo string, _numero long")
+    # Rows are numbered in the task that reads them; a file is read by one task, in order.
+    numbered = checked.select(
+        "*", F.col("_metadata.file_path").alias("_arquivo"), F.monotonically_increasing_id().alias("_lido")
+    )
+    number = F.col("_numero") * _ROWS_PER_TASK + F.col("_lido").bitwiseAND(F.lit(_ROWS_PER_TASK - 1))
+    return numbered.join(F.broadcast(own), "_arquivo").select(*(F.col(name(c)) for c in header), number.alias(row_id))

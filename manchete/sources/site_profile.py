@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from urllib.parse import urlsplit
+from dataclasses import dataclass, replace
 
 Selector = tuple[str | None, str | None] | None  # (tag, class)
 
@@ -39,19 +38,17 @@ class SiteProfile:
     tags_box: Selector = ("div", "tags")
     tags_list: Selector = ("ul", "cmp__tagbox")
     tag: Selector = ("a", "label__tag")
-    # Address parts that mark an embedded frame as a video, besides the site's own
-    # video host.
+    # Address parts that mark an embedded frame as a video; a site's own video host is
+    # passed along with them.
     video_addresses: tuple[str, ...] = (
         "https://www.youtube.com/embed/G8jXv_yjVVI?si=A-jPxoZqLkP8I1Ry",
         "vimeo.com",
     )
     # ---------------------------------------------------------- end fixed values
 
-    @property
-    def video_markers(self) -> tuple[str, ...]:
-        """The fixed addresses plus the site's video host, which its domain implies."""
-        domain = (urlsplit(self.base_url).hostname or "").removeprefix("www.")
-        return (*self.video_addresses, f"cdn.jornal{domain}/videos")
+    def with_video_addresses(self, *addresses: str) -> SiteProfile:
+        """The profile with further address parts of videos, such as the site's own host."""
+        return replace(self, video_addresses=(*self.video_addresses, *addresses))
 
 
 def generic_profile(base_url: str) -> SiteProfile:

@@ -247,9 +247,9 @@ def _captured() -> str:
            {field('tem_video', "d.source IN ('src1', 'src2', 'src3', 'src4')", 'false')},
            {field('nome_reporter', "CASE WHEN d.lang IN ('en', 'fr') THEN d.source ELSE 'Repórter ' || d.source END", f"'{S.SENTINEL_REPORTER}'")},
            {field('tags_noticia', 'tags', f"'{S.SENTINEL_TAGS}'")}
-    FROM (SELECT d.*, d.lang <> 'de' AND coalesce(l.toxic, 0) = 0 AS ok, {_DOC_DAY} AS dia, {_TAGS} AS tags
+    FROM (SELECT d.*, d.lang <> 'de' AND coalesce(l.toxic, 0) = 0 AND d.source NOT IN ('src6', 'src7') AS ok, {_DOC_DAY} AS dia, {_TAGS} AS tags
           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) d
-    WHERE d.source <> 'src19' AND trim({_LINE1}, {_WS_CHARS}) <> ''"""
+    WHERE d.source NOT IN ('src19', 'src8') AND trim({_LINE1}, {_WS_CHARS}) <> ''"""
 
 
 _PAGE_ARTICLES = f"""
@@ -303,6 +303,16 @@ _REPORT = f"""
           FROM ({_DECODED}))"""
 
 
+_AROUND = "CAST(DATE '2023-06-25' + CAST(o_orderkey % 745 AS INTEGER) AS DATE)"
+
+# The rows of the second file have three columns only.
+_FEW = "coalesce(link_noticia LIKE '%7', false)"
+_KEPT = ("link_noticia", "texto_completo", "titulo")
+_MANY_FILES = ", ".join(
+    c if c in _KEPT else f"CASE WHEN NOT {_FEW} THEN {c} END AS {c}" for c in S.ARTICLE_COLUMNS
+)
+
+
 def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
     day = "CAST(o_orderdate AS DATE)"
     return {
@@ -315,14 +325,16 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "top_tags_chart": _top_tags(S.TOP_CHART_TAGS),
         "cloud_terms": _cloud_terms(),
         "parse_dates": f"""
-            SELECT o_orderkey, {_spelled(day)} AS data_pura, {day} AS data_dt,
-                   CAST(year({day}) AS INTEGER) AS ano_publicacao, {_MONTHS}[month({day})] AS mes_publicacao,
-                   CAST(month({day}) AS INTEGER) AS mes_numero
-            FROM orders""",
+            SELECT o_orderkey,
+                   CASE o_orderkey % 10 WHEN 3 THEN '31 de fevereiro de 2024' WHEN 7 THEN '1º de maio de 2024'
+                        ELSE {_spelled(day)} END AS data_pura,
+                   d AS data_dt, CAST(year(d) AS INTEGER) AS ano_publicacao, {_MONTHS}[month(d)] AS mes_publicacao,
+                   CAST(month(d) AS INTEGER) AS mes_numero
+            FROM (SELECT *, CASE WHEN o_orderkey % 10 NOT IN (3, 7) THEN {day} END AS d FROM orders)""",
         "monthly_all": _monthly("orders", day, "o_orderdate IS NOT NULL", True),
         "monthly_range": _monthly("orders", day, f"{day} BETWEEN DATE '1996-07-01' AND DATE '1998-06-30'", False),
         "monthly_default_range": _monthly(
-            "events", "CAST(ts AS DATE)", f"CAST(ts AS DATE) BETWEEN DATE '{S.RANGE_START}' AND DATE '{S.RANGE_END}'", False
+            "orders", _AROUND, f"{_AROUND} BETWEEN DATE '{S.RANGE_START}' AND DATE '{S.RANGE_END}'", False
         ),
         "yearly": f"SELECT CAST(year({day}) AS INTEGER) AS ano_publicacao, count(*) AS total_noticias FROM orders GROUP BY ALL",
         "by_date_text": f"SELECT {_spelled(day)} AS data_publicacao_limpa, count(*) AS total_noticias FROM orders GROUP BY ALL",
@@ -334,14 +346,26 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "profile": _profiles(),
         "csv_roundtrip": f"SELECT {', '.join(S.ARTICLE_COLUMNS)} FROM ({_DECODED})",
         "clean_csv_roundtrip": _CLEAN,
+        "csv_many_files": f"SELECT {_MANY_FILES} FROM ({_DECODED})",
+        "monthly_csv": _monthly("orders", day, f"{day} BETWEEN DATE '1996-07-01' AND DATE '1998-06-30'", False),
+        "yearly_csv": f"SELECT CAST(year({day}) AS INTEGER) AS ano_publicacao, count(*) AS total_noticias FROM orders GROUP BY ALL",
+        "term_stats_csv": _term_stats(),
+        "term_stats_no_subtitle": f"SELECT * FROM ({_term_stats()}) WHERE \"Tipo de Análise\" NOT LIKE '%Subtítulos'",
+        "cloud_all_stop_words": """
+            SELECT CAST(0 AS INTEGER) AS nuvem, CAST(0 AS INTEGER) AS posicao, '' AS tipo, '' AS termo,
+                   CAST(0 AS BIGINT) AS frequencia, CAST(0 AS DOUBLE) AS peso
+            FROM documents WHERE false""",
+        "captured_order": f"""
+            SELECT row_number() OVER (ORDER BY page_no, pos) AS numero, link_noticia FROM ({_captured()})""",
         "list_hits": _LIST_HITS,
         "page_articles": _PAGE_ARTICLES,
         "capture_articles": _captured(),
         "captured_count": f"SELECT count(*) AS total_noticias FROM ({_captured()})",
         "declared_totals": """
-            SELECT CAST(doc_id // 8 + 1 AS INTEGER) AS page_no, CAST(count(*) AS INTEGER) AS paginas,
-                   count(*) * 8 AS noticias_estimadas
-            FROM documents GROUP BY 1""",
+            SELECT page_no, CASE WHEN page_no % 5 > 0 THEN n END AS paginas,
+                   CASE WHEN page_no % 5 > 0 THEN CAST(n * 8 AS BIGINT) END AS noticias_estimadas
+            FROM (SELECT CAST(doc_id // 8 + 1 AS INTEGER) AS page_no, CAST(count(*) AS INTEGER) AS n
+                  FROM documents GROUP BY 1)""",
         "byline_clean": """
             SELECT doc_id, CASE WHEN lang = 'de' THEN 'tela' ELSE source || ' e ' || lang END AS nome_reporter
             FROM documents""",
@@ -351,6 +375,7 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
             FROM documents d""",
         "first_n_hits": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
         "first_n_hits_by_block": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
+        "first_many_hits": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['many_articles']}",
         "first_p_pages": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' AND page_no <= {limits['pages']}",
         "preview5": f"""
             SELECT * REPLACE (coalesce(tags_noticia, 'N/A') AS tags_noticia) FROM ({_TEXTS})

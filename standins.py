@@ -14,6 +14,7 @@ from manchete.functions.dates import month_name
 from manchete.sources.scans import read_table
 
 BASE_URL = "https://www.noticias.example"
+VIDEO_ADDRESS = "cdn.jornalnoticias.example/videos"
 FIRST_DAY = "2023-01-01"
 DAYS = 1200
 
@@ -101,9 +102,32 @@ def order_dates(spark: SparkSession, sf: str, spread_by: str | None = None) -> D
     )
 
 
-def event_dates(spark: SparkSession, sf: str) -> DataFrame:
-    events = read_table(spark, f"{sf}/events.parquet", ["ts"])
-    return events.select(portuguese_date(F.col("ts")).alias("data_pura"))
+def dates_around_default_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders on days from before the default range to after it, both bounds included."""
+    day = F.date_add(F.lit("2023-06-25").cast("date"), F.pmod(F.col("o_orderkey"), F.lit(745)).cast("int"))
+    orders = read_table(spark, f"{sf}/orders.parquet", ["o_orderkey"])
+    return orders.select(portuguese_date(day).alias("data_pura"))
+
+
+def doubtful_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates of which some are no dates."""
+    text = (
+        F.when(F.col("o_orderkey") % 10 == 3, "31 de fevereiro de 2024")
+        .when(F.col("o_orderkey") % 10 == 7, "1º de maio de 2024")
+        .otherwise(F.col("data_pura"))
+    )
+    return order_dates(spark, sf, spread_by="o_orderkey").withColumn("data_pura", text)
+
+
+def split_articles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The raw articles in two tables, the second with few columns in another order."""
+    raw = raw_articles(spark, sf)
+    few = F.coalesce(F.col("link_noticia").endswith("7"), F.lit(False))
+    return raw.where(~few), raw.where(few).select("link_noticia", "texto_completo", "titulo")
+
+
+def only_stop_words(spark: SparkSession, sf: str) -> DataFrame:
+    return texts(spark, sf).withColumns({c: F.lit("De para QUE") for c, _ in S.TEXT_FIELDS}).drop("tags_noticia")
 
 
 def list_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,12 +153,20 @@ def _path() -> Column:
 
 
 def result_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Result-list pages with up to eight documents each; some hits lack their link."""
+    """Result-list pages with up to eight documents each.
+
+    Some hits lack their link, some have one that is no address, and every fifth page
+    declares no total.
+    """
     pages = F.floor(F.col("doc_id") / 8).alias("page")
     hit = F.concat(
         F.lit('<li class="ais-Hits-item"><div>'),
         F.when(F.col("source") == "src19", F.lit("<a>")).otherwise(
-            F.concat(F.lit('<a class="search-results" href="'), _path(), F.lit('">'))
+            F.concat(
+                F.lit('<a class="search-results" href="'),
+                F.when(F.col("source") == "src8", "http://[bad").otherwise(_path()),
+                F.lit('">'),
+            )
         ),
         F.lit('<h2 class="search-results__texto--title"> '),
         _escaped(_lines(0)),
@@ -158,7 +190,7 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select(
         page_no.alias("page_no"),
         F.concat(
-            F.lit('<div class="pagination__info"> Página '),
+            F.when(page_no % 5 == 0, "<div> Página ").otherwise('<div class="pagination__info"> Página '),
             page_no.cast("string"),
             F.lit(" de "),
             F.size("hits").cast("string"),
@@ -170,8 +202,13 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def article_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """An article page per document; German ones were not obtained, toxic ones are unsigned."""
-    df = tagged(spark, sf, ("text", "n_chars")).where("lang <> 'de'")
+    """An article page per document.
+
+    Those of German ones are of other addresses than the hits name, toxic ones are unsigned,
+    and two sources have pages that cannot be read: an image whose address is none, and a
+    character reference that no parser takes.
+    """
+    df = tagged(spark, sf, ("text", "n_chars"))
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(F.col("n_chars"), F.lit(DAYS)).cast("int"))
     paragraphs = F.concat(
         F.lit("<p>"), F.replace(_escaped(F.col("text")), F.lit("\n"), F.lit("</p>\n<p> ")), F.lit("</p>")
@@ -194,12 +231,12 @@ def article_pages(spark: SparkSession, sf: str) -> DataFrame:
         portuguese_date(day),
         F.when(F.col("lang") != "es", " | 18:05 - Atualizado").otherwise(" - Atualizado"),
         F.lit('</span></span></div><div class="gallery__container gallery_highlight">'),
-        F.concat(F.lit('<img class="gallery__image" src="'), F.when(F.col("lang") == "en", "/").otherwise(BASE_URL + "/"), F.lit("foto/"), "doc_id", F.lit('.jpg">')),
+        F.concat(F.lit('<img class="gallery__image" src="'), F.when(F.col("source") == "src6", "//[bad").when(F.col("lang") == "en", "/").otherwise(BASE_URL + "/"), F.lit("foto/"), "doc_id", F.lit('.jpg">')),
         F.lit("</div>"),
         F.when(F.col("source") == "src1", '<iframe class="c-video__frame"></iframe>')
         .when(F.col("source") == "src2", "<video src='v'></video>")
         .when(F.col("source") == "src3", '<div class="c-news-body"><iframe src="https://player.vimeo.com/1"></iframe></div>')
-        .when(F.col("source") == "src4", '<div class="c-news-body"><iframe src="https://cdn.jornalnoticias.example/videos/1"></iframe></div>')
+        .when(F.col("source") == "src4", '<div class="c-news-body"><iframe src="https://' + VIDEO_ADDRESS + '/1"></iframe></div>')
         .when(F.col("source") == "src5", '<div class="c-news-body"><iframe src="https://other.example/1"></iframe></div>')
         .otherwise(""),
         F.lit('<div class="read-controller materia__tts article-whole article-body">'),
@@ -213,8 +250,10 @@ def article_pages(spark: SparkSession, sf: str) -> DataFrame:
                 F.lit("</ul></div>"),
             ),
         ).otherwise(""),
+        F.when(F.col("source") == "src7", "&#" + "9" * 5000 + ";").otherwise(""),
         F.lit("</body></html>"),
     )
+    url = F.concat(F.lit(BASE_URL), F.when(F.col("lang") == "de", "/outra").otherwise(""), _path())
     return df.select(
-        F.col("doc_id").alias("page_id"), F.concat(F.lit(BASE_URL), _path()).alias("url"), html.alias("html")
+        F.col("doc_id").alias("page_id"), url.alias("url"), html.alias("html")
     )

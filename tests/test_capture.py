@@ -99,16 +99,28 @@ def many_hits(spark):
     return rows.repartition(7)
 
 
-@pytest.mark.parametrize("n", [1, 9, 17_000, 17_554, 40_001, 85_714, 90_000])
-def test_first_articles_count_usable_rows_on_both_paths(many_hits, n):
-    def key(df):
-        return sorted((r.page_no, r.pos) for r in df.collect())
-
-    small = selection.first_articles(many_hits, n)
-    large = selection.first_articles(many_hits, n, top_k_rows=0)
-    expected = [(i // 5 + 1, i % 5) for i in range(100_000) if i % 7][:n]
-    assert key(small) == expected
-    assert key(large) == expected
+@pytest.mark.parametrize("n", [1, 9, 17_554, 85_714, 90_000])
+def test_first_articles_count_usable_rows_in_order(many_hits, n):
+    lost = many_hits.limit(1).select(F.lit(None).cast("int").alias("page_no"), F.lit(0).alias("pos"),
+                                     F.lit("t").alias("titulo"), "subtitulo", F.lit("l").alias("link_noticia"))
+    got = selection.first_articles(many_hits.unionByName(lost), n).collect()
+    assert [(r.page_no, r.pos) for r in got] == [(i // 5 + 1, i % 5) for i in range(100_000) if i % 7][:n]
+
+
+def test_no_task_ranks_all_hits(many_hits):
+    plan = selection.first_articles(many_hits, 200_000)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan
+
+
+def test_more_hot_links_than_are_listed_change_nothing(spark, monkeypatch):
+    rows = [(p, i, "t", None, f"l{i}") for p in range(40) for i in range(12)]
+    hits = hits_table(spark, rows)
+    articles = spark.createDataFrame([detail(i, f"l{i}", text=f"x{i}") for i in range(12)], DETAILS)
+    plain = capture.join_details(hits, articles).collect()
+    for listed in (3, 50):
+        monkeypatch.setattr(capture, "_HOT_LINKS", listed)
+        split = capture.join_details(hits, articles, hot_link_hits=5).collect()
+        assert sorted(map(str, split)) == sorted(map(str, plain))
 
 
 def test_limits_are_checked(many_hits):

@@ -1,6 +1,8 @@
 import csv
 import datetime as dt
 
+import pytest
+
 from manchete import schema as S
 from manchete.functions.dates import with_dates
 from manchete.sinks import csv_tables
@@ -41,6 +43,39 @@ def test_row_ids_follow_the_file(spark, tmp_path):
     assert [r.titulo for r in rows] == [f"t{i}" for i in range(500)]
 
 
+def test_files_of_different_columns_are_read_by_name_and_in_order(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("titulo,subtitulo,link_noticia\nt1,s1,l1\nt2,s2,l2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("link_noticia,titulo\n" + "".join(f"k{i},u{i}\n" for i in range(3000)), encoding="utf-8")
+    (tmp_path / "d.csv").write_text("\ufefftitulo,extra\nlast,x\n", encoding="utf-8")
+    (tmp_path / "e.csv").write_text("", encoding="utf-8")
+    rows = read_news_csv(spark, str(tmp_path), row_id="row_id").orderBy("row_id").collect()
+    assert [(r.titulo, r.subtitulo, r.link_noticia, r.extra) for r in rows] == [
+        ("t1", "s1", "l1", None),
+        ("t2", "s2", "l2", None),
+        *((f"u{i}", None, f"k{i}", None) for i in range(3000)),
+        ("last", None, None, "x"),
+    ]
+    assert len({r.row_id for r in rows}) == len(rows)
+
+
+def test_a_row_with_more_cells_than_the_header_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("titulo,link_noticia\na,l\nb\n", encoding="utf-8")
+    assert [r.titulo for r in read_news_csv(spark, str(tmp_path)).collect()] == ["a", "b"]
+    (tmp_path / "b.csv").write_text("titulo,link_noticia\na,l,more\n", encoding="utf-8")
+    with pytest.raises(Exception, match="more cells than its header"):
+        read_news_csv(spark, str(tmp_path)).collect()
+
+
+def test_first_seen_ties_follow_the_files_not_their_sizes(spark, tmp_path):
+    from manchete.operators.terms import top_ngrams
+
+    (tmp_path / "a.csv").write_text("titulo\nzebra\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("titulo\nabelha\n" + "com\n" * 5000, encoding="utf-8")
+    news = read_news_csv(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], row_id="row_id")
+    top = top_ngrams(news, fields=("titulo",), sizes=(1,)).orderBy("posicao").collect()
+    assert [r.termo for r in top] == ["zebra", "abelha"]
+
+
 def test_every_missing_value_token(spark):
     values = [*S.NA_TOKENS, "N/A ", "na", "Nan", "0", None]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")

@@ -7,7 +7,7 @@ from manchete.sources.captured_pages import declared_totals, extract_articles, e
 from manchete.sources.site_profile import SiteProfile, generic_profile
 
 BASE = "https://www.jornal.example"
-SITE = SiteProfile(BASE)
+SITE = SiteProfile(BASE).with_video_addresses("cdn.jornaljornal.example/videos")
 SIGNED = '<div class="a cp023-assinatura-do-artigo"></div>'
 BODY = "read-controller materia__tts article-whole article-body"
 
@@ -218,3 +218,16 @@ def test_html_is_not_carried_on(spark):
     plan = extract_articles(df, SITE)._jdf.queryExecution().optimizedPlan().toString()
     assert "outra" not in plan.split("MapInArrow")[0]
     assert "html" not in extract_articles(df, SITE).columns
+
+
+def test_a_bad_page_or_link_harms_nothing_else(spark):
+    hit = '<li class="ais-Hits-item"><a class="search-results" href="{}"><h2 class="search-results__texto--title">A</h2></a></li>'
+    pages = spark.createDataFrame(
+        [(1, hit.format("http://[bad") + hit.format("/a")), (2, "&#" + "9" * 5000 + ";" + hit.format("/b")), (3, hit.format("/c"))],
+        "page_no int, html string",
+    )
+    got = [(r.page_no, r.link_noticia) for r in extract_hits(pages, SiteProfile(BASE)).orderBy("page_no", "pos").collect()]
+    assert [g for g in got if g[0] != 2] == [(1, None), (1, f"{BASE}/a"), (3, f"{BASE}/c")]
+    bad = '<div class="gallery__container gallery_highlight"><img class="gallery__image" src="//[bad"></div>'
+    found = articles(spark, SIGNED, SIGNED + bad, SIGNED + "&#" + "9" * 5000 + ";", SIGNED)
+    assert [r.coletado for r in found] == [True, False, False, True]

@@ -87,6 +87,39 @@ def test_jobs_from_the_command_line(spark, news_csv, tmp_path):
     assert read_news_csv(spark, str(tmp_path / "o")).first().link_noticia == "https://x.example/a"
 
 
+def test_further_options_of_the_command_line(spark, news_csv, tmp_path):
+    from manchete.__main__ import arguments, run
+
+    extra = ["--also", "monthly_all", "by_date_text", "newest", "report", "profile"]
+    run(spark, arguments(["clean", news_csv, str(tmp_path / "c"), *extra]))
+    assert lines(spark, tmp_path / "c" / "monthly_all")[1] == ["2023", "julho", "7", "1"]
+    assert lines(spark, tmp_path / "c" / "newest")[1][2] == "l6"
+    assert lines(spark, tmp_path / "c" / "report")[1][:3] == ["6", "4", "2"]
+    assert lines(spark, tmp_path / "c" / "profile")[1][1] == "titulo"
+    assert ["1 de julho de 2025", "1"] in lines(spark, tmp_path / "c" / "by_date_text")
+
+    item = '<li class="ais-Hits-item"><a class="search-results" href="/{0}"><h2 class="search-results__texto--title">T{0}</h2></a></li>'
+    info = '<div class="pagination__info">Página 1 de 2</div>'
+    pages = [(k, (info if k == 1 else "") + "".join(item.format(f"{k}{n}") for n in range(3))) for k in (2, 1)]
+    spark.createDataFrame(pages, "page_no int, html string").write.parquet(str(tmp_path / "l"))
+    article = '<div class="cp023-assinatura-do-artigo"></div><div class="c-news-body"><iframe src="https://v.example/x/1"></iframe></div>'
+    rows = [(1, "https://x.example/11", article)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "a"))
+
+    def capture(name, *options):
+        job = ["capture", str(tmp_path / "l"), str(tmp_path / "a"), str(tmp_path / name), "--base-url", "https://x.example"]
+        run(spark, arguments([*job, *options]))
+        return read_news_csv(spark, str(tmp_path / name), row_id="row_id").orderBy("row_id").collect()
+
+    every = capture("o1", "--pages", "2", "--video-address", "v.example/x")
+    assert [r.titulo for r in every] == ["T10", "T11", "T12", "T20", "T21", "T22"]
+    assert [r.tem_video for r in every] == [False, True] + [False] * 4
+    assert [r.titulo for r in capture("o2", "--term", "t2")] == ["T20", "T21", "T22"]
+    for options in (["--pages", "3"], ["--articles", "17"]):
+        with pytest.raises(ValueError, match="must be between"):
+            capture("o3", *options)
+
+
 def test_a_table_without_dates_has_empty_counts(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("titulo,link_noticia,data_pura\na,l,Erro\n", encoding="utf-8")
