@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from manchete import schema as S
 from manchete.functions.literals import text_array
 from manchete.functions.text import long_words, portuguese_stop_words, split_tags, without_stop_words
-from manchete.operators.ranking import arrival, row_key, top_by_frequency
+from manchete.operators.ranking import top_by_frequency, with_ties
 from manchete.workspace import materialise
 
 # Sections are numbered field by field, words before bigrams before trigrams.
@@ -39,7 +39,7 @@ def _present(df: DataFrame, fields: Iterable[str]) -> list[tuple[int, str]]:
 
 def stack_texts(df: DataFrame, fields: Sequence[tuple[int, str]], row_id: str) -> DataFrame:
     """One row per text: ``(chave, campo, texto)``; missing texts are left out."""
-    keyed = df.select(row_key(df, row_id).alias("chave"), *(c for _, c in fields))
+    keyed = df.select(F.col(row_id).alias("chave"), *(c for _, c in fields))
     if len(fields) == 1:
         (number, name), = fields
         texts = keyed.select("chave", F.lit(number).alias("campo"), F.col(name).alias("texto"))
@@ -50,7 +50,7 @@ def stack_texts(df: DataFrame, fields: Sequence[tuple[int, str]], row_id: str) -
 
 
 def _ngrams(texts: DataFrame, stop_words: Iterable[str], sizes: Sequence[int]) -> DataFrame:
-    """Every n-gram of every text: ``(secao, termo, chegada)``.
+    """Every n-gram of every text: ``(secao, termo, chave, posicao)``.
 
     The filtered word list is zipped with itself shifted by one and two and exploded
     once; a row then holds all n-grams that start at its position. Grams past the end
@@ -71,13 +71,12 @@ def _ngrams(texts: DataFrame, stop_words: Iterable[str], sizes: Sequence[int]) -
         F.col("p0") if n == 1 else F.concat(*_spaced(words[:n])) for n in sizes
     ]
     section = F.col("campo") * len(_SIZES)
-    key = arrival(starts, "chave", "posicao").alias("chegada")
     if len(sizes) == 1:
-        grams = starts.select((section + sizes[0]).alias("secao"), gram[0].alias("termo"), key)
+        grams = starts.select((section + sizes[0]).alias("secao"), gram[0].alias("termo"), "chave", "posicao")
     else:
         cells = [cell for n, g in zip(sizes, gram) for cell in (section + n, g)]
-        grams = starts.select(key, F.stack(F.lit(len(sizes)), *cells).alias("secao", "termo"))
-    return grams.where(F.col("termo").isNotNull()).select("secao", "termo", "chegada")
+        grams = starts.select("chave", "posicao", F.stack(F.lit(len(sizes)), *cells).alias("secao", "termo"))
+    return grams.where(F.col("termo").isNotNull()).select("secao", "termo", "chave", "posicao")
 
 
 def _spaced(words: Sequence[str]) -> list[Column]:
@@ -90,26 +89,36 @@ def _spaced(words: Sequence[str]) -> list[Column]:
 def _tags(df: DataFrame, row_id: str) -> DataFrame:
     """Every tag of every article, in the same shape as the n-grams."""
     tags = df.where(F.col("tags_noticia").isNotNull()).select(
-        row_key(df, row_id).alias("chave"),
+        F.col(row_id).alias("chave"),
         F.posexplode(split_tags(F.col("tags_noticia"))).alias("posicao", "termo"),
     )
-    return tags.select(
-        F.lit(_TAG_SECTION).alias("secao"), "termo", arrival(tags, "chave", "posicao").alias("chegada")
-    )
+    return tags.select(F.lit(_TAG_SECTION).alias("secao"), "termo", "chave", "posicao")
 
 
 def _counted(terms: DataFrame) -> DataFrame:
     return terms.groupBy("secao", "termo").agg(
-        F.count("*").alias("frequencia"), F.min("chegada").alias("primeira")
+        F.count("*").alias("frequencia"), F.min("chave").alias("primeira")
     )
 
 
 def _rank(terms: DataFrame, limit: int, two_pass: bool = False) -> DataFrame:
-    """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms."""
+    """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms.
+
+    Counting keeps the first row of a term only. Where terms that can make the ranking are
+    equal in both, their places in that row decide, and only those rows are read again.
+    """
     counted = count_frequent(terms, limit) if two_pass else _counted(terms)
+    candidates = materialise(with_ties(counted, "secao", limit))
+    same = Window.partitionBy("secao", "frequencia", "primeira")
+    tied = candidates.withColumn("iguais", F.count("*").over(same)).where("iguais > 1")
+    tied = tied.select("secao", "termo", F.col("primeira").alias("chave"))
+    # Ties at the end of a section all lie in one row, so these are few rows.
+    again = terms.join(tied.select("chave").distinct(), "chave", "left_semi")
+    places = again.join(tied, ["secao", "termo", "chave"]).groupBy("secao", "termo").agg(F.min("posicao").alias("lugar"))
+    settled = candidates.join(places, ["secao", "termo"], "left")
     labels = section_labels()
     names = text_array(labels[i] for i in sorted(labels))
-    return top_by_frequency(counted, "secao", limit).select(
+    return top_by_frequency(settled, "secao", limit, then=[F.col("lugar").asc()]).select(
         "secao", "posicao", F.get(names, F.col("secao") - 1).alias("tipo"), "termo", "frequencia"
     )
 
