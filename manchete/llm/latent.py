@@ -94,9 +94,10 @@ class Passages:
         return at, self.weights[at]
 
     def lengths(self) -> list[int]:
-        """Window lengths: powers of two from 16 up to the longest passage."""
-        longest = max(map(len, self.words), default=0)
-        return [1 << k for k in range(4, max(4, (longest - 1).bit_length()) + 1)]
+        """Window lengths: powers of two from about the shortest passage up to the longest."""
+        sizes = [len(w) for w in self.words] or [16]
+        least = 4 if min(sizes) >= 12 else 3 if min(sizes) >= 6 else 2
+        return [1 << k for k in range(least, max(least, (max(sizes) - 1).bit_length()) + 1)]
 
     def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, passage, start, length, cosine) of windows near a passage.

@@ -1,0 +1,115 @@
+"""The pipeline: each stage against brute force on its own input, queries as registered."""
+
+import json
+import os
+import subprocess
+import sys
+
+import pytest
+
+import __spark_entry__ as E
+import corpus_pipeline
+from manchete.llm import langid, latent, pii
+from manchete.workspace import materialise
+
+from .helpers import documents
+from .test_simhash import brute_components, brute_print
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    tables = [("start", docs)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF))
+        tables.append((name, docs))
+    return dict(tables)
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.collect()}
+
+
+def test_stages_and_their_columns(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "language_id", "near_dedup", "decontamination", "personal_data", "mixture"
+    ]
+    for name, df in list(stages.items())[:-1]:
+        assert df.columns == list(corpus_pipeline.COLUMNS), name
+
+
+def test_language_stage_keeps_all_documents_with_letters(stages):
+    assert texts(stages["language_id"]) == {i: t for i, t in texts(stages["start"]).items() if any(map(str.isalpha, t))}
+
+
+def test_near_copies_by_brute_force(stages):
+    before = texts(stages["language_id"])
+    groups = brute_components({i: brute_print(t) for i, t in before.items()}, 2)
+    assert texts(stages["near_dedup"]) == {i: before[i] for i in set(groups.values())}
+
+
+def test_benchmark_passages_by_brute_force(spark, stages):
+    items = [f" {' '.join(latent._words(r.text))} " for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    before = texts(stages["near_dedup"])
+    clean = {i: t for i, t in before.items() if not any(x in f" {' '.join(latent._words(t))} " for x in items)}
+    assert texts(stages["decontamination"]) == clean and len(clean) < len(before)
+
+
+def test_personal_data_is_masked(stages):
+    before = texts(stages["decontamination"])
+    after = texts(stages["personal_data"])
+    assert after == {i: pii.masked(t) for i, t in before.items()}
+    assert all(pii.spans(t)[0] == [] for t in after.values())
+    assert all(r.n_chars == len(r.text) for r in stages["personal_data"].collect())
+
+
+def test_mixture_takes_what_it_says(stages):
+    last, before = stages["mixture"].collect(), texts(stages["personal_data"])
+    assert {r.doc_id for r in last} <= set(before) and all(r.text == before[r.doc_id] for r in last)
+    assert all(0 < r.taken <= 3 * r.size for r in last)
+
+
+def test_odd_rows(spark):
+    rows = [(1, "hello world"), (1, "hello world"), (None, "other words"), (None, None), (5, ""), (6, "12 %"), (7, "a", "en")]
+    docs = documents(spark, rows).selectExpr("*", "1 AS fp", "'x' AS size", "2 AS rank")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF))
+    assert {r.text for r in docs.collect()} <= {"hello world", "other words", "a"}
+    docs = documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF))
+    assert docs.collect() == []
+
+
+def test_without_known_languages_letters_decide(spark):
+    docs = corpus_pipeline.language_id(spark, documents(spark, [(1, "abc"), (2, "123"), (3, None)]), SF)
+    assert [(r.doc_id, r.lang) for r in docs.collect()] == [(1, None)]
+    assert langid.learn_profiles(documents(spark, [(1, "abc")])) == []
+
+
+def test_registered_queries():
+    names = [n for n in E.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert {"op1_mixing", "op4_warc"} <= E.oracle_sql().keys()
+
+
+def test_the_rest_works_without_these_modules(tmp_path):
+    """A copy without the subpackage still registers the other queries."""
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    for name in ("__spark_entry__.py", "oracles.py", "standins.py"):
+        (tmp_path / name).symlink_to(os.path.join(root, name))
+    (tmp_path / "manchete").mkdir()
+    for name in os.listdir(os.path.join(root, "manchete")):
+        if name not in ("llm", "__pycache__"):
+            (tmp_path / "manchete" / name).symlink_to(os.path.join(root, "manchete", name))
+    code = "import json, __spark_entry__ as E; print(json.dumps([sorted(E.queries()), sorted(E.oracle_sql())]))"
+    # A link to a script leads back to its folder, so the copy is read from the path alone.
+    run = subprocess.run(
+        [sys.executable, "-c", f"import sys; sys.path.insert(0, {str(tmp_path)!r})\n"
+         "import os; real = os.path.abspath; os.path.abspath = lambda p: real(p)\n" + code],
+        cwd=tmp_path, capture_output=True, text=True, check=True,
+    )
+    queries, sqls = json.loads(run.stdout.splitlines()[-1])
+    assert queries == sqls and not [q for q in queries if q.startswith("op") or q == "pipeline"]
