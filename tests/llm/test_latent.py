@@ -17,7 +17,7 @@ def prose(rng, n):
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = np.random.default_rng(14)
-    items = [(k, " ".join(prose(rng, int(rng.integers(8, 70))))) for k in range(120)]
+    items = [(k, " ".join(prose(rng, int(rng.integers(20, 70))))) for k in range(120)]
     docs, wanted = [], set()
     for i in range(240):
         words = prose(rng, int(rng.integers(5, 400)))
