@@ -102,6 +102,11 @@ def seats(
     return won.groupBy(*parties.columns).agg((F.first("__sure") + F.sum("__won")).cast("long").alias("seats"))
 
 
+def _place(source: str, shard: str) -> Column:
+    """A shard of a source as one text; a null source begins otherwise than any other."""
+    return F.concat(F.col(shard).cast("string"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-")))
+
+
 def mix(
     df: DataFrame,
     weights: DataFrame,
@@ -164,10 +169,11 @@ def mix(
     )
 
     placed = beside(carried, known.select("source", "shards")).withColumn("shard", shard_of).drop("shards")
-    met = placed.join(
-        quotas, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard"))
+    # The join and the running sum share one key without nulls, and so one shuffle.
+    met = placed.withColumn("__at", _place("source", "shard")).join(
+        quotas.withColumn("__to", _place("__source", "__shard")), F.col("__at") == F.col("__to")
     )
-    order = Window.partitionBy("source", "shard").orderBy("key", "__id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("__at").orderBy("key", "__id").rowsBetween(Window.unboundedPreceding, 0)
     start = F.sum("size").over(order) - F.col("size")
     # A shard without words has no blocks: div and mod by zero are avoided there.
     blocks = F.greatest(F.col("blocks"), F.lit(1).cast("long"))
