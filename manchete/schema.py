@@ -190,16 +190,6 @@ COLUMN_TYPES: dict[str, T.DataType] = {f.name: f.dataType for f in ARTICLE.field
     "mes_numero": T.IntegerType(),
 }
 
-HITS = T.StructType(
-    [
-        T.StructField("page_no", T.IntegerType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("titulo", T.StringType()),
-        T.StructField("subtitulo", T.StringType()),
-        T.StructField("link_noticia", T.StringType()),
-    ]
-)
-
 
 def code_point_class(ranges) -> str:
     """Inside of a regex character class for inclusive code point ranges.

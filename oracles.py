@@ -59,10 +59,10 @@ def _spelled(day: str) -> str:
 
 _RAW = f"""
     SELECT d.doc_id,
-           CASE WHEN d.source = 'src18' THEN 'Erro' WHEN d.source <> 'src19' THEN {_LINE1} END AS titulo,
+           CASE WHEN d.source = 'src18' THEN '{S.SENTINEL_TIME}' WHEN d.source <> 'src19' THEN {_LINE1} END AS titulo,
            {_LINE2} AS subtitulo,
            CASE WHEN d.lang = 'de' THEN '{S.SENTINEL_DATE}' ELSE {_spelled(_DOC_DAY)} END AS data_pura,
-           CASE WHEN d.lang = 'de' THEN 'Erro' WHEN d.lang = 'es' THEN 'N/A' ELSE '18:05' END AS horario,
+           CASE WHEN d.lang = 'de' THEN '{S.SENTINEL_TIME}' WHEN d.lang = 'es' THEN '{S.NOT_AVAILABLE}' ELSE '18:05' END AS horario,
            CASE WHEN d.source <> 'src17' THEN '{BASE_URL}/' || d.doc_id END AS link_noticia,
            CASE WHEN l.toxic = 1 THEN '{S.SENTINEL_TEXT}' ELSE d.text END AS texto_completo,
            CASE WHEN d.lang = 'de' THEN '{S.SENTINEL_IMAGE}' END AS link_imagem_principal,
