@@ -95,6 +95,16 @@ def test_registered_queries():
     assert {"op1_mixing", "op4_warc"} <= E.oracle_sql().keys()
 
 
+@pytest.mark.parametrize("name", ["op1_mixing", "op4_warc"])
+def test_same_as_the_sql_form(spark, name):
+    from check import expected, sorted_rows
+
+    df = E.queries()[name](spark, SF)
+    columns, _, rows = expected(SF, E.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted_rows(df.columns, df.collect()) == sorted_rows(columns, rows)
+
+
 def test_the_rest_works_without_these_modules(tmp_path):
     """A copy without the subpackage still registers the other queries."""
     root = os.path.dirname(os.path.abspath(E.__file__))
