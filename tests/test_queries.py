@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB counterpart on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -10,9 +11,12 @@ from check import expected, sorted_rows
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
+# The queries of the news jobs; those of the training-data operators have their own tests.
+NAMES = sorted(n for n in E.queries() if not re.match(r"op\d+_|pipeline$", n))
+
 
 def test_every_query_has_a_counterpart():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(NAMES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry(spark):
@@ -21,7 +25,7 @@ def test_entry(spark):
     assert df.count() == 150
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, name):
     df = E.queries()[name](spark, SF)
     columns, _, rows = expected(SF, E.oracle_sql()[name])
@@ -37,6 +41,6 @@ def test_stop_words_of_the_counterparts_are_those_of_spark(spark):
 
 
 def test_no_query_has_a_cross_join(spark):
-    for name, query in E.queries().items():
-        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for name in NAMES:
+        plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
