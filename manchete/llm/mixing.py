@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from manchete.llm.common import left_lookup
 from manchete.workspace import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,8 +26,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 16
 #: Copies of a document at most.
 MOST_COPIES = 3
-#: More sources than this are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
 
 OUTPUTS = ("size", "source_size", "target", "taken")
 
@@ -102,9 +101,14 @@ def seats(
     return won.groupBy(*parties.columns).agg((F.first("__sure") + F.sum("__won")).cast("long").alias("seats"))
 
 
+def _name(source: str) -> Column:
+    """A source as a text that is never null; a null source begins otherwise than any other."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
+
+
 def _place(source: str, shard: str) -> Column:
-    """A shard of a source as one text; a null source begins otherwise than any other."""
-    return F.concat(F.col(shard).cast("string"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-")))
+    """A shard of a source as one text."""
+    return F.concat(F.col(shard).cast("string"), _name(source))
 
 
 def mix(
@@ -135,22 +139,24 @@ def mix(
     narrow = materialise(carried.select("source", "size", "key"))
 
     by_source = narrow.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.ceil(F.sqrt(F.count("*").cast("double")) / 2).cast("long").alias("shards")
+        F.count("*").alias("docs"),
+        F.sum("size").alias("source_size"),
+        F.ceil(F.sqrt(F.count("*").cast("double")) / 2).cast("long").alias("shards"),
     )
     weighed = weights.select(F.col("source").alias("__source"), "weight")
     known = materialise(by_source.join(weighed, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"))
-    count = known.count()
     aimed = targets(known.select("source", "source_size", "weight"), share)
+    weight_of_keys = known.select(F.col("source").alias("__source"), "docs")
 
-    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Join a table by source to its documents; without a shuffle of these if it is small."""
-        right = right.withColumnRenamed("source", "__source")
-        right = F.broadcast(right) if count <= BROADCAST_SOURCES else right
-        return left.join(right, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    def beside(left: DataFrame, right: DataFrame, spread_by: str) -> DataFrame:
+        """Join a table by source to rows of these sources, of which one may have most."""
+        counted = right.join(weight_of_keys, F.col("source").eqNullSafe(F.col("__source")))
+        keyed = counted.withColumn("__name", _name("source")).drop("source", "__source")
+        return left_lookup(left.withColumn("__name", _name("source")), keyed, "__name", "docs", spread_by).drop("__name")
 
     shard_of = F.pmod(F.col("key"), F.col("shards")).alias("shard")
     by_shard = materialise(
-        beside(narrow, known.select("source", "shards"))
+        beside(narrow, known.select("source", "shards"), "key")
         .groupBy("source", shard_of)
         .agg(F.sum("size").alias("shard_size"))
         .withColumn("blocks", F.ceil(F.col("shard_size") / block))
@@ -163,12 +169,12 @@ def mix(
     given = materialise(seats(offered, "target", asked, "limit", [], in_order))
     of_source = given.select("source", "source_size", "target", F.col("seats").alias("source_seats"))
     quotas = seats(
-        beside(by_shard, of_source), "shard_size", F.col("source_seats"), "limit", ["source"], [F.col("shard").asc()]
+        beside(by_shard, of_source, "shard"), "shard_size", F.col("source_seats"), "limit", ["source"], [F.col("shard").asc()]
     ).select(
         F.col("source").alias("__source"), F.col("shard").alias("__shard"), "source_size", "target", "blocks", "seats"
     )
 
-    placed = beside(carried, known.select("source", "shards")).withColumn("shard", shard_of).drop("shards")
+    placed = beside(carried, known.select("source", "shards"), "key").withColumn("shard", shard_of).drop("shards")
     # The join and the running sum share one key without nulls, and so one shuffle.
     met = placed.withColumn("__at", _place("source", "shard")).join(
         quotas.withColumn("__to", _place("__source", "__shard")), F.col("__at") == F.col("__to")

@@ -51,6 +51,16 @@ def test_reruns_agree_however_dealt_out(corpus):
     assert rows_of(mixed(corpus)) == rows_of(mixed(corpus.repartition(7, "text")))
 
 
+def test_sources_too_many_to_broadcast(corpus, monkeypatch):
+    from manchete.llm import common
+
+    wanted = rows_of(mixed(corpus))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert rows_of(mixed(corpus)) == wanted
+    monkeypatch.setattr(common, "HOT_SHARE", 3)  # a few sources are hot
+    assert rows_of(mixed(corpus)) == wanted
+
+
 def test_small_sources_stop_at_three_times_their_size(spark):
     docs = documents(spark, [(1, TEXT, None, "b"), (2, TEXT * 100, None, "a")])
     targets = {r.source_size: r.target for r in mixed(docs).collect()}
