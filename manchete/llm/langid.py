@@ -23,7 +23,7 @@ from manchete.llm.common import map_texts
 #: N-grams in a profile.
 PROFILE = 300
 #: Code points of texts counted together while learning, about.
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 #: What stands for a text without a letter.
 UNKNOWN = "und"
 
