@@ -9,7 +9,7 @@ near by cosine are candidates. A candidate is a leak if half the weight of the p
 words is there and the longest common subsequence of passage and document words is long,
 or less long and the passage's answer, its last words, is there too.
 
-Passages are handled `AT_ONCE` at a time, so what is broadcast is bounded; documents are
+Passages are handled about `AT_ONCE` at a time, so what is broadcast is bounded; documents are
 read once for the frequencies and once for each such part, and never shuffled.
 """
 
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from manchete.llm.common import map_texts
 from manchete.workspace import materialise
 
-#: Passages searched for at once, latent dimensions, and random directions beyond these.
-AT_ONCE = 1000
+#: Passages searched for at once, about, latent dimensions, and random directions beyond these.
+#: A part of more passages has a dimension for each: with fewer, copies would lose cosine.
+AT_ONCE = 256
 RANK, BEYOND = 256, 16
 SEED = 7
 #: Words in a share of more documents than this carry no weight.
@@ -207,13 +208,13 @@ def _summed(df: DataFrame, function, shape: tuple[int, int]) -> np.ndarray:
     return sum((np.frombuffer(r.m).reshape(shape) for r in df.mapInArrow(run, "m binary").toLocalIterator()), np.zeros(shape))
 
 
-def _decompose(rows: DataFrame, terms: int) -> np.ndarray:
-    """Right singular vectors of the matrix whose rows are `at` and `weight` arrays, a row per term.
+def _decompose(rows: DataFrame, terms: int, rank: int = RANK) -> np.ndarray:
+    """At most `rank` right singular vectors of the matrix whose rows are `at` and `weight` arrays, a row per term.
 
     Halko's method: the range of random combinations of the columns is made orthonormal
     through its Gram matrix; projecting the rows on it leaves a small matrix to decompose.
     """
-    directions = RANK + BEYOND
+    directions = rank + BEYOND
 
     def image(batch: pa.RecordBatch) -> np.ndarray:
         chance = np.random.default_rng(SEED).standard_normal((terms, directions))
@@ -247,13 +248,13 @@ def _decompose(rows: DataFrame, terms: int) -> np.ndarray:
     for row in parts.toLocalIterator():
         small[row.term] = row.b
     values, vectors = np.linalg.eigh(small.T @ small)
-    top = np.argsort(-values)[:RANK]
+    top = np.argsort(-values)[:rank]
     top = top[values[top] > max(values.max(initial=0.0), 0.0) * 1e-10]
     return small @ vectors[:, top] / np.sqrt(values[top])
 
 
 def _parts(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> Iterator[Passages]:
-    """The benchmark, AT_ONCE passages at a time, each part with its latent space."""
+    """The benchmark, about AT_ONCE passages at a time, each part with its latent space."""
     spark = df.sparkSession
     long_enough = F.size(F.regexp_extract_all(F.lower(item_text), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= LEAST_WORDS
     known = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).where(long_enough)
@@ -275,7 +276,8 @@ def _parts(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text:
         matrix = spark.createDataFrame(
             [(at.tolist(), w.tolist()) for at, w in vectors if len(at)], "at array<long>, weight array<double>"
         )
-        passages.weighed = (_decompose(matrix, len(kept)) * weights[:, None]).astype(np.float32) if kept else np.zeros((0, 1), np.float32)
+        axes = _decompose(matrix, len(kept), max(RANK, len(rows))) if kept else np.zeros((0, 1))
+        passages.weighed = (axes * weights[:, None]).astype(np.float32)
         latent = np.array([passages.weighed[at].sum(axis=0) for at, _ in vectors]).reshape(len(rows), -1)
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         passages.places = (latent / np.where(norms > 0, norms, 1)).astype(np.float32)

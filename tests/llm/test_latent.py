@@ -92,3 +92,14 @@ def test_a_very_long_text(corpus, spark):
     text = "the word " * 60_000 + items.where("item_id = 5").first().text + " end" * 10
     found = latent.find_leaks(docs.limit(50).unionByName(documents(spark, [(999, text)])), items)
     assert [(r.item_id, r.lcs) for r in found.where("doc_id = 999").collect()] == [(5, 1.0)]
+
+
+def test_copies_of_very_many_passages_keep_their_cosine(spark):
+    """1400 passages of unequal lengths: each one's copy, and its copy with every tenth word replaced."""
+    rng = np.random.default_rng(18)
+    vocabulary = [f"v{k}" for k in range(9000)]
+    items = [(k, " ".join(rng.choice(vocabulary, int(rng.integers(15, 300) if k % 2 else rng.integers(15, 60))))) for k in range(1400)]
+    docs = [(k, text) for k, text in items]
+    docs += [(2000 + k, " ".join("other" if j % 10 == 3 else w for j, w in enumerate(text.split()))) for k, text in items]
+    found = pairs(latent.find_leaks(documents(spark, docs).repartition(8), spark.createDataFrame(items, ITEMS)))
+    assert found == {(k, k) for k in range(1400)} | {(2000 + k, k) for k in range(1400)}
