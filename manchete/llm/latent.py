@@ -5,9 +5,9 @@ with document frequencies counted in all documents. A randomised singular value
 decomposition of the passages' matrix, its products formed where the rows are, gives a
 latent space. Every document is covered by half-overlapping windows of several lengths;
 windows whose weight lies in the passages' words to some part are projected, and passages
-near by cosine are candidates. A candidate is a leak if half the weight of the passage's
-words is there and the longest common subsequence of passage and document words is long,
-or less long and the passage's answer, its last words, is there too.
+near by cosine are candidates. A candidate is a leak if the longest common subsequence of
+passage and document words is long, or less long and the passage's answer, its last words,
+is there too.
 
 Passages are handled about `AT_ONCE` at a time, so what is broadcast is bounded; documents are
 read once for the frequencies and once for each such part, and never shuffled.
@@ -79,15 +79,15 @@ class Passages:
     weights: np.ndarray
     common: frozenset[str]
     places_of: dict[str, int] = field(default_factory=dict)
-    told: list[dict[str, float]] = field(default_factory=list)
+    numbers: list[np.ndarray] = field(default_factory=list)
     squares: np.ndarray = field(default_factory=lambda: np.zeros(2))
     weighed: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __post_init__(self) -> None:
         self.places_of = self.terms | dict.fromkeys(self.common, -2)
-        # The weights of each passage's own words, common ones left out.
-        self.told = [{w: float(self.weights[self.terms[w]]) for w in own if w in self.terms} for own in self.words]
+        # The places of each passage's own words in `squares`.
+        self.numbers = [np.array([self.places_of[w] for w in own], np.int64) for own in self.words]
         # Squared weights by term; common words (-2) have none, other words (-1) the usual one.
         usual = float(np.median(self.weights)) if len(self.weights) else 0.0
         self.squares = np.concatenate((self.weights**2, [0.0, usual**2]))
@@ -150,20 +150,23 @@ class Passages:
             words, own = documents[document], self.words[passage]
             size = len(own) + len(own) // 4
             step = max(1, len(own) // 4)
-            # Words in common order are words in common, in the whole stretch and in a part,
-            # and those that tell the passage from prose have to be among them.
-            weight = self.told[passage]
-            least = PARAPHRASE * sum(weight.values())
-            stretch = set(words[max(0, start - len(own)) : start + length + size])
-            if sum(weight[w] for w in weight.keys() & stretch) < least:
-                continue
-            for at in range(max(0, start - len(own)) // step * step, min(len(words), start + length), step):
+            first = max(0, start - len(own)) // step * step
+            # Words in common order are words in common: places of a part that have one of the
+            # passage's words, and words of the passage that a part has.
+            inside = np.zeros(len(self.squares), bool)
+            inside[self.numbers[passage]] = True
+            shared = np.concatenate(([0], np.cumsum(inside[ids[bounds[document] + first : bounds[document] + start + length + size]])))
+            # A document's end cuts its last parts short; what follows it is not theirs.
+            shared = shared[: len(words) - first + 1]
+            parts = np.arange(first, min(len(words), start + length), step)
+            counts = shared[np.minimum(parts - first + size, len(shared) - 1)] - shared[parts - first]
+            for at in parts[counts >= PARAPHRASE * len(own)].tolist():
                 if (document, passage, at) in tried:
                     continue
                 tried.add((document, passage, at))
                 part = words[at : at + size]
                 present = set(part)
-                if sum(weight[w] for w in weight.keys() & present) < least:
+                if sum(w in present for w in own) < PARAPHRASE * len(own):
                     continue
                 share = common_length(own, part) / len(own)
                 known = best.get((document, passage))

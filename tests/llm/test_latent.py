@@ -103,3 +103,24 @@ def test_copies_of_very_many_passages_keep_their_cosine(spark):
     docs += [(2000 + k, " ".join("other" if j % 10 == 3 else w for j, w in enumerate(text.split()))) for k, text in items]
     found = pairs(latent.find_leaks(documents(spark, docs).repartition(8), spark.createDataFrame(items, ITEMS)))
     assert found == {(k, k) for k in range(1400)} | {(2000 + k, k) for k in range(1400)}
+
+
+def test_short_passages_and_few_telling_words(spark):
+    """Passages of 8 to 69 words, and one whose kept words are half of its words but not of their weight."""
+    rng = np.random.default_rng(19)
+    items = [(k, " ".join(prose(rng, int(rng.integers(8, 70))))) for k in range(120)]
+    docs, wanted = [], set()
+    for k, text in items:
+        own = [w if rng.random() > 0.25 or j >= len(text.split()) - 5 or k % 2 else "other" for j, w in enumerate(text.split())]
+        docs.append((k, " ".join([*prose(rng, 60), *own, *prose(rng, 60)])))
+        wanted |= {(k, k)} if k % 2 else set()
+    items.append((500, "zalpha zbeta zgamma zdelta zepsilon the of and"))
+    docs.append((500, "other1 other2 other3 zdelta zepsilon the of and"))
+    docs += [(1000 + k, " ".join([*["the of and"] * (k % 3 == 0), *prose(rng, 100)])) for k in range(200)]
+    found = pairs(latent.find_leaks(documents(spark, docs), spark.createDataFrame(items, ITEMS)))
+    assert wanted | {(500, 500)} <= found
+    texts, own = dict(docs), dict(items)
+    for doc, item in found:  # each is one by the rule, and all but a few altered copies are found
+        a, b = own[item].split(), texts[doc].split()
+        assert latent.common_length(a, b) >= latent.PARAPHRASE * len(a)
+    assert sum((k, k) in found for k in range(0, 120, 2)) >= 57
