@@ -7,7 +7,8 @@ latent space. Every document is covered by half-overlapping windows of several l
 windows whose weight lies in the passages' words to some part are projected, and passages
 near by cosine are candidates. A candidate is a leak if the longest common subsequence of
 passage and document words is long, or less long and the passage's answer, its last words,
-is there too.
+is there too. Beside that, the words of every passage are looked up as a sequence, so copies
+do not depend on windows or weights.
 
 Passages are handled about `AT_ONCE` at a time, so what is broadcast is bounded; documents are
 read once for the frequencies and once for each such part, and never shuffled.
@@ -33,10 +34,8 @@ from manchete.workspace import materialise
 AT_ONCE = 256
 RANK, BEYOND = 256, 16
 SEED = 7
-#: Words in a share of more documents than this carry no weight.
-COMMON = 0.35
-#: Shortest passage that can be found, in words.
-LEAST_WORDS = 5
+#: Shortest passages that can be found in other words, and word for word.
+LEAST_WORDS, EXACT_WORDS = 5, 3
 #: A window is projected if so much of its squared weight lies in words of passages.
 LEAST_MASS = 0.3
 COSINE = 0.3
@@ -77,37 +76,39 @@ class Passages:
     words: list[list[str]]
     terms: dict[str, int]
     weights: np.ndarray
-    common: frozenset[str]
-    places_of: dict[str, int] = field(default_factory=dict)
+    anchors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     numbers: list[np.ndarray] = field(default_factory=list)
     squares: np.ndarray = field(default_factory=lambda: np.zeros(2))
     weighed: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     def __post_init__(self) -> None:
-        self.places_of = self.terms | dict.fromkeys(self.common, -2)
-        # The places of each passage's own words in `squares`.
-        self.numbers = [np.array([self.places_of[w] for w in own], np.int64) for own in self.words]
-        # Squared weights by term; common words (-2) have none, other words (-1) the usual one.
+        self.numbers = [np.array([self.terms[w] for w in own], np.int64) for own in self.words]
+        # Each passage by the rarest of its words, with the word's place in it.
+        for k, own in enumerate(self.numbers):
+            if len(own):
+                place = int(np.argmax(self.weights[own]))
+                self.anchors.setdefault(int(own[place]), []).append((k, place))
+        # Squared weights by term; other words (-1) have the usual one.
         usual = float(np.median(self.weights)) if len(self.weights) else 0.0
-        self.squares = np.concatenate((self.weights**2, [0.0, usual**2]))
+        self.squares = np.concatenate((self.weights**2, [usual**2]))
 
     def vector(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of passage `k`."""
-        at = np.unique(np.array([self.terms[w] for w in self.words[k] if w in self.terms], np.int64))
+        """Terms and weights of passage `k`, none if it is only found word for word."""
+        at = np.unique(self.numbers[k] if len(self.words[k]) >= LEAST_WORDS else np.zeros(0, np.int64))
         return at, self.weights[at]
 
     def lengths(self) -> list[int]:
         """Window lengths: powers of two from about the shortest passage up to the longest."""
-        sizes = [len(w) for w in self.words] or [16]
+        sizes = [len(w) for w in self.words if len(w) >= LEAST_WORDS] or [16]
         least = 4 if min(sizes) >= 12 else 3 if min(sizes) >= 6 else 2
         return [1 << k for k in range(least, max(least, (max(sizes) - 1).bit_length()) + 1)]
 
     def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, passage, start, length, cosine) of windows near a passage.
 
-        `ids` has the words of several documents as terms, or -1 for other words and -2 for
-        common ones; document k is between bounds k and k + 1.
+        `ids` has the words of several documents as terms, or -1 for other words; document k
+        is between bounds k and k + 1.
         """
         squares, sizes = self.squares, np.diff(bounds)
         # Repeated terms count each time here, which can only let more windows through.
@@ -138,15 +139,41 @@ class Passages:
                     k = some[row]
                     yield int(document[k]), int(passage), int(number[k]) * step, length, float(cosines[row, passage])
 
+    def verbatim(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, passage, first word) of passages whose words all follow each other."""
+        known = np.zeros(len(self.squares), bool)
+        known[list(self.anchors)] = True
+        places = np.flatnonzero(known[ids])
+        places = places[np.argsort(ids[places], kind="stable")]
+        terms, first = np.unique(ids[places], return_index=True)
+        for term, own in zip(terms.tolist(), np.split(places, first[1:]), strict=False):
+            for passage, place in self.anchors[term]:
+                numbers, starts = self.numbers[passage], own - place
+                document = np.searchsorted(bounds, own, "right") - 1
+                inside = (starts >= bounds[document]) & (starts + len(numbers) <= bounds[document + 1])
+                starts, document = starts[inside], document[inside]
+                for k, number in enumerate(numbers):
+                    same = ids[starts + k] == number
+                    starts, document = starts[same], document[same]
+                    if not len(starts):
+                        break
+                for d, start in zip(document.tolist(), starts.tolist(), strict=True):
+                    yield d, passage, start - int(bounds[d])
+
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, float, float, bool]]]:
         """Leaks in each text: item, first word, words, cosine, share in common order, answer found."""
         documents = [_words(t) for t in texts]
         bounds = np.concatenate(([0], np.cumsum([len(d) for d in documents], dtype=np.int64)))
-        flat = map(self.places_of.get, chain.from_iterable(documents), repeat(-1))
+        flat = map(self.terms.get, chain.from_iterable(documents), repeat(-1))
         ids = np.fromiter(flat, np.int64, bounds[-1])
         best: dict[tuple[int, int], tuple] = {}
         tried: set[tuple[int, int, int]] = set()
+        for document, passage, start in self.verbatim(ids, bounds):
+            best.setdefault((document, passage), (self.ids[passage], start, len(self.words[passage]), 1.0, 1.0, True))
+        copied = set(best)
         for document, passage, start, length, cosine in self.candidates(ids, bounds):
+            if (document, passage) in copied:
+                continue
             words, own = documents[document], self.words[passage]
             size = len(own) + len(own) // 4
             step = max(1, len(own) // 4)
@@ -259,7 +286,7 @@ def _decompose(rows: DataFrame, terms: int, rank: int = RANK) -> np.ndarray:
 def _parts(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> Iterator[Passages]:
     """The benchmark, about AT_ONCE passages at a time, each part with its latent space."""
     spark = df.sparkSession
-    long_enough = F.size(F.regexp_extract_all(F.lower(item_text), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= LEAST_WORDS
+    long_enough = F.size(F.regexp_extract_all(F.lower(item_text), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= EXACT_WORDS
     known = benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).where(long_enough)
     numbered = materialise(known.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).distinct())
     parts = max(1, -(-numbered.count() // AT_ONCE))
@@ -270,16 +297,14 @@ def _parts(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text:
             continue
         terms = {w: k for k, w in enumerate(sorted({w for own in words for w in own}))}
         documents, found = _frequencies(df, text, terms)
-        names = list(terms)
-        common = frozenset(w for w in names if found[terms[w]] > COMMON * max(documents, 1))
-        kept = [w for w in names if w not in common]
-        weights = np.log((documents + 1) / (found[[terms[w] for w in kept]] + 1)) + 1 if kept else np.zeros(0)
-        passages = Passages([r.item for r in rows], words, {w: k for k, w in enumerate(kept)}, weights, common)
+        weights = np.log((documents + 1) / (found + 1)) + 1
+        passages = Passages([r.item for r in rows], words, terms, weights)
         vectors = [passages.vector(k) for k in range(len(rows))]
         matrix = spark.createDataFrame(
             [(at.tolist(), w.tolist()) for at, w in vectors if len(at)], "at array<long>, weight array<double>"
         )
-        axes = _decompose(matrix, len(kept), max(RANK, len(rows))) if kept else np.zeros((0, 1))
+        searched = any(len(at) for at, _ in vectors)
+        axes = _decompose(matrix, len(terms), max(RANK, len(rows))) if searched else np.zeros((len(terms), 1))
         passages.weighed = (axes * weights[:, None]).astype(np.float32)
         latent = np.array([passages.weighed[at].sum(axis=0) for at, _ in vectors]).reshape(len(rows), -1)
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
@@ -298,8 +323,8 @@ def find_leaks(
     """Leaks: `id`, item_id, first_word, n_words, cosine, lcs, answer, at most one per row and item.
 
     Whole texts are searched. Null and empty texts hold no leak; passages that are null,
-    without id, of fewer than LEAST_WORDS words, or of nothing but words that most documents
-    have cannot be found. Repeated documents give their rows each, repeated passages count
+    without id or of fewer than EXACT_WORDS words cannot be found, those of fewer than
+    LEAST_WORDS only word for word. Repeated documents give their rows each, repeated passages count
     once. Empty tables give an empty result; other columns are not read.
     """
     result = None

@@ -124,3 +124,17 @@ def test_short_passages_and_few_telling_words(spark):
         a, b = own[item].split(), texts[doc].split()
         assert latent.common_length(a, b) >= latent.PARAPHRASE * len(a)
     assert sum((k, k) in found for k in range(0, 120, 2)) >= 57
+
+
+def test_common_words_and_short_passages_are_found(spark):
+    """Word for word: passages that most documents hold or whose words most documents have, and one of three words."""
+    rng = np.random.default_rng(20)
+    common, spread, short = "what is the name of the one that was here", "how far is it to the moon", "zed why ex"
+    docs = [(k, " ".join([*rng.permutation(common.split()), *prose(rng, 30), *spread.split() * (k % 2), *prose(rng, 30)])) for k in range(100)]
+    docs += [(200, f"Yes, {common}?"), (201, " ".join([*prose(rng, 50), *common.split(), *prose(rng, 50)])), (202, f"a {short} b"), (203, "zed ex why")]
+    items = spark.createDataFrame([(1, common), (2, spread), (3, short)], ITEMS)
+    found = latent.find_leaks(documents(spark, docs), items)
+    wanted = {(200, 1), (201, 1), (202, 3)} | {(k, 2) for k in range(1, 100, 2)}
+    assert wanted <= pairs(found) and {p for p in pairs(found) if p[1] != 1} == wanted - {(200, 1), (201, 1)}
+    assert all(r.lcs == 1.0 for r in found.collect() if (r.doc_id, r.item_id) in wanted)
+    assert pairs(latent.find_leaks(documents(spark, docs), items.where("item_id = 3"))) == {(202, 3)}
