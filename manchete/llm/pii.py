@@ -269,7 +269,9 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     every = list(plain)
     for kind, a, b in plain_spans(copy.text):
         start, end = copy.start(a), copy.end(b)
-        if not any(k == kind and s < end and start < e for k, s, e in plain):
+        # Beside a plain span of its kind only a longer one that holds it is new.
+        met = [(s, e) for k, s, e in plain if k == kind and s < end and start < e]
+        if all(start <= s and e <= end and (s, e) != (start, end) for s, e in met):
             every.append((kind, start, end))
     return plain, sorted(every, key=lambda s: (KINDS.index(s[0]), *s[1:]))
 

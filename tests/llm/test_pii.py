@@ -115,3 +115,10 @@ def test_table_of_documents(spark):
     masked = pii.mask_pii(clashing(documents(spark, rows)), keep=("doc_id", "text", "fp"))
     assert by_id(masked)[1].text == "[EMAIL], [EMAIL]" and by_id(masked)[2].text is None
     assert pii.find_pii(documents(spark, [])).collect() == []
+
+
+def test_a_longer_disguised_span_is_added_to_the_plain_part_of_it():
+    for kind, text in (("phone", "+44 20 7946 0 nine five eight"), ("email", "anna@mail.example [dot] com"), ("email", "john [dot] smith@x.com")):
+        plain, every = pii.spans(f"see {text}, please")
+        assert len(plain) == 1 and set(plain) < set(every) and (kind, 4, 4 + len(text)) in every
+        assert pii.masked(f"see {text}, please") == f"see [{kind.upper()}], please"
