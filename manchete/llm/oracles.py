@@ -104,3 +104,100 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN holder <> page_id THEN holder END AS refers_to
 FROM h
 """
+
+#: Repeated lines dropped: keys of 40 code points in 5 documents, kept in the largest id.
+LINE_DEDUP = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS pos
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents)
+), keyed AS (
+    SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), repeated AS (
+    SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT k.*, coalesce(k.doc_id < r.last, false) AS gone FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: Five filters in all 120 orders.
+FILTER_AUDIT = r"""
+WITH words AS (
+    SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, list_filter([
+        CASE WHEN len(w) < 200 THEN 'A' END,
+        CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+        CASE WHEN words.doc_id > min(words.doc_id) OVER (PARTITION BY t) THEN 'E' END
+    ], lambda x: x IS NOT NULL) AS fails
+    FROM words LEFT JOIN marks USING (doc_id)
+), counted AS (
+    SELECT part, good, toxic, fails, count(*) AS n FROM docs GROUP BY ALL
+), letters(l) AS (
+    VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+    SELECT filter_order, step::INTEGER AS step, filter_order[step] AS own,
+        string_split(filter_order[1:step - 1], '') AS before
+    FROM orders, generate_series(1, 5) AS s(step)
+), audit AS (
+    SELECT part, filter_order, step, own,
+        sum(CASE WHEN NOT list_has_any(fails, before) AND NOT list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN NOT list_has_any(fails, before) AND list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN list_has_any(fails, before) AND list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN fails = [own] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN good AND NOT list_has_any(fails, before) AND list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN toxic AND NOT list_has_any(fails, before) AND list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM counted, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM audit
+"""
+
+
+def clusters(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """Centroids in exact integers: a step of the query for each round."""
+    parts = [
+        f"""kept AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+)""",
+        f"""c0 AS (
+    SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1)::INTEGER AS c, v
+    FROM kept QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) <= {k}
+)""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (
+    SELECT kept.vec_id, any_value(kept.v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT kept.vec_id, c, list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM kept, c{r}
+    ) AS far JOIN kept USING (vec_id) GROUP BY kept.vec_id
+)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (
+    SELECT c, list(m ORDER BY i) AS v FROM (
+        SELECT c, i, CASE WHEN s % n < 0 THEN (s - (s % n + n)) // n ELSE (s - s % n) // n END AS m FROM (
+            SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, generate_series(1, {dims}) AS g(i) GROUP BY c, i
+        )
+    ) GROUP BY c
+)""")
+            parts.append(f"""c{r + 1} AS (
+    SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c)
+)""")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a{rounds}.c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.c = c{rounds}.c"""

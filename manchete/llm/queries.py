@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from manchete.llm import hnsw, langid, latent, mixing, oracles, pii, simhash, suffix_tree, tokens, toxicity, warc
+from manchete.llm import (
+    clustering,
+    filter_audit,
+    hnsw,
+    langid,
+    latent,
+    line_dedup,
+    mixing,
+    oracles,
+    pii,
+    simhash,
+    suffix_tree,
+    tokens,
+    toxicity,
+    warc,
+)
 from manchete.llm.common import remainder
 from manchete.workspace import working_folder
 
@@ -73,6 +88,23 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf), public_tokenizers.path(TOKENIZER), limit=2048)
 
 
+def op11_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    found = clustering.cluster_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        clustering.centroid_digest().alias("centroid_sha256"),
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(_documents(spark, sf).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
@@ -85,8 +117,17 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_simhash": op9_simhash,
         "op10_token_counts": op10_token_counts,
+        "op11_clustering": op11_clustering,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": oracles.MIX, "op4_warc": oracles.WARC}
+    return {
+        "op1_mixing": oracles.MIX,
+        "op4_warc": oracles.WARC,
+        "op11_clustering": oracles.clusters(),
+        "op12_filter_audit": oracles.FILTER_AUDIT,
+        "op13_line_dedup": oracles.LINE_DEDUP,
+    }
