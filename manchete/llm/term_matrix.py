@@ -1,19 +1,21 @@
 """A sparse document-term matrix over a global dictionary, in CSR shards.
 
 Documents are cut into shards of bounded size where they are read. A shard first encodes its
-words by a dictionary of its own; then only (shard, word) pairs are shuffled, a word once
-for each shard, to number all words of the table. Each shard gets the numbers of its own
-words back and is rewritten with them. So no occurrence of a word is ever shuffled, and a
-word that all documents hold is a row for each shard and no more.
+words by a dictionary of its own. Then the words of the shards, each once for a shard, are
+dealt to buckets by hash, a bucket numbers its words, and each shard gets the numbers of its
+own words back and is rewritten with them. So no occurrence of a word is ever shuffled, and
+a word that all documents hold goes to its bucket once for each shard.
 
 A shard is a row: `docs` (its documents in order), `starts` (int64, where each document's
 entries begin, with the end of the last), `terms` (int64, numbers of words) and `counts`
-(int64, how often), the last three as flat binary arrays.
+(int64, how often), the last three as flat binary arrays. A word's number is its bucket,
+shifted by 32 bits, plus its place there.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,10 @@ import manchete.llm.common  # noqa: F401  (ships the package with the tasks)
 from manchete.workspace import materialise
 
 #: A shard holds so many documents and bytes of text at most; a longer text is a shard alone.
-SHARD_DOCUMENTS = 2048
-SHARD_BYTES = 4 << 20
+SHARD_DOCUMENTS = 4096
+SHARD_BYTES = 8 << 20
+#: A bucket gets so many words of shards, about, and has fewer different ones in its memory.
+BUCKET_WORDS = 1 << 18
 #: Bytes that make a document marked, besides what its caller asks for.
 _MARKS = b"#$%&*|"
 
@@ -74,7 +78,10 @@ def _csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
-    """Shards whose `codes` are places in their own `words`, with what else filters need."""
+    """Shards whose `codes` are places in their own `words`, with what else filters need.
+
+    `size` is the number of its words, which a blank parts in `words`.
+    """
     source = df.select(F.col(id).alias("id"), F.col(part).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     doc = T.StructType([
         source.schema["id"], source.schema["part"],
@@ -82,7 +89,7 @@ def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
     ])
     schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("docs", T.ArrayType(doc)),
-        *T.StructType.fromDDL("words array<string>, starts binary, codes binary, counts binary"),
+        *T.StructType.fromDDL("size long, words binary, starts binary, codes binary, counts binary"),
     ])
     arrow = to_arrow_schema(schema)
 
@@ -107,7 +114,8 @@ def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
                 columns = [
                     pa.array([task << 32 | made], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs).cast(arrow.field("docs").type),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())).cast(arrow.field("words").type),
+                    pa.array([len(words)], pa.int64()),
+                    pa.array([b" ".join(words.cast(pa.large_binary()).to_pylist())], pa.binary()),
                     *(pa.array([a.tobytes()], pa.binary()) for a in (starts, codes.astype(np.int32), counts.astype(np.int32))),
                 ]
                 made += 1
@@ -116,20 +124,68 @@ def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
     return source.mapInArrow(build, schema)
 
 
+def _dealt(shards: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, shard, words, codes): the words of every shard that fall into a bucket."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "shard", "words", "codes"]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                words = np.array(batch.column("words")[at].as_py().split(b" "), object)
+                own = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(own, kind="stable")
+                starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+                parts = np.split(order, starts[1:])
+                columns = [
+                    pa.array(own[order][starts], pa.int64()),
+                    pa.array([batch.column("shard")[at].as_py()] * len(parts), pa.int64()),
+                    pa.array([b" ".join(words[p].tolist()) for p in parts], pa.binary()),
+                    pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    source = shards.where("size > 0").select("shard", "words")
+    return source.mapInArrow(deal, "bucket long, shard long, words binary, codes binary")
+
+
+def _numbered(dealt: DataFrame) -> DataFrame:
+    """(shard, words, codes, terms): the numbers of the words, bucket by bucket.
+
+    Rows come ordered by bucket and shard, so that a task that is repeated gives the same
+    numbers, and holds the different words of one bucket at a time.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for batch in batches:
+            terms = []
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                places = [known.setdefault(w, len(known)) for w in words.split(b" ")]
+                terms.append(((bucket << 32) + np.array(places, np.int64)).tobytes())
+            columns = [batch.column("shard"), batch.column("words"), batch.column("codes"), pa.array(terms, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "words", "codes", "terms"])
+
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "shard")
+    return ordered.mapInArrow(number, "shard long, words binary, codes binary, terms binary")
+
+
+def _buckets(shards: DataFrame) -> int:
+    return (shards.agg(F.sum("size")).first()[0] or 0) // BUCKET_WORDS + 1
+
+
 def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, term): all words of the shards, numbered from 0 without gaps."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    placed = materialise(
-        words.select("word", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("place"))
-    )
-    sizes = sorted(placed.groupBy("range").count().collect())  # a row for each partition
-    before, starts = 0, []
-    for part, n in sizes:
-        starts.append((part, before))
-        before += n
-    offsets = shards.sparkSession.createDataFrame(starts, "range int, before long")
-    place = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))  # the lower 33 bits count rows of a partition
-    return placed.join(F.broadcast(offsets), "range").select("word", (F.col("before") + place).alias("term"))
+    """(word, term): all words of local shards with their numbers."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, terms in zip(batch.column("words").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                texts = pa.array(words.split(b" "), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([texts, pa.array(np.frombuffer(terms, np.int64))], names=["word", "term"])
+
+    numbered = _numbered(_dealt(shards, _buckets(shards)))
+    return numbered.mapInArrow(unpack, "word string, term long").distinct()
 
 
 def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
@@ -140,11 +196,14 @@ def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str
     text. Null texts count as empty ones, whose rows of the matrix are empty. Repeated rows
     each are a row. An empty table has no shard. Other columns are not read.
     """
-    shards = materialise(_local_shards(df, id, text, part))
-    pairs = shards.select("shard", F.posexplode("words").alias("code", "word"))
-    # A group is the words of one shard.
-    numbers = pairs.join(dictionary(shards), "word").groupBy("shard").agg(
-        F.sort_array(F.collect_list(F.struct("code", "term")))["term"].alias("numbers")
+    return number_terms(materialise(_local_shards(df, id, text, part)))
+
+
+def number_terms(shards: DataFrame) -> DataFrame:
+    """Local shards, as a written table, with the numbers of the global dictionary."""
+    # A group is what one shard has in the buckets.
+    numbers = _numbered(_dealt(shards, _buckets(shards))).groupBy("shard").agg(
+        F.collect_list(F.struct("codes", "terms")).alias("numbers")
     )
     met = shards.drop("words").join(numbers, "shard", "left")
     schema = T.StructType([shards.schema["shard"], shards.schema["docs"], *T.StructType.fromDDL("starts binary, terms binary, counts binary")])
@@ -154,16 +213,18 @@ def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                numbers = row.column("numbers").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                numbers = np.zeros(row.column("size")[0].as_py(), np.int64)
+                for piece in row.column("numbers")[0].as_py() or ():
+                    numbers[np.frombuffer(piece["codes"], np.int32)] = np.frombuffer(piece["terms"], np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
                 counts = np.frombuffer(row.column("counts")[0].as_py(), np.int32).astype(np.int64)
                 columns = [
-                    row.column("shard"), row.column("docs").cast(arrow.field("docs").type), row.column("starts"),
+                    row.column("shard"), row.column("docs"), row.column("starts"),
                     pa.array([numbers[codes].tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return met.select("shard", "docs", "starts", "codes", "counts", "numbers").mapInArrow(number, schema)
+    return met.select("shard", "docs", "size", "starts", "codes", "counts", "numbers").mapInArrow(number, schema)
 
 
 def row_totals(matrix: DataFrame) -> DataFrame:
