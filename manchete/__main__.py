@@ -27,6 +27,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     limit = capture.add_mutually_exclusive_group()
     limit.add_argument("--pages", type=int, help="only the first result pages")
     limit.add_argument("--articles", type=int, help="only the first articles")
+    capture.add_argument(
+        "--past-empty-pages", action="store_true", help="go on after the first result page without hits"
+    )
     capture.add_argument("--term", help="only articles whose title, subtitle or text holds this term")
     capture.add_argument(
         "--video-address", action="append", default=[], help="address part that marks a frame as a video; may repeat"
@@ -67,6 +70,7 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
             max_pages=args.pages,
             max_articles=args.articles,
             total_pages=declared_pages(list_pages, profile) if limited else None,
+            until_empty=not args.past_empty_pages,
         )
     elif args.job == "clean":
         names = ("clean", "monthly", "yearly")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manchete import schema as S
+from manchete.operators.chunks import CHUNK_ROWS, chunked_left_join
 
 # Sentinel values of the detail fields of an article that was not collected.
 _NOT_COLLECTED = {
@@ -18,13 +19,6 @@ _NOT_COLLECTED = {
     "tags_noticia": S.SENTINEL_TAGS,
 }
 
-# A link with more hits than this is a hot link, split into chunks of this size.
-_HOT_LINK_HITS = 200_000
-# There are fewer hot links than this, which bounds what is broadcast: beyond 20 billion
-# hits a link counts as hot from a share of all hits on, and the chunks grow with it.
-_HOT_LINKS = 100_000
-
-
 def one_article_per_link(articles: DataFrame) -> DataFrame:
     """Keep the earliest captured page of every link.
 
@@ -38,48 +32,15 @@ def one_article_per_link(articles: DataFrame) -> DataFrame:
     )
 
 
-def join_details(
-    hits: DataFrame, articles: DataFrame, hot_link_hits: int = _HOT_LINK_HITS
-) -> DataFrame:
+def join_details(hits: DataFrame, articles: DataFrame, hot_link_hits: int = CHUNK_ROWS) -> DataFrame:
     """Left outer join hit → article; what was not collected gets sentinel fields.
 
     Every hit gives one row, duplicates included. Most links are joined on the
     partitioning that picking one article per link leaves behind, so bodies are shuffled
-    once. Links with very many hits are joined apart, their hits spread over several
-    tasks by a chunk number.
+    once. Links with more than ``hot_link_hits`` hits are joined apart, in chunks of that size.
+    ``hits`` are read more than once, so they should be a written table.
     """
-    # Only links over the limit are looked at: one task sees a row for 200,000 hits at most.
-    in_hot_links = F.sum("n").over(Window.partitionBy())
-    chunk_hits = F.greatest(F.lit(hot_link_hits), F.ceil(in_hot_links / _HOT_LINKS))
-    hot = (
-        hits.groupBy("link_noticia")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > hot_link_hits)
-        .withColumn("chunk_hits", chunk_hits)
-        .where(F.col("n") > F.col("chunk_hits"))
-        .select("link_noticia", F.ceil(F.col("n") / F.col("chunk_hits")).cast("int").alias("chunks"))
-    )
-    marked_hits = hits.join(F.broadcast(hot), "link_noticia", "left")
-    marked_articles = one_article_per_link(articles).join(F.broadcast(hot), "link_noticia", "left")
-
-    usual = marked_hits.where("chunks is null").drop("chunks").join(
-        marked_articles.where("chunks is null").drop("chunks"), "link_noticia", "left"
-    )
-    chunk = F.pmod(F.xxhash64("page_no", "pos"), "chunks").cast("int")
-    split = (
-        marked_hits.where("chunks is not null")
-        .withColumn("chunk", chunk)
-        .drop("chunks")
-        .join(
-            marked_articles.where("chunks is not null")
-            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            .drop("chunks"),
-            ["link_noticia", "chunk"],
-            "left",
-        )
-        .drop("chunk")
-    )
-    joined = usual.unionByName(split)
+    joined = chunked_left_join(hits, one_article_per_link(articles), "link_noticia", ["page_no", "pos"], hot_link_hits)
     collected = F.coalesce(F.col("coletado"), F.lit(False))
     return joined.select(
         "page_no",

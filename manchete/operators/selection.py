@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manchete import schema as S
-from manchete.operators.numbering import number_rows
+from manchete.operators.numbering import cut_at, number_rows
+from manchete.workspace import materialise
 
 
 def usable_hits(hits: DataFrame) -> DataFrame:
@@ -28,19 +29,43 @@ def first_pages(hits: DataFrame, pages: int, total_pages: int | None = None) ->
     return hits.where(F.col("page_no") <= pages)
 
 
+def until_empty_page(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """Hits of the pages before the first captured page without any hit, where results end.
+
+    ``hits`` are all hits of ``pages``, usable or not, as a written table. A page number
+    that was not captured ends nothing; a page without number has no place in the order,
+    and its hits stay. Only page numbers are read and compared.
+    """
+    with_hits = hits.select("page_no").distinct()
+    empty = pages.select(F.col("page_no").cast("int")).distinct().join(with_hits, "page_no", "left_anti")
+    first = empty.agg(F.min("page_no")).first()[0]
+    return hits if first is None else hits.where(F.col("page_no").isNull() | (F.col("page_no") < first))
+
+
 def first_articles(hits: DataFrame, articles: int, total_pages: int | None = None) -> DataFrame:
     """First ``articles`` usable hits in order of arrival, i.e. by page and position.
 
-    Hits without a page number have no place in that order and are not counted. The hits
-    are numbered range by range, so no task holds all of them, and come out in order.
+    Hits without a page number have no place in that order and are not counted. They come
+    out in order. The page that reaches the number is found by counting hits by page, and
+    the place in it likewise; only among hits of the same place is any numbering needed.
     """
     _check_limit(
         "articles", articles, None if total_pages is None else total_pages * S.HITS_PER_PAGE
     )
-    placed = usable_hits(hits).where(F.col("page_no").isNotNull())
-    arrival = [F.col("page_no").asc(), F.col("pos").asc()]
-    numbered = number_rows(placed, arrival)
-    return numbered.where(F.col("numero") <= articles).orderBy("numero").drop("numero")
+    placed = materialise(usable_hits(hits).where(F.col("page_no").isNotNull()))
+    page = cut_at(placed, "page_no", articles)
+    if page is None:
+        return placed.orderBy("page_no", "pos")
+    last, missing = placed.where(F.col("page_no") == page[0]), articles - page[1]
+    kept = placed.where(F.col("page_no") < page[0])
+    place = cut_at(last, "pos", missing)
+    if place is None:
+        return kept.unionByName(last).orderBy("page_no", "pos")
+    kept = kept.unionByName(last.where(F.col("pos") < place[0]))
+    equal, missing = last.where(F.col("pos") == place[0]), missing - place[1]
+    if equal.count() > missing:
+        equal = number_rows(equal, [F.col("pos").asc()]).where(F.col("numero") <= missing).drop("numero")
+    return kept.unionByName(equal).orderBy("page_no", "pos")
 
 
 def first_rows(df: DataFrame, order_by: str | list[str], n: int = S.PREVIEW) -> DataFrame:

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from manchete import schema as S
 from manchete.operators.capture import join_details
-from manchete.operators.selection import first_articles, first_pages, search_articles, usable_hits
+from manchete.operators.selection import (
+    first_articles,
+    first_pages,
+    search_articles,
+    until_empty_page,
+    usable_hits,
+)
 from manchete.sinks.csv_tables import write_csv
 from manchete.sources.captured_pages import declared_totals, extract_articles, extract_hits
 from manchete.sources.site_profile import SiteProfile
@@ -20,22 +26,25 @@ def capture_hits(
     max_pages: int | None = None,
     max_articles: int | None = None,
     total_pages: int | None = None,
+    until_empty: bool = True,
 ) -> DataFrame:
     """Usable hits of all result pages, of the first pages, or the first so many articles.
 
-    The hits are parsed once and written to the working folder; what follows reads them
+    The results end at the first page without any hit; with ``until_empty`` false the pages
+    captured after it count as well. The hits are parsed once and written to the working folder; what follows reads them
     several times.
     """
     if max_pages is not None and max_articles is not None:
         raise ValueError("limit either the pages or the articles, not both")
     if max_pages is not None:  # before parsing, so that later pages are not parsed
         list_pages = first_pages(list_pages, max_pages, total_pages)
-    hits = materialise(usable_hits(extract_hits(list_pages, profile)))
+    hits = materialise(extract_hits(list_pages, profile))
+    hits = usable_hits(until_empty_page(hits, list_pages) if until_empty else hits)
     return hits if max_articles is None else first_articles(hits, max_articles, total_pages)
 
 
 def capture_articles(
-    list_pages: DataFrame, article_pages: DataFrame, profile: SiteProfile, **limits: int | None
+    list_pages: DataFrame, article_pages: DataFrame, profile: SiteProfile, **limits: int | bool | None
 ) -> DataFrame:
     """One row per usable hit with its article fields.
 
@@ -59,7 +68,7 @@ def run_capture(
     profile: SiteProfile,
     path: str,
     term: str | None = None,
-    **limits: int | None,
+    **limits: int | bool | None,
 ) -> bool:
     """Write the captured articles as CSV; false, and nothing written, if there are none.
 

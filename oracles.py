@@ -376,6 +376,11 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "first_n_hits": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
         "first_n_hits_by_block": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['articles']}",
         "first_many_hits": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' ORDER BY {_HIT_ORDER} LIMIT {limits['many_articles']}",
+        "until_empty_page": f"""
+            SELECT page_no, pos, titulo, subtitulo, link_noticia FROM ({_captured()})
+            WHERE page_no < coalesce((SELECT min(CAST(doc_id // 8 + 1 AS INTEGER)) FROM documents
+                WHERE (doc_id // 8 + 1) % 7 = 3
+                    AND 4 * (doc_id // 8 + 1) > 3 * (SELECT max(doc_id // 8 + 1) FROM documents)), 2147483647)""",
         "first_p_pages": f"SELECT * FROM ({_LIST_HITS}) WHERE titulo <> '' AND page_no <= {limits['pages']}",
         "preview5": f"""
             SELECT * REPLACE (coalesce(tags_noticia, 'N/A') AS tags_noticia) FROM ({_TEXTS})

@@ -201,6 +201,14 @@ def result_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def ending_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The result pages, of which some in the last quarter are without hits."""
+    last = spark.read.parquet(f"{sf}/documents.parquet").agg(F.max(F.floor(F.col("doc_id") / 8) + 1)).first()[0]
+    empty = (F.col("page_no") * 4 > 3 * last) & (F.col("page_no") % 7 == 3)
+    page = F.concat(F.lit('<div class="pagination__info"> Página '), F.col("page_no").cast("string"), F.lit('</div><div id="hits"><ol></ol></div>'))
+    return result_pages(spark, sf).withColumn("html", F.when(empty, page).otherwise(F.col("html")))
+
+
 def article_pages(spark: SparkSession, sf: str) -> DataFrame:
     """An article page per document.
 

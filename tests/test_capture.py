@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from manchete import schema as S
-from manchete.operators import capture, selection
-from manchete.plans.capture import capture_articles, run_capture
+from manchete.operators import capture, chunks, selection
+from manchete.plans.capture import capture_articles, capture_hits, run_capture
 from manchete.sources.news_csv import read_news_csv
 from manchete.sources.site_profile import SiteProfile
 
@@ -112,15 +112,60 @@ def test_no_task_ranks_all_hits(many_hits):
     assert "SinglePartition" not in plan and "Window" not in plan
 
 
-def test_more_hot_links_than_are_listed_change_nothing(spark, monkeypatch):
-    rows = [(p, i, "t", None, f"l{i}") for p in range(40) for i in range(12)]
-    hits = hits_table(spark, rows)
-    articles = spark.createDataFrame([detail(i, f"l{i}", text=f"x{i}") for i in range(12)], DETAILS)
-    plain = capture.join_details(hits, articles).collect()
-    for listed in (3, 50):
-        monkeypatch.setattr(capture, "_HOT_LINKS", listed)
-        split = capture.join_details(hits, articles, hot_link_hits=5).collect()
-        assert sorted(map(str, split)) == sorted(map(str, plain))
+@pytest.mark.parametrize("n", [1, 399, 400, 401, 650, 1000, 1001, 1500])
+def test_first_articles_of_a_page_with_most_hits_and_of_equal_places(spark, n):
+    """A page of 600 hits, all of one place, between usual pages."""
+    rows = [(p, i, f"t{p}-{i}", None, f"l{p}-{i}") for p in (*range(1, 41), *range(42, 82)) for i in range(10)]
+    same = [(41, 3, f"same{k % 200}", None, "l") for k in range(600)]
+    hits = hits_table(spark, rows + same).repartition(5)
+    got = selection.first_articles(hits, n).collect()
+    assert [(r.page_no, r.pos) for r in got] == sorted((r[0], r[1]) for r in rows + same)[:n]
+    assert [tuple(r) for r in selection.first_articles(hits, n).collect()] == [tuple(r) for r in got]
+
+
+def test_results_end_at_the_first_page_without_hits(spark):
+    pages = spark.createDataFrame(
+        [(p, "") for p in (1, 2, 3, 5, 6, 7, 8)] + [(None, ""), (5, "")], "page_no int, html string"
+    )
+    hits = hits_table(spark, [(1, 0, "a", None, "a"), (2, 0, None, None, None), (3, 0, "c", None, "c"), (5, 0, "d", None, "d"),
+                              (7, 0, "e", None, "e"), (8, 0, "f", None, "f"), (None, 0, "g", None, "g")])
+    # Page 2 has a hit, if no usable one; 4 was not captured; 6 is without hits.
+    assert {r.page_no for r in selection.until_empty_page(hits, pages).collect()} == {1, 2, 3, 5, None}
+    assert selection.until_empty_page(hits, pages.where("page_no <> 6")).count() == 7
+    assert selection.until_empty_page(hits.limit(0), pages).count() == 0
+    assert selection.until_empty_page(hits.limit(0), pages.limit(0)).count() == 0
+
+
+def test_page_loop_end_is_an_option_of_the_job(spark):
+    hit = '<li class="ais-Hits-item"><a class="search-results" href="/{0}"><h2 class="search-results__texto--title">t{0}</h2></a></li>'
+    pages = spark.createDataFrame([(p, "" if p == 3 else hit.format(p)) for p in range(1, 6)], "page_no int, html string")
+    titles = lambda **o: sorted(r.titulo for r in capture_hits(pages, SITE, **o).collect())
+    assert titles() == ["t1", "t2"]
+    assert titles(max_articles=4) == ["t1", "t2"]
+    assert titles(until_empty=False) == ["t1", "t2", "t4", "t5"]
+    assert titles(until_empty=False, max_articles=3) == ["t1", "t2", "t4"]
+    assert titles(max_pages=4) == ["t1", "t2"]
+
+
+def test_chunks_bound_what_a_key_brings_to_a_task(spark):
+    """One key with 30 % of 100,000 rows and a thousand with 0.05 % each, chunks of 1000."""
+    rows = spark.range(100_000).select(
+        "id", F.when(F.col("id") % 10 < 3, "hot").when(F.col("id") % 10 < 8, F.concat(F.lit("k"), (F.col("id") * 7919 / 10).cast("long") % 1000))
+        .when(F.col("id") % 10 == 8, F.concat(F.lit("own"), "id")).alias("key")
+    )
+    rows = rows.repartition(6)
+    right = rows.where("key <> 'k5'").groupBy("key").agg(F.min("id").alias("first"))
+    got = chunks.chunked_left_join(rows, right, "key", ["id"], chunk_rows=1000)
+    plain = rows.join(right, "key", "left")
+    same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("id", "key", "first").cast("decimal(38)"))).first()
+    assert same(got) == same(plain) and got.columns == plain.columns
+    # A key takes chunks by its own rows: the hot one 30, keys with fifty rows none.
+    spread = rows.withColumn("__bucket", F.pmod(F.xxhash64("id"), F.lit(100)).cast("long"))
+    cut = chunks.key_chunks(spread, "key", 100, 1000)
+    assert {(r.key, r["__chunks"]) for r in cut.collect()} == {("hot", 30)} and cut.count() == 100
+    own = spread.join(cut, ["key", "__bucket"]).groupBy((F.col("__bucket") % F.col("__chunks")).alias("c")).count()
+    assert max(r["count"] for r in own.collect()) < 2000
+    assert chunks.chunked_left_join(rows.limit(0), right, "key", ["id"]).count() == 0
 
 
 def test_limits_are_checked(many_hits):

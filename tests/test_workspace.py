@@ -3,7 +3,7 @@ import os
 import pytest
 
 from manchete import workspace
-from manchete.operators.numbering import number_rows
+from manchete.operators.numbering import cut_at, number_rows, ordered_ranges
 from manchete.operators.ranking import top_by_frequency
 from pyspark.sql import functions as F
 
@@ -52,6 +52,37 @@ def test_row_numbers(spark):
     assert number_rows(rows.limit(0), [F.col("h").asc()]).collect() == []
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_equal_keys_are_shared_by_several_ranges(spark, copies):
+    """One key, or one row, has half of all rows: no range gets more than twice its share."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 1000).alias("chave"),
+        (F.lit(0) if copies else F.col("id")).alias("outra"),
+    )
+    rows = rows.repartition(8)
+    ranges = ordered_ranges(rows, [F.col("chave").asc()])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ranges.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / 8
+    got = number_rows(rows, [F.col("chave").asc()]).orderBy("numero").collect()
+    assert [r.numero for r in got] == list(range(1, 40_001))
+    assert [r.chave for r in got] == sorted(r.chave for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1000, 1001, 5000, 9999])
+def test_cut_at(spark, n):
+    values = [(7 * k) ** 3 % 100_003 - 50_000 for k in range(9000)] + [3] * 1000
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(4)
+    value, below = cut_at(df, "v", n)
+    ordered = sorted(values)
+    assert value == ordered[n - 1] and below == sum(v < value for v in values)
+    assert cut_at(df, "v", 10_000) is None and cut_at(df.limit(0), "v", 1) is None
+
+
+
 @pytest.mark.parametrize("limit", [5, 1000, 1001, 5000])
 def test_ranking_is_the_same_beyond_the_limit_that_spark_cuts_to(spark, limit):
     terms = spark.range(6000).select(
