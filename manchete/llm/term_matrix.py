@@ -8,7 +8,7 @@ a word that all documents hold goes to its bucket once for each shard.
 
 A shard is a row: `docs` (its documents in order), `starts` (int64, where each document's
 entries begin, with the end of the last), `terms` (int64, numbers of words) and `counts`
-(int64, how often), the last three as flat binary arrays. A word's number is its bucket,
+(int32, how often), the last three as flat binary arrays. A word's number is its bucket,
 shifted by 32 bits, plus its place there.
 """
 
@@ -33,6 +33,8 @@ from manchete.workspace import materialise
 #: A shard holds so many documents and bytes of text at most; a longer text is a shard alone.
 SHARD_DOCUMENTS = 4096
 SHARD_BYTES = 8 << 20
+#: A task that puts the numbers in gets so many shards, about.
+SHARDS_A_TASK = 2
 #: A bucket gets so many words of shards, about, and has fewer different ones in its memory.
 BUCKET_WORDS = 1 << 18
 #: Bytes that make a document marked, besides what its caller asks for.
@@ -201,11 +203,11 @@ def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str
 
 def number_terms(shards: DataFrame) -> DataFrame:
     """Local shards, as a written table, with the numbers of the global dictionary."""
+    tasks = shards.count() // SHARDS_A_TASK + 1
+    dealt = _numbered(_dealt(shards, _buckets(shards))).drop("words").repartition(tasks, "shard")
     # A group is what one shard has in the buckets.
-    numbers = _numbered(_dealt(shards, _buckets(shards))).groupBy("shard").agg(
-        F.collect_list(F.struct("codes", "terms")).alias("numbers")
-    )
-    met = shards.drop("words").join(numbers, "shard", "left")
+    numbers = dealt.groupBy("shard").agg(F.collect_list(F.struct("codes", "terms")).alias("numbers"))
+    met = shards.drop("words").repartition(tasks, "shard").join(numbers, "shard", "left")
     schema = T.StructType([shards.schema["shard"], shards.schema["docs"], *T.StructType.fromDDL("starts binary, terms binary, counts binary")])
     arrow = to_arrow_schema(schema)
 
@@ -217,11 +219,8 @@ def number_terms(shards: DataFrame) -> DataFrame:
                 for piece in row.column("numbers")[0].as_py() or ():
                     numbers[np.frombuffer(piece["codes"], np.int32)] = np.frombuffer(piece["terms"], np.int64)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                counts = np.frombuffer(row.column("counts")[0].as_py(), np.int32).astype(np.int64)
-                columns = [
-                    row.column("shard"), row.column("docs"), row.column("starts"),
-                    pa.array([numbers[codes].tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()),
-                ]
+                terms = pa.array([numbers[codes].tobytes()], pa.binary())
+                columns = [row.column("shard"), row.column("docs"), row.column("starts"), terms, row.column("counts")]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return met.select("shard", "docs", "size", "starts", "codes", "counts", "numbers").mapInArrow(number, schema)
@@ -238,7 +237,7 @@ def row_totals(matrix: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 docs = batch.column("docs").slice(at, 1).flatten()
                 starts = np.frombuffer(batch.column("starts")[at].as_py(), np.int64)
-                counts = np.frombuffer(batch.column("counts")[at].as_py(), np.int64)
+                counts = np.frombuffer(batch.column("counts")[at].as_py(), np.int32)
                 columns = [*docs.flatten(), pa.array(_totals(counts, starts)), pa.array(np.diff(starts))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
