@@ -98,7 +98,7 @@ def test_small_shards_and_buckets_give_the_same_matrix(spark, rows, monkeypatch)
     names = {v: k for k, v in words.items()}
     found, sizes = [], []
     for r in term_matrix.number_terms(shards).collect():
-        starts, terms, counts = (np.frombuffer(x, np.int64) for x in (r.starts, r.terms, r.counts))
+        starts, terms, counts = np.frombuffer(r.starts, np.int64), np.frombuffer(r.terms, np.int64), np.frombuffer(r.counts, np.int32)
         sizes.append(len(r.docs))
         for k, d in enumerate(r.docs):
             a, b = starts[k : k + 2]
