@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from manchete import schema as S
+from manchete.functions.dates import with_dates
 from manchete.operators import cleaning
 
 COLUMNS = "titulo string, link_noticia string, data_pura string, tags_noticia string, nome_reporter string, tem_video boolean"
@@ -63,6 +66,26 @@ def test_profile(spark):
     assert len(got) == 6
 
 
+def _by_stage(df):
+    cleaned = cleaning.clean(df)
+    stages = {"original": df, "limpo": cleaned, "final": with_dates(cleaned)}
+    return sorted((s, *r) for s, part in stages.items() for r in cleaning.profile(part).collect())
+
+
+def test_profile_of_all_stages_in_one_pass(spark):
+    df = table(spark)
+    assert sorted(map(tuple, cleaning.profile_stages(df).collect())) == _by_stage(df)
+    for odd in (df.limit(0), df.drop("data_pura"), df.withColumn("n", F.lit(3)).withColumn("a` AS b", F.lit("N/A")),
+                df.withColumn("data_pura", F.lit("11 de junho de 2025"))):
+        assert sorted(map(tuple, cleaning.profile_stages(odd).collect())) == _by_stage(odd)
+
+
+def test_profile_scans_the_table_once(spark, tmp_path):
+    table(spark).write.parquet(str(tmp_path / "t"))
+    plan = cleaning.profile_stages(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_all_six_sentinels(column):
     from pyspark.sql import functions as F
 
