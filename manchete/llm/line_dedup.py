@@ -14,6 +14,7 @@ slice at a time.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from manchete.llm.common import TEXTS_AT_ONCE, map_texts
+from manchete.llm.common import TEXTS_AT_ONCE
 from manchete.operators.chunks import chunked_left_join
 from manchete.workspace import materialise
 
@@ -38,7 +39,9 @@ BITS_A_LINE, HASHES = 12, 3
 #: them and changes no result.
 MOST_SLICES = 1 << 13
 #: Hashes that a task gathers before it hands over slices.
-_GATHERED = 1 << 20
+_GATHERED = 1 << 18
+#: Documents with the same line that a task looks up together, about.
+CHUNK_DOCUMENTS = 1 << 14
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -102,11 +105,11 @@ def twice_filter(df: DataFrame, text: str, min_chars: int, slices: int) -> np.nd
     """The filter of keys seen twice, slices x bytes: every key that two rows hold is in it."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[int] = []
+        held = array("Q")
 
         def out() -> pa.RecordBatch:
             made = _slices(np.array(held, np.uint64), slices)
-            held.clear()
+            del held[:]
             types = {"slice": pa.int32(), "once": pa.binary(), "twice": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(made[k], t) for k, t in types.items()], names=list(types))
 
@@ -187,22 +190,33 @@ def drop_repeated_lines(
     filter = twice_filter(counted, body, min_chars, _slices_for(counted, body))
     shared = source.sparkSession.sparkContext.broadcast(filter)
 
-    def suspect(texts: list[str]) -> dict[str, list]:
-        lists = [list(_keys(t, min_chars)) for t in texts]
-        hashes = np.array([xxhash.xxh3_64_intdigest(k) for keys in lists for k in keys], np.uint64)
-        hits = iter(in_filter(shared.value, hashes).tolist())
-        return {
-            "lines": [t.count("\n") + 1 for t in texts],
-            "suspects": [[_digest(k) for k, hit in zip(keys, hits, strict=False) if hit] for keys in lists],
-        }
+    schema = T.StructType([*source.schema, *T.StructType.fromDDL("lines long, suspects array<binary>")])
+    arrow = to_arrow_schema(schema)
+
+    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                lists, lines = [], []
+                for t in part.column(body):
+                    t = t.as_py()
+                    lists.append(list(_keys(t, min_chars)))
+                    lines.append(t.count("\n") + 1)
+                hashes = np.array([xxhash.xxh3_64_intdigest(k) for keys in lists for k in keys], np.uint64)
+                hits = iter(in_filter(shared.value, hashes).tolist())
+                # Only as many hits as a text has keys are taken for it.
+                found = [[_digest(k) for k in keys if next(hits)] for keys in lists]
+                made = {"lines": lines, "suspects": found}
+                columns = [pa.array(made[f.name], f.type) if f.name in made else part.column(f.name).cast(f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    checked = materialise(map_texts(source, source.columns, body, suspect, "lines long, suspects array<binary>"))
+    checked = materialise(source.mapInArrow(suspect, schema))
     known = F.col(key).isNotNull() & (F.size("suspects") > 0)
     pairs = checked.where(known).select(F.col(key).alias("doc"), F.explode("suspects").alias("digest")).distinct()
     pairs = materialise(pairs)
     held = pairs.groupBy("digest").agg(F.max("doc").alias("last"), F.count("*").alias("docs"))
     repeated = held.where(F.col("docs") >= min_docs).drop("docs")
-    met = chunked_left_join(pairs, repeated, "digest", spread_by=["doc"])
+    met = chunked_left_join(pairs, repeated, "digest", spread_by=["doc"], chunk_rows=CHUNK_DOCUMENTS)
     drops = met.where(F.col("doc") < F.col("last")).groupBy("doc").agg(F.collect_list("digest").alias("drops"))
     usual = checked.where(~known).withColumn("n_dropped", F.lit(0).cast("long")).drop("suspects")
     touched = checked.where(known).drop("suspects").join(drops, F.col(key) == F.col("doc"), "left").drop("doc")
