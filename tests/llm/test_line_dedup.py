@@ -69,9 +69,7 @@ def test_full_filters_change_nothing(spark, rows, monkeypatch):
 
 
 def test_hot_lines_go_in_chunks(spark, rows, monkeypatch):
-    import manchete.operators.chunks as chunks
-
-    monkeypatch.setattr(line_dedup, "chunked_left_join", lambda *a, **k: chunks.chunked_left_join(*a, **k, chunk_rows=9))
+    monkeypatch.setattr(line_dedup, "CHUNK_DOCUMENTS", 9)
     assert found(documents(spark, rows)) == brute(rows)
 
 
