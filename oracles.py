@@ -161,7 +161,7 @@ def _term_stats() -> str:
     FROM ({_ranked(rows, S.TOP_TERMS)})"""
 
 
-def _cloud_terms() -> str:
+def _cloud_terms(table: str) -> str:
     columns = [c for c, _ in CLOUDS]
     names = "[" + ", ".join(f"'{n}'" for _, n in CLOUDS) + "]"
     texts = " UNION ALL ".join(
@@ -169,7 +169,7 @@ def _cloud_terms() -> str:
     )
     digits = S.code_point_class(S.OTHER_DIGIT_RANGES)
     return rf"""
-    WITH textos AS ({_TEXTS}),
+    WITH textos AS ({table}),
     listas AS (SELECT row_id, nuvem, regexp_extract_all(texto, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*') AS w
                FROM ({texts}) WHERE texto IS NOT NULL),
     fichas AS (SELECT row_id, nuvem, i, CASE WHEN lower(w[i]) LIKE '%''s' THEN left(w[i], length(w[i]) - 2) ELSE w[i] END AS palavra
@@ -323,7 +323,7 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "term_stats_two_pass": _term_stats(),
         "top_tags": _top_tags(S.TOP_TERMS),
         "top_tags_chart": _top_tags(S.TOP_CHART_TAGS),
-        "cloud_terms": _cloud_terms(),
+        "cloud_terms": _cloud_terms(_TEXTS),
         "parse_dates": f"""
             SELECT o_orderkey,
                    CASE o_orderkey % 10 WHEN 3 THEN '31 de fevereiro de 2024' WHEN 7 THEN '1º de maio de 2024'
@@ -345,16 +345,17 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "clean_report": _REPORT,
         "profile": _profiles(),
         "csv_roundtrip": f"SELECT {', '.join(S.ARTICLE_COLUMNS)} FROM ({_DECODED})",
+        "csv_split_files": f"SELECT {', '.join(S.ARTICLE_COLUMNS)} FROM ({_DECODED})",
         "clean_csv_roundtrip": _CLEAN,
         "csv_many_files": f"SELECT {_MANY_FILES} FROM ({_DECODED})",
         "monthly_csv": _monthly("orders", day, f"{day} BETWEEN DATE '1996-07-01' AND DATE '1998-06-30'", False),
         "yearly_csv": f"SELECT CAST(year({day}) AS INTEGER) AS ano_publicacao, count(*) AS total_noticias FROM orders GROUP BY ALL",
         "term_stats_csv": _term_stats(),
         "term_stats_no_subtitle": f"SELECT * FROM ({_term_stats()}) WHERE \"Tipo de Análise\" NOT LIKE '%Subtítulos'",
-        "cloud_all_stop_words": """
-            SELECT CAST(0 AS INTEGER) AS nuvem, CAST(0 AS INTEGER) AS posicao, '' AS tipo, '' AS termo,
-                   CAST(0 AS BIGINT) AS frequencia, CAST(0 AS DOUBLE) AS peso
-            FROM documents WHERE false""",
+        "cloud_all_stop_words": _cloud_terms(f"""
+            SELECT row_id, CAST(NULL AS VARCHAR) AS tags_noticia, 'De para QUE' AS titulo, 'De para QUE' AS subtitulo, CASE WHEN row_id =
+                (SELECT min(doc_id) FROM documents) THEN texto_completo ELSE 'De para QUE' END AS texto_completo
+            FROM ({_TEXTS})"""),
         "captured_order": f"""
             SELECT row_number() OVER (ORDER BY page_no, pos) AS numero, link_noticia FROM ({_captured()})""",
         "list_hits": _LIST_HITS,

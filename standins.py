@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from manchete import schema as S
 from manchete.functions.dates import month_name
+from manchete.sources.news_csv import CSV_OPTIONS
 from manchete.sources.scans import read_table
 
 BASE_URL = "https://www.noticias.example"
@@ -119,15 +120,33 @@ def doubtful_dates(spark: SparkSession, sf: str) -> DataFrame:
     return order_dates(spark, sf, spread_by="o_orderkey").withColumn("data_pura", text)
 
 
-def split_articles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The raw articles in two tables, the second with few columns in another order."""
+def split_articles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The raw articles in three tables, the second with few columns in another order."""
     raw = raw_articles(spark, sf)
-    few = F.coalesce(F.col("link_noticia").endswith("7"), F.lit(False))
-    return raw.where(~few), raw.where(few).select("link_noticia", "texto_completo", "titulo")
+    few, apart = (F.coalesce(F.col("link_noticia").endswith(end), F.lit(False)) for end in "73")
+    return (
+        raw.where(~few & ~apart),
+        raw.where(few).select("link_noticia", "texto_completo", "titulo"),
+        raw.where(apart),
+    )
+
+
+def write_after_blank_lines(df: DataFrame, path: str, files: int = 3) -> None:
+    """CSV files that begin with two empty lines, as some exports do."""
+    number = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    rows = df.select(number.alias("file"), F.lit(2).alias("at"), F.to_csv(F.struct(*df.columns), CSV_OPTIONS).alias("value"))
+    lines = F.array(F.struct(F.lit(0).alias("at"), F.lit("\n").alias("value")), F.struct(F.lit(1).alias("at"), F.lit(",".join(df.columns)).alias("value")))
+    heads = df.sparkSession.range(files).select(F.col("id").alias("file"), F.inline(lines))
+    ordered = heads.unionByName(rows).repartition("file").sortWithinPartitions("file", "at")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
 
 
 def only_stop_words(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf).withColumns({c: F.lit("De para QUE") for c, _ in S.TEXT_FIELDS}).drop("tags_noticia")
+    """Texts of stop words only, but for the body of the document with the smallest id."""
+    first = spark.read.parquet(f"{sf}/documents.parquet").agg(F.min("doc_id")).first()[0]
+    blank = F.lit("De para QUE")
+    kept = F.when(F.col("row_id") == first, F.col("texto_completo")).otherwise(blank)
+    return texts(spark, sf).withColumns({"titulo": blank, "subtitulo": blank, "texto_completo": kept}).drop("tags_noticia")
 
 
 def list_pages(spark: SparkSession, sf: str) -> DataFrame:
