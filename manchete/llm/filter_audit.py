@@ -17,7 +17,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from manchete.llm.term_matrix import row_totals, term_matrix
+from manchete.llm.term_matrix import row_totals
 from manchete.workspace import materialise
 
 FILTERS = "ABCDE"
@@ -45,7 +45,7 @@ def failures(df: DataFrame, id: str = "doc_id", text: str = "text", part: str =
     A text is a copy if a document with a smaller id has the same text; rows with the same
     id are no copies of each other, and a row without id is no copy and makes none.
     """
-    totals = row_totals(term_matrix(df, id, text, part))
+    totals = row_totals(df, id, text, part)
     fails = (
         F.when(F.col("words") < LEAST_WORDS, _bit("A")).otherwise(0)
         + F.when(100 * F.col("distinct") < LEAST_DISTINCT * F.col("words"), _bit("B")).otherwise(0)

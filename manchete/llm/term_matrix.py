@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 import manchete.llm.common  # noqa: F401  (ships the package with the tasks)
 from manchete.workspace import materialise
 
+#: Row of a shard, starts, terms and counts -> columns.
+Emit = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]]
+
 #: A shard holds so many documents and bytes of text at most; a longer text is a shard alone.
 SHARD_DOCUMENTS = 4096
 SHARD_BYTES = 8 << 20
@@ -41,10 +44,13 @@ BUCKET_WORDS = 1 << 18
 _MARKS = b"#$%&*|"
 
 
-def _totals(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sum of the flags of the bytes of each text."""
-    before = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return before[offsets[1:]] - before[offsets[:-1]]
+def _totals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the values between each two offsets."""
+    found = np.zeros(len(offsets) - 1, np.int64)
+    real = offsets[1:] > offsets[:-1]
+    if real.any():  # runs without values have no place in reduceat
+        found[real] = np.add.reduceat(values[: offsets[-1]], offsets[:-1][real], dtype=np.int64)
+    return found
 
 
 def _cuts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -59,10 +65,12 @@ def _cuts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(lengths)
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of the texts, and where each begins."""
-    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8), np.concatenate(([0], np.cumsum(lengths)))
+def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and where each begins, without a copy."""
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
 def _csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -190,25 +198,17 @@ def dictionary(shards: DataFrame) -> DataFrame:
     return numbered.mapInArrow(unpack, "word string, term long").distinct()
 
 
-def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
-    """CSR shards over the words (`[^\\x20\\x09-\\x0D]+`, case-sensitive) of whole texts.
+def _numbered_shards(shards: DataFrame, schema: T.StructType, emit: Emit) -> DataFrame:
+    """What `emit` makes of local shards, a written table, once they have the numbers of the global dictionary.
 
-    `docs` holds for each document `id`, `part`, the number of its code points and of
-    `[A-Z]` among them, whether it is marked (holds any `#$%&*|`) and a SHA-256 of its
-    text. Null texts count as empty ones, whose rows of the matrix are empty. Repeated rows
-    each are a row. An empty table has no shard. Other columns are not read.
+    It gets the row of a shard, with its `starts`, `terms` and `counts` as arrays beside it,
+    and gives the columns of a batch. A task holds one shard at a time.
     """
-    return number_terms(materialise(_local_shards(df, id, text, part)))
-
-
-def number_terms(shards: DataFrame) -> DataFrame:
-    """Local shards, as a written table, with the numbers of the global dictionary."""
     tasks = shards.count() // SHARDS_A_TASK + 1
     dealt = _numbered(_dealt(shards, _buckets(shards))).drop("words").repartition(tasks, "shard")
     # A group is what one shard has in the buckets.
     numbers = dealt.groupBy("shard").agg(F.collect_list(F.struct("codes", "terms")).alias("numbers"))
     met = shards.drop("words").repartition(tasks, "shard").join(numbers, "shard", "left")
-    schema = T.StructType([shards.schema["shard"], shards.schema["docs"], *T.StructType.fromDDL("starts binary, terms binary, counts binary")])
     arrow = to_arrow_schema(schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,27 +218,44 @@ def number_terms(shards: DataFrame) -> DataFrame:
                 numbers = np.zeros(row.column("size")[0].as_py(), np.int64)
                 for piece in row.column("numbers")[0].as_py() or ():
                     numbers[np.frombuffer(piece["codes"], np.int32)] = np.frombuffer(piece["terms"], np.int64)
-                codes = np.frombuffer(row.column("codes")[0].as_py(), np.int32)
-                terms = pa.array([numbers[codes].tobytes()], pa.binary())
-                columns = [row.column("shard"), row.column("docs"), row.column("starts"), terms, row.column("counts")]
+                starts = np.frombuffer(row.column("starts")[0].as_py(), np.int64)
+                terms = numbers[np.frombuffer(row.column("codes")[0].as_py(), np.int32)]
+                counts = np.frombuffer(row.column("counts")[0].as_py(), np.int32)
+                columns = emit(row, starts, terms, counts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return met.select("shard", "docs", "size", "starts", "codes", "counts", "numbers").mapInArrow(number, schema)
 
 
-def row_totals(matrix: DataFrame) -> DataFrame:
-    """A row for each document: what `docs` holds, `words` (row sum) and `distinct` (non-zero entries)."""
-    doc = matrix.schema["docs"].dataType.elementType
-    schema = T.StructType([*doc, *T.StructType.fromDDL("words long, distinct long")])
-    arrow = to_arrow_schema(schema)
+def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+    """CSR shards over the words (`[^\\x20\\x09-\\x0D]+`, case-sensitive) of whole texts.
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                docs = batch.column("docs").slice(at, 1).flatten()
-                starts = np.frombuffer(batch.column("starts")[at].as_py(), np.int64)
-                counts = np.frombuffer(batch.column("counts")[at].as_py(), np.int32)
-                columns = [*docs.flatten(), pa.array(_totals(counts, starts)), pa.array(np.diff(starts))]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    `docs` holds for each document `id`, `part`, the number of its code points and of
+    `[A-Z]` among them, whether it is marked (holds any `#$%&*|`) and a SHA-256 of its
+    text. Null texts count as empty ones, whose rows of the matrix are empty. Repeated rows
+    each are a row. An empty table has no shard. Other columns are not read.
+    """
+    return number_terms(materialise(_local_shards(df, id, text, part)))
+
+
+def number_terms(shards: DataFrame) -> DataFrame:
+    """Local shards, a written table, with the numbers of the global dictionary."""
+
+    def shard(row: pa.RecordBatch, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        arrays = (pa.array([a.tobytes()], pa.binary()) for a in (starts, terms, counts))
+        return [row.column("shard"), row.column("docs"), *arrays]
+
+    flat = T.StructType.fromDDL("starts binary, terms binary, counts binary")
+    return _numbered_shards(shards, T.StructType([shards.schema["shard"], shards.schema["docs"], *flat]), shard)
+
+
+def row_totals(df: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
+    """A row for each document: what `docs` of :func:`term_matrix` holds, `words` (the sum
+    of its row of the matrix) and `distinct` (the non-zero entries of it)."""
+    shards = materialise(_local_shards(df, id, text, part))
+
+    def totals(row: pa.RecordBatch, starts: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+        return [*row.column("docs").flatten().flatten(), pa.array(_totals(counts, starts)), pa.array(np.diff(starts))]
 
-    return matrix.mapInArrow(add_up, schema)
+    doc = shards.schema["docs"].dataType.elementType
+    return _numbered_shards(shards, T.StructType([*doc, *T.StructType.fromDDL("words long, distinct long")]), totals)
