@@ -1,4 +1,4 @@
-"""The three jobs from the command line: ``spark-submit`` or ``python -m manchete``."""
+"""The jobs from the command line: ``spark-submit`` or ``python -m manchete``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ import argparse
 from pyspark.sql import SparkSession
 
 from manchete import schema as S
+from manchete.operators.search_index import search_index, write_search_index
 from manchete.plans.capture import declared_pages, run_capture
 from manchete.plans.cleaning import EXTRA_TABLES, run_cleaning
-from manchete.plans.text_statistics import run_text_statistics
-from manchete.sinks.csv_tables import write_counts
+from manchete.plans.text_statistics import ROW_ID, run_text_statistics
+from manchete.sinks.csv_tables import write_counts, write_csv
+from manchete.sources.news_csv import read_news_csv
 from manchete.sources.site_profile import SiteProfile
 from manchete.workspace import job_folders
 
@@ -48,6 +50,15 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     stats.add_argument("csv")
     stats.add_argument("output", help="folder for the tables")
     stats.add_argument("--two-pass", action="store_true", help="read the texts twice and shuffle fewer n-grams")
+
+    index = jobs.add_parser("index", help="CSV to a search index")
+    index.add_argument("csv")
+    index.add_argument("output", help="folder for the index")
+
+    search = jobs.add_parser("search", help="articles of a search index that hold a term, as CSV")
+    search.add_argument("index", help="folder of the index")
+    search.add_argument("term")
+    search.add_argument("output")
     return parser.parse_args(argv)
 
 
@@ -77,6 +88,11 @@ def _run(spark: SparkSession, args: argparse.Namespace) -> None:
         paths = [f"{args.output}/{n}" for n in names]
         extras = {n: f"{args.output}/{n}" for n in args.also}
         run_cleaning(spark, args.csv, *paths, args.start, args.end, extras)
+    elif args.job == "index":
+        write_search_index(read_news_csv(spark, args.csv, row_id=ROW_ID), args.output, ROW_ID)
+    elif args.job == "search":
+        found = search_index(spark, args.index, args.term)
+        write_csv(found.orderBy(ROW_ID).drop(ROW_ID), args.output)
     else:
         tables = run_text_statistics(spark, args.csv, f"{args.output}/term_stats", args.two_pass)
         for name, table in tables.items():  # at most a hundred rows per cloud, twenty tags

@@ -313,6 +313,11 @@ _MANY_FILES = ", ".join(
 )
 
 
+_SEARCH = f"""
+    SELECT row_id, titulo, subtitulo, texto_completo FROM ({_TEXTS})
+    WHERE contains(lower(concat_ws(chr(10), titulo, subtitulo, texto_completo)), lower('Auréa'))"""
+
+
 def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
     day = "CAST(o_orderdate AS DATE)"
     return {
@@ -386,7 +391,6 @@ def oracle_sql(limits: dict[str, int]) -> dict[str, str]:
         "preview5": f"""
             SELECT * REPLACE (coalesce(tags_noticia, 'N/A') AS tags_noticia) FROM ({_TEXTS})
             ORDER BY row_id LIMIT {S.PREVIEW}""",
-        "search_articles": f"""
-            SELECT row_id, titulo, subtitulo, texto_completo FROM ({_TEXTS})
-            WHERE contains(lower(concat_ws(chr(10), titulo, subtitulo, texto_completo)), lower('Auréa'))""",
+        "search_articles": _SEARCH,
+        "search_index": _SEARCH,
     }

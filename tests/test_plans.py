@@ -152,3 +152,28 @@ def test_extraction_runs_unchanged_on_a_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         drain()
     assert sorted(r.texto_completo for r in spark.read.parquet(out).collect()) == ["texto 1", "texto 2"]
+
+
+def test_index_and_search_from_the_command_line(spark, news_csv, tmp_path):
+    from manchete.__main__ import arguments, run
+    from manchete.operators.selection import search_articles
+
+    run(spark, arguments(["index", news_csv, str(tmp_path / "i")]))
+    news = read_news_csv(spark, news_csv)
+    for n, term in enumerate(["galo", "A", "não está em nenhuma"]):
+        run(spark, arguments(["search", str(tmp_path / "i"), term, str(tmp_path / f"o{n}")]))
+        wanted = sorted(r.link_noticia or "" for r in search_articles(news, term).collect())
+        found = [] if not wanted else read_news_csv(spark, str(tmp_path / f"o{n}")).collect()
+        assert sorted(r.link_noticia or "" for r in found) == wanted
+
+
+def test_results_go_on_past_an_empty_page_if_asked(spark, tmp_path):
+    from manchete.__main__ import arguments, run
+
+    item = '<li class="ais-Hits-item"><a class="search-results" href="/{0}"><h2 class="search-results__texto--title">T{0}</h2></a></li>'
+    spark.createDataFrame([(p, "" if p == 2 else item.format(p)) for p in (1, 2, 3)], "page_no int, html string").write.parquet(str(tmp_path / "l"))
+    spark.createDataFrame([(1, "u", "x")], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "a"))
+    for name, extra, titles in (("o", [], ["T1"]), ("p", ["--past-empty-pages"], ["T1", "T3"])):
+        job = ["capture", str(tmp_path / "l"), str(tmp_path / "a"), str(tmp_path / name), "--base-url", "https://x.example"]
+        run(spark, arguments(job + extra))
+        assert sorted(r.titulo for r in read_news_csv(spark, str(tmp_path / name)).collect()) == titles
