@@ -35,15 +35,41 @@ Emit = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], list[pa.Ar
 
 #: A shard holds so many documents and bytes of text at most; a longer text is a shard alone.
 SHARD_DOCUMENTS = 4096
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: A task that puts the numbers in gets so many shards, about.
-SHARDS_A_TASK = 2
+SHARDS_A_TASK = 4
 #: A bucket gets so many words of shards, about, and has fewer different ones in its memory.
 BUCKET_WORDS = 1 << 18
 #: Bytes that make a document marked, besides what its caller asks for.
 _MARKS = b"#$%&*|"
 
 
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unsqueeze(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Integers in few bytes: all their lowest bytes, then all the next, and so on, compressed."""
+    return _squeeze(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unsqueeze(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _pack_rising(numbers: np.ndarray) -> bytes:
+    return _pack(np.diff(numbers, prepend=0))
+
+
+def _unpack_rising(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed))
+
+
 def _totals(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the values between each two offsets."""
     found = np.zeros(len(offsets) - 1, np.int64)
@@ -73,8 +99,8 @@ def _bytes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of the shard, and starts, codes and counts of its documents' entries."""
+def _csr(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of the shard, and its entries with their counts: row times number of words, plus the word's place."""
     lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     tokens = lists.flatten()
     rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -83,14 +109,14 @@ def _csr(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]
     rows, codes = rows[real.to_numpy(zero_copy_only=False)], encoded.indices.to_numpy(zero_copy_only=False)
     size = max(len(encoded.dictionary), 1)
     entries, counts = np.unique(rows * size + codes, return_counts=True)
-    starts = np.searchsorted(entries, np.arange(len(texts) + 1) * size)
-    return encoded.dictionary, starts.astype(np.int64), entries % size, counts.astype(np.int64)
+    return encoded.dictionary.cast(pa.large_binary()).to_pylist(), entries, counts
 
 
 def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
-    """Shards whose `codes` are places in their own `words`, with what else filters need.
+    """Shards over dictionaries of their own, with what else filters need.
 
-    `size` is the number of its words, which a blank parts in `words`.
+    `size` is the number of a shard's words, which a blank parts in `words`; `entries` are
+    those of :func:`_csr`. The last three columns are packed.
     """
     source = df.select(F.col(id).alias("id"), F.col(part).alias("part"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     doc = T.StructType([
@@ -99,7 +125,7 @@ def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
     ])
     schema = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("docs", T.ArrayType(doc)),
-        *T.StructType.fromDDL("size long, words binary, starts binary, codes binary, counts binary"),
+        *T.StructType.fromDDL("size long, words binary, entries binary, counts binary"),
     ])
     arrow = to_arrow_schema(schema)
 
@@ -120,13 +146,12 @@ def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
                 ]
                 inner = arrow.field("docs").type.value_type
                 docs = pa.StructArray.from_arrays([v.cast(f.type) for v, f in zip(values, inner, strict=True)], fields=list(inner))
-                words, starts, codes, counts = _csr(texts)
+                words, entries, counts = _csr(texts)
                 columns = [
                     pa.array([task << 32 | made], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs).cast(arrow.field("docs").type),
                     pa.array([len(words)], pa.int64()),
-                    pa.array([b" ".join(words.cast(pa.large_binary()).to_pylist())], pa.binary()),
-                    *(pa.array([a.tobytes()], pa.binary()) for a in (starts, codes.astype(np.int32), counts.astype(np.int32))),
+                    *(pa.array([x], pa.binary()) for x in (_squeeze(b" ".join(words)), _pack_rising(entries), _pack(counts))),
                 ]
                 made += 1
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
@@ -135,13 +160,13 @@ def _local_shards(df: DataFrame, id: str, text: str, part: str) -> DataFrame:
 
 
 def _dealt(shards: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, shard, words, codes): the words of every shard that fall into a bucket."""
+    """(bucket, shard, words, codes): the words of every shard that fall into a bucket, and their places there."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "shard", "words", "codes"]
         for batch in batches:
             for at in range(batch.num_rows):
-                words = np.array(batch.column("words")[at].as_py().split(b" "), object)
+                words = np.array(_unsqueeze(batch.column("words")[at].as_py()).split(b" "), object)
                 own = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
                 order = np.argsort(own, kind="stable")
                 starts = np.flatnonzero(np.diff(own[order], prepend=-1))
@@ -149,8 +174,8 @@ def _dealt(shards: DataFrame, buckets: int) -> DataFrame:
                 columns = [
                     pa.array(own[order][starts], pa.int64()),
                     pa.array([batch.column("shard")[at].as_py()] * len(parts), pa.int64()),
-                    pa.array([b" ".join(words[p].tolist()) for p in parts], pa.binary()),
-                    pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary()),
+                    pa.array([_squeeze(b" ".join(words[p].tolist())) for p in parts], pa.binary()),
+                    pa.array([_pack_rising(p) for p in parts], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -159,7 +184,7 @@ def _dealt(shards: DataFrame, buckets: int) -> DataFrame:
 
 
 def _numbered(dealt: DataFrame) -> DataFrame:
-    """(shard, words, codes, terms): the numbers of the words, bucket by bucket.
+    """`dealt` with `places`, the numbers of the words in their bucket.
 
     Rows come ordered by bucket and shard, so that a task that is repeated gives the same
     numbers, and holds the different words of one bucket at a time.
@@ -168,17 +193,16 @@ def _numbered(dealt: DataFrame) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, known = None, {}
         for batch in batches:
-            terms = []
+            places = []
             for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 if bucket != at:
                     at, known = bucket, {}
-                places = [known.setdefault(w, len(known)) for w in words.split(b" ")]
-                terms.append(((bucket << 32) + np.array(places, np.int64)).tobytes())
-            columns = [batch.column("shard"), batch.column("words"), batch.column("codes"), pa.array(terms, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "words", "codes", "terms"])
+                found = [known.setdefault(w, len(known)) for w in _unsqueeze(words).split(b" ")]
+                places.append(_pack(np.array(found, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.binary())], names=[*batch.schema.names, "places"])
 
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "shard")
-    return ordered.mapInArrow(number, "shard long, words binary, codes binary, terms binary")
+    return ordered.mapInArrow(number, "bucket long, shard long, words binary, codes binary, places binary")
 
 
 def _buckets(shards: DataFrame) -> int:
@@ -190,9 +214,9 @@ def dictionary(shards: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, terms in zip(batch.column("words").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-                texts = pa.array(words.split(b" "), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([texts, pa.array(np.frombuffer(terms, np.int64))], names=["word", "term"])
+            for bucket, words, places in zip(*(batch.column(c).to_pylist() for c in ("bucket", "words", "places")), strict=True):
+                texts = pa.array(_unsqueeze(words).split(b" "), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([texts, pa.array((bucket << 32) + _unpack(places))], names=["word", "term"])
 
     numbered = _numbered(_dealt(shards, _buckets(shards)))
     return numbered.mapInArrow(unpack, "word string, term long").distinct()
@@ -207,7 +231,7 @@ def _numbered_shards(shards: DataFrame, schema: T.StructType, emit: Emit) -> Dat
     tasks = shards.count() // SHARDS_A_TASK + 1
     dealt = _numbered(_dealt(shards, _buckets(shards))).drop("words").repartition(tasks, "shard")
     # A group is what one shard has in the buckets.
-    numbers = dealt.groupBy("shard").agg(F.collect_list(F.struct("codes", "terms")).alias("numbers"))
+    numbers = dealt.groupBy("shard").agg(F.collect_list(F.struct("bucket", "codes", "places")).alias("numbers"))
     met = shards.drop("words").repartition(tasks, "shard").join(numbers, "shard", "left")
     arrow = to_arrow_schema(schema)
 
@@ -215,16 +239,18 @@ def _numbered_shards(shards: DataFrame, schema: T.StructType, emit: Emit) -> Dat
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                numbers = np.zeros(row.column("size")[0].as_py(), np.int64)
+                size = row.column("size")[0].as_py()
+                numbers = np.zeros(size, np.int64)
                 for piece in row.column("numbers")[0].as_py() or ():
-                    numbers[np.frombuffer(piece["codes"], np.int32)] = np.frombuffer(piece["terms"], np.int64)
-                starts = np.frombuffer(row.column("starts")[0].as_py(), np.int64)
-                terms = numbers[np.frombuffer(row.column("codes")[0].as_py(), np.int32)]
-                counts = np.frombuffer(row.column("counts")[0].as_py(), np.int32)
+                    numbers[_unpack_rising(piece["codes"])] = (piece["bucket"] << 32) + _unpack(piece["places"])
+                entries, rows = _unpack_rising(row.column("entries")[0].as_py()), len(row.column("docs")[0])
+                starts = np.searchsorted(entries, np.arange(rows + 1) * max(size, 1)).astype(np.int64)
+                terms = numbers[entries % size] if size else numbers
+                counts = _unpack(row.column("counts")[0].as_py()).astype(np.int32)
                 columns = emit(row, starts, terms, counts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return met.select("shard", "docs", "size", "starts", "codes", "counts", "numbers").mapInArrow(number, schema)
+    return met.select("shard", "docs", "size", "entries", "counts", "numbers").mapInArrow(number, schema)
 
 
 def term_matrix(df: DataFrame, id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
