@@ -119,4 +119,11 @@ def test_words_are_shuffled_once_a_shard(spark):
     df = documents(spark, [(i, "the same words again") for i in range(9000)]).coalesce(2)
     shards = term_matrix.materialise(term_matrix._local_shards(df, "doc_id", "text", "lang"))
     dealt = term_matrix._dealt(shards, 3).collect()
-    assert shards.count() < 8 and sorted(w for r in dealt for w in r.words.split(b" ")) == sorted(b"the same words again".split() * shards.count())
+    assert shards.count() < 8 and sorted(w for r in dealt for w in term_matrix._unsqueeze(r.words).split(b" ")) == sorted(b"the same words again".split() * shards.count())
+
+
+def test_packed_numbers():
+    for a in ([], [0], [5, 3, -7, 1 << 40], list(range(0, 10**6, 997))):
+        a = np.array(a, np.int64)
+        assert (term_matrix._unpack(term_matrix._pack(a)) == a).all()
+        assert (term_matrix._unpack_rising(term_matrix._pack_rising(a)) == a).all()
