@@ -2,23 +2,27 @@
 
 A line feed ends a record only outside quotes, and whether a place is inside quotes depends
 on everything before it in the file. So a large file is read twice. First every split tells
-how it ends if it begins outside quotes, and if it begins inside; putting these together in
-the order of the splits gives the state in which each really begins, and the number of its
-first record. Then every split cuts its lines into records, and only the records that reach
-over an end of a split, at most two for each, are shuffled to be glued.
+how it ends if it begins outside quotes, and if it begins inside, for which only the lines
+that can change the state leave the scan; putting these together in the order of the splits
+gives the state in which each really begins. Then every split cuts its lines into records,
+and only the records that reach over an end of a split, at most two for each, are shuffled
+to be glued.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+from bisect import bisect_left
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import pairwise
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +79,18 @@ def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+# Other lines end as they begin: no cell begins with a quote, and all quotes are doubled.
+_CHANGES_STATE = """startswith(line, X'22') OR contains(line, X'2C22') OR contains(replace(CAST(line AS STRING), '""', ''), '"')"""
+
+
 def ends_inside(line: bytes, inside: bool) -> bool:
     """Whether the place after a line is inside quotes, given the place before it.
 
     Quotes count where they begin a cell. A quote inside ends the quotes unless another
     follows; what comes between it and the next comma belongs to the cell.
     """
+    if inside and 2 * line.count(b'""') == line.count(b'"'):
+        return True
     at = 0
     while True:
         if not inside:
@@ -170,101 +180,100 @@ def file_heads(spark: SparkSession, paths: str | list[str]) -> list[Head]:
     return sorted((h for h in heads if h.header), key=lambda h: h.file)
 
 
-def _split_ends(lines: DataFrame) -> DataFrame:
-    """(number, start, out_ends, in_ends, out_records, in_records) of every split.
+def _runs(batches: Iterator[pa.RecordBatch], crlf: dict[int, bool]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Lines of the same file and split that come together, without the CR of a CR LF.
 
-    How a split that begins outside, or inside, quotes ends (1: inside) and how many
-    records begin in it.
+    The mark before a file's first line goes as well.
     """
-    names = ["number", "start", "out_ends", "in_ends", "out_records", "in_records"]
+    at = None
+    for batch in batches:
+        files, starts = (batch.column(c).to_numpy() for c in ("file", "start"))
+        lines = batch.column("line").to_pylist()
+        edges = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
+        for a, b in pairwise([0, *edges.tolist(), len(lines)]):
+            file, start, own = int(files[a]), int(starts[a]), lines[a:b]
+            if start == 0 and at != (file, start):
+                own[0] = own[0].removeprefix(_MARK)
+            at = (file, start)
+            yield file, start, [line.removesuffix(b"\r") for line in own] if crlf[file] else own
+
+
+def _split_ends(lines: DataFrame, crlf: dict[int, bool]) -> DataFrame:
+    """(file, start, out_ends, in_ends): how a split ends that begins outside, or inside, quotes (1: inside)."""
+    names = ["file", "start", "out_ends", "in_ends"]
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, states, records, rows = None, [False, True], [0, 0], []
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("number", "crlf", "start", "line"))
-            for number, crlf, start, line in zip(*columns, strict=True):
-                line = line.removesuffix(b"\r") if crlf else line
-                if (number, start) != at:
-                    if at:
-                        rows.append((*at, *map(int, states), *records))
-                    at, states, records = (number, start), [False, True], [0, 0]
-                    line = line if start else line.removeprefix(_MARK)
-                quoted, real = b'"' in line, line != b""
-                for k in (0, 1):
-                    records[k] += real and not states[k]
-                    if quoted:
-                        states[k] = ends_inside(line, states[k])
-        if at:
-            rows.append((*at, *map(int, states), *records))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
-
-    return lines.mapInArrow(ends, ", ".join(f"{n} long" for n in names))
-
-
-def split_starts(ends: DataFrame) -> DataFrame:
-    """(number, start, inside, first): how every split begins, and the number of its first record.
+        states: dict[tuple[int, int], tuple[bool, bool]] = {}
+        for file, start, own in _runs(batches, crlf):
+            outside, inside = states.get((file, start), (False, True))
+            for line in own:
+                outside, inside = ends_inside(line, outside), ends_inside(line, inside)
+            states[file, start] = outside, inside
+        if states:
+            columns = zip(*((*at, *map(int, ending)) for at, ending in states.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return lines.where(_CHANGES_STATE).mapInArrow(ends, ", ".join(f"{n} long" for n in names))
+
+
+def states_after(ends: DataFrame) -> DataFrame:
+    """(file, start, inside): the state after each split of ``ends`` (1: inside quotes).
 
     A split keeps the state, changes it, or ends in one state whatever it began with. The
-    state before a split is that of the last one of the third kind, changed as often as
-    splits since then change it. A file's window has a row for each of its splits.
+    state after a split is that of the last one of the third kind, changed as often as
+    splits since then change it. Splits that ``ends`` lacks keep it. A file's window has a
+    row for each of its splits at most.
     """
-    order = Window.partitionBy("number").orderBy("start")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fixed = F.col("out_ends") == F.col("in_ends")
-    changes = F.when(~fixed, F.col("out_ends")).otherwise(0)
-    anchored = ends.withColumn("changes", F.sum(changes).over(upto)).withColumn(
-        "anchor", F.when(fixed, F.col("out_ends") + F.col("changes"))
-    )
-    zero = F.lit(0).cast("long")
-    state = F.coalesce(F.last("anchor", ignorenulls=True).over(before), zero) + F.coalesce(F.max("changes").over(before), zero)
-    placed = anchored.withColumn("inside", F.pmod(state, F.lit(2)))
-    own = F.when(F.col("inside") == 1, F.col("in_records")).otherwise(F.col("out_records"))
-    return placed.withColumn("own", own).select(
-        "number", "start", "inside", F.coalesce(F.sum("own").over(before), zero).alias("first")
-    )
+    changes = F.sum(F.when(~fixed, F.col("out_ends")).otherwise(0)).over(upto)
+    counted = ends.withColumn("changes", changes).withColumn("anchor", F.when(fixed, F.col("out_ends") + F.col("changes")))
+    last = F.coalesce(F.last("anchor", ignorenulls=True).over(upto), F.lit(0).cast("long"))
+    return counted.select("file", "start", F.pmod(last + F.col("changes"), F.lit(2)).alias("inside"))
 
 
-def _pieces(lines: DataFrame) -> DataFrame:
-    """(number, record, start, whole, text): records, and the parts of those that splits cut.
+def _pieces(lines: DataFrame, crlf: dict[int, bool], known: Broadcast) -> DataFrame:
+    """(file, start, record, whole, text): records, and the parts of those that splits cut.
 
-    ``lines`` have the state (``inside``) and the record number (``first``) of their split.
+    Records count from 1 in their split; what a split begins with, if that belongs to a
+    record begun before it, counts as 0. ``known`` has for a file the splits whose state
+    after them is known, in order, and these states.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        at, held, inside, began, record = None, [], False, False, 0
-        chars = 0
+        at, held, inside, record, chars = None, [], False, 0, 0
 
         def out() -> pa.RecordBatch:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             rows.clear()
-            return pa.RecordBatch.from_arrays(made, names=["number", "record", "start", "whole", "text"])
+            return pa.RecordBatch.from_arrays(made, names=["file", "start", "record", "whole", "text"])
 
-        def close(whole: bool) -> int:
+        def close(ended: bool) -> int:
             text = b"\n".join(held).decode("utf-8", "replace")
             held.clear()
-            rows.append((at[0], record - 1, at[1], whole, text))
+            rows.append((*at, record, ended and record > 0, text))
             return len(text)
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("number", "crlf", "start", "inside", "first", "line"))
-            for number, crlf, start, state, first, line in zip(*columns, strict=True):
-                line = line.removesuffix(b"\r") if crlf else line
-                if (number, start) != at:
-                    if held:
-                        close(False)
-                    at, inside, record, began = (number, start), state == 1, first, False
-                    line = line if start else line.removeprefix(_MARK)
+        for file, start, own in _runs(batches, crlf):
+            if (file, start) != at:
+                if held:
+                    close(False)
+                at, record = (file, start), 0
+                starts, states = known.value.get(file, ((), ()))
+                earlier = bisect_left(starts, start)
+                inside = earlier > 0 and states[earlier - 1]
+            for line in own:
                 if not inside:
-                    if line == b"":
+                    if not line:
                         continue
-                    record, began = record + 1, True
+                    record += 1
                 held.append(line)
-                inside = ends_inside(line, inside) if b'"' in line else inside
+                if b'"' in line:
+                    inside = ends_inside(line, inside)
                 if not inside:
-                    chars += close(began)
+                    chars += close(True)
                     if len(rows) >= _BATCH_RECORDS or chars >= _BATCH_CHARS:
                         yield out()
                         chars = 0
@@ -273,7 +282,7 @@ def _pieces(lines: DataFrame) -> DataFrame:
         if rows:
             yield out()
 
-    return lines.mapInArrow(cut, "number long, record long, start long, whole boolean, text string")
+    return lines.mapInArrow(cut, "file long, start long, record long, whole boolean, text string")
 
 
 def split_records(spark: SparkSession, heads: dict[int, Head], split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -284,18 +293,29 @@ def split_records(spark: SparkSession, heads: dict[int, Head], split_bytes: int
     are written to the working folder, from where the table is read.
     """
     session = _own_session(spark, files__maxPartitionBytes=split_bytes, files__openCostInBytes=split_bytes)
-    numbers = session.createDataFrame(
-        [(h.file, n, h.crlf) for n, h in heads.items()], "file string, number long, crlf boolean"
-    )
-    lines = _lines(session, [unquote(h.file) for h in heads.values()]).join(F.broadcast(numbers), "file")
-    lines = lines.select("number", "crlf", "start", "line")
-    # A row for each split, as many as the driver keeps of any scan.
-    starts = split_starts(_split_ends(lines)).collect()
-    known = session.createDataFrame(starts, "number long, start long, inside long, first long")
+    # A file goes by a hash of its path, which is shorter; no two may share one.
+    paths = session.createDataFrame([(h.file, n) for n, h in heads.items()], "path string, number long")
+    keys = {r["number"]: r["file"] for r in paths.select("number", F.xxhash64("path").alias("file")).collect()}
+    if len(set(keys.values())) < len(keys):
+        raise ValueError("two CSV files have paths with the same hash; read them apart")
+    crlf = {keys[n]: h.crlf for n, h in heads.items()}
+    lines = _lines(session, [unquote(h.file) for h in heads.values()])
+    lines = lines.select(F.xxhash64("file").alias("file"), "start", "line")
+    # What follows has a row for each split, as many as the driver keeps of any scan.
+    known: dict[int, tuple[list[int], list[bool]]] = {}
+    for r in sorted(states_after(_split_ends(lines, crlf)).collect()):
+        starts, states = known.setdefault(r["file"], ([], []))
+        starts.append(r["start"]), states.append(r["inside"] == 1)
     path = working_folder(spark)
-    _pieces(lines.join(F.broadcast(known), ["number", "start"], "left")).write.parquet(path)
-    pieces = spark.read.schema("number long, record long, start long, whole boolean, text string").parquet(path)
+    _pieces(lines, crlf, spark.sparkContext.broadcast(known)).write.parquet(path)
+    pieces = spark.read.schema("file long, start long, record long, whole boolean, text string").parquet(path)
+    order = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    held = pieces.groupBy("file", "start").agg(F.max("record").alias("held"))
+    before = held.withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0))).drop("held")
+    numbers = spark.createDataFrame([(k, n) for n, k in keys.items()], "file long, number long")
+    numbered = pieces.join(F.broadcast(before.join(F.broadcast(numbers), "file")), ["file", "start"])
+    numbered = numbered.select("number", (F.col("before") + F.col("record") - 1).alias("record"), "start", "whole", "text")
     # Parts of a record: one for each split that it touches.
     parts = F.sort_array(F.collect_list(F.struct("start", "text")))["text"]
-    glued = pieces.where("NOT whole").groupBy("number", "record").agg(F.array_join(parts, "\n").alias("text"))
-    return pieces.where("whole").select("number", "record", "text").unionByName(glued)
+    glued = numbered.where("NOT whole").groupBy("number", "record").agg(F.array_join(parts, "\n").alias("text"))
+    return numbered.where("whole").select("number", "record", "text").unionByName(glued)

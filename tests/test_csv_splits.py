@@ -142,17 +142,27 @@ def written(spark, head, split):
 
 
 def test_split_states_of_every_kind(spark):
-    """Splits that keep, change or fix the state, and records counted over them."""
-    rows = [  # start, out_ends, in_ends, out_records, in_records
-        (0, 1, 0, 2, 0), (10, 0, 1, 3, 0), (20, 1, 0, 4, 1), (30, 1, 1, 5, 2), (40, 0, 1, 1, 0), (50, 0, 0, 7, 6), (60, 0, 1, 2, 9),
-    ]
-    state, first, wanted = 0, 0, []
-    for start, out, inn, a, b in rows:
-        wanted.append((3, start, state, first))
-        first += b if state else a
-        state = inn if state else out
-    df = spark.createDataFrame([(3, *r) for r in rows], "number long, start long, out_ends long, in_ends long, out_records long, in_records long")
-    assert [tuple(r) for r in csv_splits.split_starts(df).orderBy("start").collect()] == wanted
+    """Splits that keep, change or fix the state, with those that keep it left out."""
+    kinds = [(0, 1, 0), (10, 0, 1), (20, 1, 0), (30, 1, 1), (40, 0, 1), (50, 0, 0), (60, 0, 1), (70, 1, 0), (80, 0, 1)]
+    for first in range(4):
+        rows = kinds[first:] + [(k + 100, a, b) for k, a, b in kinds]
+        state, wanted = 0, []
+        for start, out, inn in rows:
+            state = inn if state else out
+            wanted += [(3, start, state)] if (out, inn) != (0, 1) else []
+        told = [(3, *r) for r in rows if r[1:] != (0, 1)]
+        ends = spark.createDataFrame(told, "file long, start long, out_ends long, in_ends long")
+        assert sorted(tuple(r) for r in csv_splits.states_after(ends).collect()) == wanted
+
+
+def test_lines_that_do_not_leave_the_scan_change_no_state(spark):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice(['"', '""', ",", ',"', "a", " "]) for _ in range(rng.randrange(8))) for _ in range(3000)]
+    df = spark.createDataFrame([(x.encode(),) for x in lines], "line binary")
+    kept = {bytes(r.line) for r in df.where(csv_splits._CHANGES_STATE).collect()}
+    left = [x.encode() for x in lines if x.encode() not in kept]
+    assert len(left) > 300
+    assert all(not csv_splits.ends_inside(x, False) and csv_splits.ends_inside(x, True) for x in left)
 
 
 def test_a_row_with_too_many_cells_is_refused_in_large_files(spark, tmp_path):
