@@ -1,7 +1,7 @@
 """A trigram index over the texts of articles, for many searches in the same corpus.
 
 The index is a folder of four tables: the articles in blocks of consecutive row ids, the
-postings (trigram, row id) in ranges of trigrams, how many rows hold each trigram, and the
+postings (trigram, row id) sorted by trigram, how many rows hold each trigram, and the
 block size. A search reads the counts of the term's trigrams, intersects the postings of the
 rarest of them, and verifies the term in the blocks that are left. It finds exactly what
 :func:`manchete.operators.selection.search_articles` finds by reading everything.
@@ -24,6 +24,8 @@ _ARTICLES, _POSTINGS, _COUNTS, _SETTINGS = "artigos", "ocorrencias", "frequencia
 BLOCK_ROWS = 4096
 #: Trigrams whose postings are intersected: the rarest of a term.
 _RAREST = 4
+#: Tasks that share the postings of a trigram, or the rows without id.
+_SHARES = 8
 #: Blocks that a search names to the scan; where more are left, all are read.
 _NAMED_BLOCKS = 10_000
 
@@ -40,28 +42,33 @@ def _block(row_id: str, block_rows: int) -> Column:
     return F.floor(F.col(row_id) / F.lit(block_rows)).cast("long")
 
 
+def _share(number: Column) -> Column:
+    return F.pmod(number, F.lit(_SHARES))
+
+
 def write_search_index(articles: DataFrame, path: str, row_id: str = "row_id", block_rows: int = BLOCK_ROWS) -> None:
     """Write the index of the text columns that the table has; ``row_id`` is an integer.
 
-    Every task makes the trigrams of its rows. Postings are dealt in ranges of trigram and
-    row, so that a trigram which most rows hold takes several files. Rows without id are
-    in a block of their own, which every search reads.
+    Every task makes the trigrams of its rows. Postings are dealt by trigram, each to a few
+    tasks in case most rows hold it, and sorted, so that a search reads few pages of a
+    file. Rows without id are in a block of their own, which every search reads.
     """
     fields = [c for c, _ in S.TEXT_FIELDS if c in articles.columns]
     if not fields:
         raise ValueError("no text column to search in")
     blocked = articles.withColumn("bloco", _block(row_id, block_rows))
-    blocked.repartitionByRange("bloco", row_id).sortWithinPartitions("bloco", row_id).write.partitionBy("bloco").parquet(
+    spread = F.when(F.col("bloco").isNull(), _share(F.xxhash64(*fields)))
+    blocked.repartition("bloco", spread).sortWithinPartitions("bloco", row_id).write.partitionBy("bloco").parquet(
         f"{path}/{_ARTICLES}"
     )
     stored = articles.sparkSession.read.schema(articles.schema).parquet(f"{path}/{_ARTICLES}")
     texts = F.array_distinct(F.flatten(F.array(*[F.coalesce(trigrams(F.col(c)), F.array()) for c in fields])))
     found = stored.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("linha"), F.explode(texts).alias("trigrama"))
-    postings = found.repartitionByRange("trigrama", "linha").sortWithinPartitions("trigrama", "linha")
+    postings = found.repartition("trigrama", _share(F.xxhash64("linha"))).sortWithinPartitions("trigrama", "linha")
     postings.select("trigrama", "linha").write.parquet(f"{path}/{_POSTINGS}")
     written = articles.sparkSession.read.parquet(f"{path}/{_POSTINGS}")
     counts = written.groupBy("trigrama").agg(F.count("*").alias("linhas"))
-    counts.repartitionByRange("trigrama").sortWithinPartitions("trigrama").write.parquet(f"{path}/{_COUNTS}")
+    counts.sortWithinPartitions("trigrama").write.parquet(f"{path}/{_COUNTS}")
     settings = [(row_id, block_rows, articles.schema.json())]
     articles.sparkSession.createDataFrame(settings, "linha string, bloco long, esquema string").coalesce(1).write.parquet(
         f"{path}/{_SETTINGS}"

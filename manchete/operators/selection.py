@@ -12,6 +12,10 @@ from manchete.operators.numbering import cut_at, number_rows
 from manchete.workspace import materialise
 
 
+# Up to so many first articles, every task keeps as many of its own.
+_KEPT_BY_TASKS = 1000
+
+
 def usable_hits(hits: DataFrame) -> DataFrame:
     """Hits that have both a title and a link."""
     return hits.where((F.col("titulo") != "") & (F.col("link_noticia") != ""))
@@ -46,26 +50,31 @@ def first_articles(hits: DataFrame, articles: int, total_pages: int | None = Non
     """First ``articles`` usable hits in order of arrival, i.e. by page and position.
 
     Hits without a page number have no place in that order and are not counted. They come
-    out in order. The page that reaches the number is found by counting hits by page, and
+    out in order; hits of the same place in an order that depends on their content. Every
+    task keeps up to a thousand of them. Beyond that the page that reaches the number is found by counting hits by page, and
     the place in it likewise; only among hits of the same place is any numbering needed.
     """
     _check_limit(
         "articles", articles, None if total_pages is None else total_pages * S.HITS_PER_PAGE
     )
-    placed = materialise(usable_hits(hits).where(F.col("page_no").isNotNull()))
+    placed = usable_hits(hits).where(F.col("page_no").isNotNull())
+    arrival = [F.col("page_no").asc(), F.col("pos").asc(), F.xxhash64(*placed.columns).asc()]
+    if articles <= _KEPT_BY_TASKS:
+        return placed.orderBy(*arrival).limit(articles)
+    placed = materialise(placed)
     page = cut_at(placed, "page_no", articles)
     if page is None:
-        return placed.orderBy("page_no", "pos")
+        return placed.orderBy(*arrival)
     last, missing = placed.where(F.col("page_no") == page[0]), articles - page[1]
     kept = placed.where(F.col("page_no") < page[0])
     place = cut_at(last, "pos", missing)
     if place is None:
-        return kept.unionByName(last).orderBy("page_no", "pos")
+        return kept.unionByName(last).orderBy(*arrival)
     kept = kept.unionByName(last.where(F.col("pos") < place[0]))
     equal, missing = last.where(F.col("pos") == place[0]), missing - place[1]
     if equal.count() > missing:
-        equal = number_rows(equal, [F.col("pos").asc()]).where(F.col("numero") <= missing).drop("numero")
-    return kept.unionByName(equal).orderBy("page_no", "pos")
+        equal = number_rows(equal, arrival).where(F.col("numero") <= missing).drop("numero")
+    return kept.unionByName(equal).orderBy(*arrival)
 
 
 def first_rows(df: DataFrame, order_by: str | list[str], n: int = S.PREVIEW) -> DataFrame:

@@ -112,9 +112,11 @@ def test_no_task_ranks_all_hits(many_hits):
     assert "SinglePartition" not in plan and "Window" not in plan
 
 
+@pytest.mark.parametrize("kept", [0, 1000])
 @pytest.mark.parametrize("n", [1, 399, 400, 401, 650, 1000, 1001, 1500])
-def test_first_articles_of_a_page_with_most_hits_and_of_equal_places(spark, n):
-    """A page of 600 hits, all of one place, between usual pages."""
+def test_first_articles_of_a_page_with_most_hits_and_of_equal_places(spark, n, kept, monkeypatch):
+    """A page of 600 hits, all of one place, between usual pages; with and without tasks that keep the first."""
+    monkeypatch.setattr(selection, "_KEPT_BY_TASKS", kept)
     rows = [(p, i, f"t{p}-{i}", None, f"l{p}-{i}") for p in (*range(1, 41), *range(42, 82)) for i in range(10)]
     same = [(41, 3, f"same{k % 200}", None, "l") for k in range(600)]
     hits = hits_table(spark, rows + same).repartition(5)
