@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,19 +101,26 @@ def _counted(terms: DataFrame) -> DataFrame:
     )
 
 
-def _rank(terms: DataFrame, limit: int, two_pass: bool = False) -> DataFrame:
+#: Terms of the whole table, or of the rows that a function leaves of it.
+Terms = Callable[[Callable[[DataFrame], DataFrame]], DataFrame]
+
+
+def _rank(terms_of: Terms, row_id: str, limit: int, two_pass: bool = False) -> DataFrame:
     """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms.
 
     Counting keeps the first row of a term only. Where terms that can make the ranking are
-    equal in both, their places in that row decide, and only those rows are read again.
+    equal in both, their places in that row decide, and only those rows are cut into terms
+    again.
     """
+    terms = terms_of(lambda df: df)
     counted = count_frequent(terms, limit) if two_pass else _counted(terms)
     candidates = materialise(with_ties(counted, "secao", limit))
     same = Window.partitionBy("secao", "frequencia", "primeira")
     tied = candidates.withColumn("iguais", F.count("*").over(same)).where("iguais > 1")
     tied = tied.select("secao", "termo", F.col("primeira").alias("chave"))
     # Ties at the end of a section all lie in one row, so these are few rows.
-    again = terms.join(tied.select("chave").distinct(), "chave", "left_semi")
+    rows = tied.select("chave").distinct()
+    again = terms_of(lambda df: df.join(rows, F.col(row_id) == F.col("chave"), "left_semi"))
     places = again.join(tied, ["secao", "termo", "chave"]).groupBy("secao", "termo").agg(F.min("posicao").alias("lugar"))
     settled = candidates.join(places, ["secao", "termo"], "left")
     labels = section_labels()
@@ -173,13 +180,17 @@ def top_ngrams(
     shuffled and the texts read twice (see :func:`count_frequent`).
     """
     stop = portuguese_stop_words() if stop_words is None else list(stop_words)
-    texts = stack_texts(df, _present(df, fields), row_id)
-    return _rank(_ngrams(texts, stop, tuple(sizes)), limit, two_pass)
+    present = _present(df, fields)
+
+    def terms_of(rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return _ngrams(stack_texts(rows(df), present, row_id), stop, tuple(sizes))
+
+    return _rank(terms_of, row_id, limit, two_pass)
 
 
 def top_tags(df: DataFrame, limit: int = S.TOP_TERMS, row_id: str = "row_id") -> DataFrame:
     """Most frequent tags; twenty of them are what the tag chart shows."""
-    return _rank(_tags(df, row_id), limit)
+    return _rank(lambda rows: _tags(rows(df), row_id), row_id, limit)
 
 
 def term_stats(
@@ -198,11 +209,14 @@ def term_stats(
         raise ValueError("text statistics need the column 'titulo'")
     stop = portuguese_stop_words() if stop_words is None else list(stop_words)
     fields = _present(df, (c for c, _ in S.TEXT_FIELDS))
-    terms = _ngrams(stack_texts(df, fields, row_id), stop, _SIZES)
-    if "tags_noticia" in df.columns:
-        terms = terms.unionByName(_tags(df, row_id))
+
+    def terms_of(rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        read = rows(df)
+        terms = _ngrams(stack_texts(read, fields, row_id), stop, _SIZES)
+        return terms.unionByName(_tags(read, row_id)) if "tags_noticia" in df.columns else terms
+
     return (
-        _rank(terms, limit, two_pass)
+        _rank(terms_of, row_id, limit, two_pass)
         .orderBy("secao", "posicao")
         .select(
             F.col("tipo").alias("Tipo de Análise"),
