@@ -17,9 +17,11 @@ from manchete.workspace import materialise
 _SIZES = (1, 2, 3)
 _TAG_SECTION = len(S.TEXT_FIELDS) * len(_SIZES) + 1
 
-# Hash buckets per section of the two-pass count, and how many of them it counts exactly.
-_BUCKETS = 1 << 20
-_HEAVY_BUCKETS = 4096
+# Counters of a task's summary of a section, and how many terms are then counted exactly.
+_TRACKED = 1 << 16
+_CANDIDATES = 4096
+# The most counters that Spark's summary can have.
+_MOST_TRACKED = 1_000_000
 
 
 def section_labels() -> dict[int, str]:
@@ -130,34 +132,49 @@ def _rank(terms_of: Terms, row_id: str, limit: int, two_pass: bool = False) -> D
     )
 
 
+def frequent_items(terms: DataFrame, tracked: int, candidates: int) -> tuple[DataFrame, dict[int, int]]:
+    """``(secao, melhores, perda)``, the largest counters of every section, and what any other term can be at most."""
+    summed = terms.groupBy("secao").agg(F.expr(f"approx_top_k_accumulate(termo, {tracked})").alias("resumo"))
+    best = materialise(
+        summed.select(
+            "secao",
+            F.expr(f"approx_top_k_estimate(resumo, {candidates})").alias("melhores"),
+            # What the counters have lost is the fourth number of the summary, if it has any.
+            F.substring(F.col("resumo.sketch"), 25, 8).alias("perda"),
+        )
+    )
+    # A row for each of the ten sections, and at most `candidates` terms of each.
+    others: dict[int, int] = {}
+    for r in best.select("secao", "perda", F.size("melhores").alias("n"), F.get("melhores", F.size("melhores") - 1)["count"].alias("ultima")).collect():
+        # Counters up to twice the loss are not told, nor are more than were asked for.
+        told = r["ultima"] if r["n"] == candidates else 0
+        others[r["secao"]] = max(2 * int.from_bytes(r["perda"], "little"), told)
+    return best, others
+
+
 def count_frequent(
-    terms: DataFrame, limit: int, buckets: int = _BUCKETS, heavy_buckets: int = _HEAVY_BUCKETS
+    terms: DataFrame, limit: int, tracked: int = _TRACKED, candidates: int = _CANDIDATES
 ) -> DataFrame:
     """Exact counts of enough terms to contain the ``limit`` most frequent of each section.
 
-    For corpora whose distinct n-grams are too many to shuffle. A first pass counts hash
-    buckets, which shrink to a fixed size in every task; a bucket's load bounds the count
-    of each term in it. A second pass counts only the terms in the heaviest buckets. All
-    other terms are rarer than the heaviest bucket left out, so a section is settled if
-    its last ranked term beats that bucket. Sections that are not settled are counted in
-    full. Runs these passes as jobs; their results go to the shared working folder.
+    For corpora whose distinct n-grams are too many to shuffle. In a first pass every task
+    keeps a summary of frequent items for each section, of a fixed size: ``tracked``
+    counters, which lose a known amount when they run out, so that a term's count is at most
+    its counter, or at most what was lost if it has none. Summaries are merged, and a second
+    pass counts only the ``candidates`` largest exactly. A section is settled if its last
+    ranked term beats what any other term can be; sections that are not settled are counted
+    in full. Runs these passes as jobs; their results go to the shared working folder.
     """
-    hashed = terms.withColumn("balde", F.pmod(F.xxhash64("termo"), F.lit(buckets)).cast("int"))
-    loads = hashed.groupBy("secao", "balde").agg(F.count("*").alias("carga"))
-    by_load = Window.partitionBy("secao").orderBy(F.desc("carga"), "balde")
-    heavy = materialise(
-        loads.withColumn("ordem", F.row_number().over(by_load)).where(F.col("ordem") <= heavy_buckets + 1)
-    )
-    # At most heavy_buckets rows for each of the ten sections, so this side is broadcast.
-    chosen = F.broadcast(heavy.where(F.col("ordem") <= heavy_buckets).select("secao", "balde"))
-    counted = materialise(_counted(hashed.join(chosen, ["secao", "balde"], "left_semi")))
-
-    left_out = heavy.where(F.col("ordem") > heavy_buckets).select("secao", "carga")
+    candidates = max(candidates, 4 * limit)
+    tracked = max(tracked, candidates)
+    if tracked > _MOST_TRACKED:
+        return _counted(terms)
+    best, others = frequent_items(terms, tracked, candidates)
+    chosen = F.broadcast(best.select("secao", F.explode("melhores.item").alias("termo")))
+    counted = materialise(_counted(terms.join(chosen, ["secao", "termo"], "left_semi")))
     last = top_by_frequency(counted, "secao", limit).where(F.col("posicao") == limit)
-    unsettled = left_out.join(last.select("secao", "frequencia"), "secao", "left").where(
-        F.coalesce("frequencia", F.lit(0)) <= F.col("carga")
-    )
-    again = [r.secao for r in unsettled.select("secao").collect()]  # at most ten numbers
+    ranked = dict(last.select("secao", "frequencia").collect())
+    again = [section for section, bound in others.items() if bound and ranked.get(section, 0) <= bound]
     if not again:
         return counted
     in_full = _counted(terms.where(F.col("secao").isin(again)))

@@ -152,9 +152,9 @@ def test_word_pattern_is_not_a_negated_class():
     assert not re.search(r"\[\^", text._DELETED + text._WORD)
 
 
-@pytest.mark.parametrize("buckets, heavy", [(7, 2), (64, 8), (1024, 1), (1 << 20, 4096)])
-def test_two_passes_give_the_same_terms(spark, buckets, heavy):
-    """Few buckets leave sections unsettled, many settle them: both are exact."""
+@pytest.mark.parametrize("tracked, candidates", [(20, 20), (64, 20), (1024, 30), (1 << 16, 4096), (2_000_000, 20)])
+def test_two_passes_give_the_same_terms(spark, tracked, candidates):
+    """Few counters leave sections unsettled, many settle them: both are exact."""
     rows = [(i, t, b) for i, (t, b) in enumerate(zip(random_texts(3, 80), random_texts(4, 80)))]
     df = spark.createDataFrame(rows, "row_id bigint, titulo string, texto_completo string")
     grams = terms._ngrams(terms.stack_texts(df, [(0, "titulo"), (2, "texto_completo")], "row_id"), STOP, (1, 2, 3))
@@ -163,7 +163,7 @@ def test_two_passes_give_the_same_terms(spark, buckets, heavy):
         ranked = terms.top_by_frequency(counted, "secao", 5).orderBy("secao", "posicao")
         return [tuple(r)[:3] for r in ranked.collect()]
 
-    assert top(terms.count_frequent(grams, 5, buckets, heavy)) == top(terms._counted(grams))
+    assert top(terms.count_frequent(grams, 5, tracked, candidates)) == top(terms._counted(grams))
 
 
 def test_two_passes_count_few_terms_when_settled(spark):
@@ -172,5 +172,25 @@ def test_two_passes_count_few_terms_when_settled(spark):
         [(i, t.translate(str.maketrans("0123456789", "abcdefghij"))) for i, t in rows], "row_id bigint, titulo string"
     )
     grams = terms._ngrams(terms.stack_texts(df, [(0, "titulo")], "row_id"), [], (1,))
-    counted = terms.count_frequent(grams, 1, buckets=1 << 16, heavy_buckets=1)
-    assert [(r.termo, r.frequencia) for r in counted.collect()] == [("comum", 300)]
+    counted = terms.count_frequent(grams, 1, tracked=200, candidates=4)
+    found = {r.termo: r.frequencia for r in counted.collect()}
+    assert found["comum"] == 300 and len(found) <= 4
+
+
+@pytest.mark.parametrize("tracked, candidates", [(8, 8), (30, 10), (30, 30), (100, 40), (400, 400)])
+def test_no_other_term_exceeds_the_bound(spark, tracked, candidates):
+    """Streams of every shape: what is not among the candidates is no more frequent than stated."""
+    rng = random.Random(tracked)
+    rows = []
+    for section, size in enumerate([1, 50, 400, 3000]):
+        rows += [(section, f"t{int(rng.paretovariate(0.7)) % size}") for _ in range(4000)]
+        rows += [(section, f"u{rng.randrange(size)}") for _ in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "secao int, termo string").repartition(6)
+    best, others = terms.frequent_items(df, tracked, candidates)
+    chosen = {(r.secao, i.item) for r in best.collect() for i in r.melhores}
+    counts = Counter(rows)
+    for section, bound in others.items():
+        left_out = [n for (s, t), n in counts.items() if s == section and (s, t) not in chosen]
+        assert max(left_out, default=0) <= bound
+    assert others.keys() == {0, 1, 2, 3} and others[0] == 0 or candidates == 8
