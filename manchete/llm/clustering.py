@@ -150,10 +150,11 @@ def _matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     return flat.astype(float).reshape(batch.num_rows, width)
 
 
-def principal_axes(vectors: DataFrame, dims: int, leading: int, scale: int) -> _Axes:
-    """Axes of the covariance of all vectors: a pass that adds up dims x dims numbers.
+def principal_axes(vectors: DataFrame, dims: int, share: float, scale: int) -> _Axes:
+    """The leading axes of the covariance of all vectors: a pass that adds up dims x dims numbers.
 
-    Wide vectors are left out of the covariance, which results do not depend on.
+    As many as hold `share` of the variance: few where vectors lie near a plane, nearly
+    all where they go in all directions alike. Wide vectors are left out of the covariance, which results do not depend on.
     """
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,11 +172,13 @@ def principal_axes(vectors: DataFrame, dims: int, leading: int, scale: int) -> _
     added = vectors.select("vector").mapInArrow(products, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
     found = dict(added.collect())
     if not found:
-        return _Axes(np.zeros(dims), np.eye(dims, leading))
+        return _Axes(np.zeros(dims), np.eye(dims, 1))
     total = np.array([found[p] for p in range(dims * (dims + 1))]).reshape(dims + 1, dims)
     count = found[dims * (dims + 1)]
     mean = total[0] / count
-    _, axes = np.linalg.eigh(total[1:] / count - np.outer(mean, mean))
+    variances, axes = np.linalg.eigh(total[1:] / count - np.outer(mean, mean))
+    held = np.cumsum(np.maximum(variances[::-1], 0))
+    leading = min(int(np.searchsorted(held, share * held[-1])) + 1, dims)
     return _Axes(mean, axes[:, ::-1][:, :leading])
 
 
@@ -262,7 +265,7 @@ def first_centroids(vectors: DataFrame, id: str, k: int, salt: str, scale: int)
 
 def cluster_vectors(
     df: DataFrame, id: str = "vec_id", vector: str = "embedding", dims: int = 64, k: int = 40,
-    rounds: int = 5, scale: int = 256, salt: str = "2:", leading: int = 16,
+    rounds: int = 5, scale: int = 256, salt: str = "2:", share: float = 0.9,
 ) -> DataFrame:
     """Cluster of every usable vector: `id`, cluster, distance, cluster_inertia, inertia, centroid.
 
@@ -272,14 +275,15 @@ def cluster_vectors(
     are fewer vectors; `rounds` times every vector goes to its nearest centroid (squared
     distance, ties to the smaller number) and each non-empty centroid moves to the exact
     floor of its mean. `centroid` is the final centroid as an array of decimal strings,
-    which hold integers of any size. Repeated rows count as often as they come, and a null id
+    which hold integers of any size. `share` is the part of the variance that the leading
+    axes hold, which decides the work and no result. Repeated rows count as often as they come, and a null id
     is an id like others but is chosen last as a start. Components of any finite size are
     compared exactly; a distance or inertia beyond 63 bits is null. An empty table gives an
     empty result. Other columns are not read.
     """
     vectors = df.where(usable(vector, dims)).select(F.col(id).alias("__id"), F.col(vector).cast("array<double>").alias("vector"))
     centroids = first_centroids(vectors, "__id", k, salt, scale)
-    axes = principal_axes(vectors, dims, min(leading, dims), scale)
+    axes = principal_axes(vectors, dims, share, scale)
     rotated = materialise(_rotated(vectors, axes, dims, scale))
     for _ in range(rounds):
         for c, (n, total) in _sums(rotated, centroids, axes, dims, scale).items() if centroids else ():
