@@ -61,9 +61,16 @@ def clustered():
     return [(i, (centers[i % 12] + rng.normal(0, 0.2, 8)).tolist()) for i in range(400)]
 
 
-@pytest.mark.parametrize("leading", [1, 3, 8])
-def test_same_as_plain_integers(spark, clustered, leading):
-    check(spark, clustered, 8, 10, leading=leading)
+@pytest.mark.parametrize("share", [0.0, 0.6, 0.9, 1.0])
+def test_same_as_plain_integers(spark, clustered, share):
+    check(spark, clustered, 8, 10, share=share)
+
+
+def test_leading_axes_hold_the_share(spark, clustered):
+    flat = [(i, [*v[:2], *[0.01 * x for x in v[2:]]]) for i, v in clustered]
+    widths = lambda rows, share: clustering.principal_axes(table(spark, rows).withColumnRenamed("embedding", "vector"), 8, share, 256).axes.shape[1]
+    assert widths(flat, 0.9) == 2 < widths(clustered, 0.9) < widths(clustered, 1.0) <= 8
+    assert widths([(1, [1.0] * 8)] * 3, 0.9) >= 1
 
 
 def test_unusable_vectors_ties_and_repeats(spark, clustered):
