@@ -1,25 +1,26 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most k
-bits differ in at most k bytes, so they share at least 8 - k positional bytes: that is the
-guaranteed minimum. Lists of single bytes would hold a 256th of all fingerprints each, so
-the index lists combinations of positions instead: the positions form k + 2 groups, of
-which such a pair shares two at least, and every pair of groups is a list key. Pairs that
-meet in a list have their shared positional bytes tallied, those that reach the minimum
-are kept, and the bit distance is verified.
+bits differ in at most k bytes, so they share at least 8 - k positional bytes. Lists of
+single bytes would hold a 256th of all fingerprints each, so the index lists every set of
+five positions with the bytes there: a pair that shares m positional bytes meets in C(m, 5)
+lists. Pairs are tallied over the lists in which they meet, and only those that reach the
+guaranteed minimum, C(8 - k, 5) lists, have their bit distance verified.
 
 Copies collapse to one fingerprint before anything is paired. Lists longer than
-`LONG_LIST` are not paired: their fingerprints meet at the points one bit away from them,
+`LONG_LIST` are not paired, so a pair that meets in one may miss the minimum; instead the
+fingerprints of such lists meet at the points one bit away from them,
 which links exactly the same fingerprints and puts at most 65 in one place.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from manchete.llm.common import left_lookup, map_texts
@@ -28,6 +29,8 @@ from manchete.workspace import materialise
 
 BYTES = 8
 SEED = 42
+#: Positions that a list goes by.
+LISTED = 5
 #: Longest list whose pairs are formed; longer ones are linked through points one bit away.
 LONG_LIST = 128
 #: Shingles whose bits are counted at once.
@@ -60,23 +63,22 @@ def fingerprints(df: DataFrame, id: str, text: str, words: int) -> DataFrame:
     return map_texts(df, [id], text, lambda texts: {"fp": [fingerprint(t, words) for t in texts]}, "fp long")
 
 
-def _byte(x: Column, position: int) -> Column:
-    return F.shiftrightunsigned(x, 8 * position).bitwiseAND(F.lit(255))
-
-
-def _shared_bytes(a: Column, b: Column) -> Column:
-    return sum((F.when(_byte(a, p) == _byte(b, p), 1).otherwise(0) for p in range(BYTES)), F.lit(0))
-
-
-def _postings(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(list, bytes, fp): the lists that each fingerprint is in."""
-    groups = [list(map(int, g)) for g in np.array_split(np.arange(BYTES), max_bits + 2)]
-    masks = [sum(255 << (8 * p) for p in (*g, *h)) for g, h in combinations(groups, 2)]
+def _postings(prints: DataFrame) -> DataFrame:
+    """(list, bytes, fp): the lists that each fingerprint is in, one for each set of positions."""
+    masks = [sum(255 << (8 * p) for p in positions) for positions in combinations(range(BYTES), LISTED)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.array(*[F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for k, m in enumerate(signed)])
     return prints.select("fp", F.explode(lists).alias("p")).select("p.list", "p.bytes", "fp")
 
 
+def tallies(postings: DataFrame) -> DataFrame:
+    """(a, b, lists): how many lists every pair of fingerprints a < b meets in."""
+    left, right = postings.alias("l"), postings.alias("r")
+    a, b = F.col("l.fp"), F.col("r.fp")
+    met = left.join(right, (F.col("l.list") == F.col("r.list")) & (F.col("l.bytes") == F.col("r.bytes")) & (a < b))
+    return met.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("lists"))
+
+
 def links(prints: DataFrame, max_bits: int) -> DataFrame:
     """(a, b) with a < b over distinct fingerprints `fp`, connecting all within `max_bits` bits.
 
@@ -88,19 +90,11 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     nothing = prints.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     if max_bits == 0:
         return nothing
-    postings = _postings(prints, max_bits)
+    postings = _postings(prints)
     lengths = materialise(postings.groupBy("list", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
-    short = postings.join(lengths.where(F.col("n") <= LONG_LIST), ["list", "bytes"], "left_semi")
-    left, right = short.alias("l"), short.alias("r")
-    a, b = F.col("l.fp"), F.col("r.fp")
-    tallied = left.join(
-        right,
-        (F.col("l.list") == F.col("r.list"))
-        & (F.col("l.bytes") == F.col("r.bytes"))
-        & (a < b)
-        & (_shared_bytes(a, b) >= BYTES - max_bits)
-        & (F.bit_count(a.bitwiseXOR(b)) <= max_bits),
-    ).select(a.alias("a"), b.alias("b"))
+    short = postings.join(lengths.where(F.col("n") <= LONG_LIST).drop("n"), ["list", "bytes"], "left_semi")
+    enough = tallies(short).where(F.col("lists") >= comb(BYTES - max_bits, LISTED)).drop("lists")
+    tallied = enough.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     long = lengths.where(F.col("n") > LONG_LIST)
     if long.isEmpty():
         return tallied.distinct()
@@ -117,18 +111,12 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
     return tallied.unionByName(around).distinct()
 
 
-def near_duplicates(
-    df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2
-) -> DataFrame:
-    """`id`, `fingerprint` (16 hex digits) and `component_id` of every row.
+def _known(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, n, first, root, component_id) of every fingerprint of the rows (`__id`, `fp`).
 
-    `component_id` is the smallest id among all texts reachable over links of at most
-    `max_bits` differing bits. Null and empty texts have fingerprint zero and are linked
-    like any other. Repeated rows each give a row. A null id gives a row too but names no
-    component: a component of null ids only has a null `component_id`. An empty table gives
-    an empty result; other columns are not read.
+    `n` rows have it, the smallest id of which is `first`; `root` is the smallest
+    fingerprint reachable from it, and `component_id` the smallest id of all of these.
     """
-    prints = materialise(fingerprints(df, id, text, words).withColumnRenamed(id, "__id"))
     distinct = materialise(prints.groupBy("fp").agg(F.min("__id").alias("first"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), max_bits))
     # The smallest fingerprint of a component stands for it; it is no node of its own.
@@ -138,9 +126,25 @@ def near_duplicates(
         .select("fp", "root", "first", "n")
     )
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("size"))
-    grouped = left_lookup(linked, smallest, "root", "size", spread_by="fp").select("fp", "n", "component_id")
+    grouped = left_lookup(linked, smallest, "root", "size", spread_by="fp").select("fp", "n", "first", "root", "component_id")
     single = distinct.join(linked.select("fp"), "fp", "left_anti")
-    known = materialise(grouped.unionByName(single.select("fp", "n", F.col("first").alias("component_id"))))
+    alone = single.select("fp", "n", "first", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    return materialise(grouped.unionByName(alone))
+
+
+def near_duplicates(
+    df: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """`id`, `fingerprint` (16 hex digits) and `component_id` of every row.
+
+    `component_id` is the smallest id among all texts reachable over links of at most
+    `max_bits` differing bits. Null and empty texts have fingerprint zero and are linked
+    like any other. Repeated rows each give a row. A null id gives a row too but names no
+    component: a component of null ids only has a null `component_id`. An empty table gives
+    an empty result; other columns are not read.
+    """
+    prints = materialise(fingerprints(df, id, text, words).withColumnRenamed(id, "__id"))
+    known = _known(prints, max_bits).select("fp", "n", "component_id")
     return left_lookup(prints, known, "fp", "n", spread_by="__id").select(
         F.col("__id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -151,14 +155,21 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """The rows of `df` with one document of each component: the one with the smallest id.
 
-    Rows with a null id are in no component and stay. Rows that repeat an id are one
-    document, of which one row stays. All columns are kept.
+    If texts of a component share that id, the one with the smaller fingerprint stays;
+    texts of different components stay, whether they share an id or not. A row without id
+    stays if all of its component lack one. Of rows with the same id and fingerprint one
+    stays, which the content of the rows decides. All columns are kept.
     """
-    from pyspark.sql import Window
-
-    named = df.where(F.col(id).isNotNull())
-    found = near_duplicates(named, id, text, words, max_bits)
-    kept = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    order = Window.partitionBy(id).orderBy(F.xxhash64(text))
-    first = named.join(kept, id, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return first.drop("__n").unionByName(df.where(F.col(id).isNull()))
+    place = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in place.items()])
+    rows = materialise(map_texts(source, source.columns, place[text], lambda texts: {"fp": [fingerprint(t, words) for t in texts]}, "fp long"))
+    known = _known(rows.select(F.col(place[id]).alias("__id"), "fp"), max_bits)
+    # Rows without id are chosen only where there is no other.
+    best = known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best"))
+    chosen = best.select(F.col("best.first").alias("first"), F.col("best.fp").alias("print"))
+    kept = rows.join(chosen, (F.col("fp") == F.col("print")) & F.col(place[id]).eqNullSafe(F.col("first")), "left_semi")
+    content = [F.col(n) for n in place.values()]
+    one = kept.groupBy(F.col("fp").alias("__fp"), F.col(place[id]).alias("__id")).agg(
+        F.min_by(F.struct(*content), F.xxhash64(*content)).alias("row")
+    )
+    return one.select(*[F.col("row")[n].alias(c) for c, n in place.items()])
