@@ -16,6 +16,7 @@ from .helpers import documents
 from .test_simhash import brute_components, brute_print
 
 SF = "/root/testdata/sf0.001"
+SQL = ["op1_mixing", "op4_warc", "op11_clustering", "op12_filter_audit", "op13_line_dedup"]
 
 
 @pytest.fixture(scope="module")
@@ -91,11 +92,11 @@ def test_without_known_languages_letters_decide(spark):
 
 def test_registered_queries():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
-    assert {"op1_mixing", "op4_warc"} <= E.oracle_sql().keys()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
+    assert set(SQL) <= E.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", ["op1_mixing", "op4_warc"])
+@pytest.mark.parametrize("name", SQL)
 def test_same_as_the_sql_form(spark, name):
     from check import expected, sorted_rows
 

@@ -1,6 +1,7 @@
 """SimHash near-duplicates against brute force."""
 
 import re
+from math import comb
 
 import numpy as np
 import pytest
@@ -101,11 +102,46 @@ def test_one_document_of_each_group_stays(corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
 
 
-def test_missing_ids_and_empty_tables(spark):
-    docs = documents(spark, [(None, "a b c d"), (4, "a b c d"), (None, "other words of no one")])
-    got = simhash.near_duplicates(docs).collect()
+def test_missing_and_shared_ids(spark):
+    docs = documents(spark, [(None, "a b c d"), (4, "a b c d"), (None, "other words of no one"), (None, "other words of no one"),
+                             (7, "first text of an id"), (7, "second and quite another text"), (9, "first text of an id"), (7, "first text of an id")])
+    got = simhash.near_duplicates(docs.limit(3)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 4), (4, 4)]
-    assert simhash.drop_near_duplicates(docs).count() == 3
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == [(0, "other words of no one"), (4, "a b c d"), (7, "first text of an id"), (7, "second and quite another text")]
+    clash = clashing(docs).selectExpr("*", "1 AS c0", "'x' AS print", "'x' AS first_")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_duplicates(clash).collect()) == kept
+
+
+def test_of_equal_rows_the_same_one_stays(spark):
+    rows = [(5, "the same text here", lang) for lang in ("en", "de", None)] * 50
+    kept = [simhash.drop_near_duplicates(documents(spark, rows).repartition(n)).collect() for n in (1, 3, 7)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1] == kept[2]
+
+
+def test_the_tally_drops_pairs(spark):
+    """Pairs that meet in lists but share too few positional bytes fall to the tally, not to the distance."""
+    rng = np.random.default_rng(8)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    far = []
+    for v in base:
+        for changed in range(1, 5):  # in so many of its bytes
+            at = rng.choice(8, changed, replace=False)
+            far.append(v ^ sum(int(rng.integers(1, 256)) << (8 * int(p)) for p in at))
+    values = sorted({v - (1 << 64) if v >> 63 else v for v in base + far})
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    found = {(r.a, r.b): r.lists for r in simhash.tallies(simhash._postings(prints)).collect()}
+    shared = lambda a, b: sum((a >> 8 * p & 255) == (b >> 8 * p & 255) for p in range(8))
+    plain = {(a, b): comb(shared(a, b), 5) for k, a in enumerate(values) for b in values[k + 1 :] if shared(a, b) >= 5}
+    assert found == plain
+    below = [p for p, n in found.items() if n < comb(6, 5)]
+    assert len(below) > 30 and all(shared(*p) == 5 for p in below)
+    linked = {(r.a, r.b) for r in simhash.links(prints, 2).collect()}
+    assert linked == {(a, b) for a, b in plain if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+
+
+def test_empty_tables(spark):
+    docs = documents(spark, [(1, "a")])
     nothing = documents(spark, [])
     assert simhash.near_duplicates(nothing).collect() == simhash.drop_near_duplicates(nothing).collect() == []
     with pytest.raises(ValueError):
