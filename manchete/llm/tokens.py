@@ -10,6 +10,7 @@ whole tokens are counted by look-up and only the other distinct pre-tokens are m
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections import Counter
 
@@ -23,6 +24,31 @@ _SPACES = "\t-\r \x85\xa0"
 _PRE_TOKEN = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
 )
+#: How a tokenizer of this kind prepares a text. Others are refused.
+_PREPARES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: White space between words; other kinds of it stay in a word and are the library's matter.
+_BETWEEN_WORDS = re.compile("[\t-\r ]+")
 #: Beyond these the library's own normaliser and pattern decide: composed forms, other
 #: scripts, a capital whose lower case has two characters, and special strings.
 _UNUSUAL = re.compile("[^\\x00-ſ]|İ|<\\|")
@@ -38,6 +64,9 @@ class Counting:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        if any(made[k] != v for k, v in _PREPARES.items()) or made["model"]["end_of_word_suffix"] != "</w>":
+            raise ValueError(f"not a tokenizer of the word-level kind: {path}")
         self.whole = self._prove()
         self.merged: dict[str, int] = {}
 
@@ -61,24 +90,24 @@ class Counting:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def count(self, texts: list[str]) -> list[int]:
-        counts = [0] * len(texts)
-        usual: list[tuple[int, Counter[str]]] = []
+        found: list[Counter[str]] = []
         unknown: set[str] = set()
         merged, whole = self.merged, self.whole
         if len(merged) > _REMEMBERED:
             merged.clear()
-        for at, text in enumerate(texts):
+        for text in texts:
+            odd: list[str] = []
             if _UNUSUAL.search(text):
-                counts[at] = self._library([text])[0]
-                continue
-            pre_tokens = Counter(_PRE_TOKEN.findall(text.lower()))
-            usual.append((at, pre_tokens))
-            unknown.update(p for p in pre_tokens if p not in whole and p not in merged)
+                words = _BETWEEN_WORDS.split(text)
+                odd = [w for w in words if _UNUSUAL.search(w)]
+                text = " ".join(w for w in words if not _UNUSUAL.search(w))
+            parts = Counter(_PRE_TOKEN.findall(text.lower()))
+            parts.update(odd)  # a word as it stands counts as much as alone, like a pre-token
+            found.append(parts)
+            unknown.update(p for p in parts if p not in whole and p not in merged)
         rest = list(unknown)
         merged.update(zip(rest, self._library(rest), strict=True))
-        for at, pre_tokens in usual:
-            counts[at] = sum(n if p in whole else n * merged[p] for p, n in pre_tokens.items())
-        return counts
+        return [sum(n if p in whole else n * merged[p] for p, n in parts.items()) for parts in found]
 
 
 @functools.cache
@@ -105,7 +134,8 @@ def token_counts(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
     """Tokens of every whole text: `id`, n_bytes (UTF-8), n_tokens, over_limit (more than `limit`).
 
     `tokenizer` is the path of a tokenizer file of the word-level kind (lower case, white
-    space dropped, word ends marked), at the same place on all machines. Special strings
+    space dropped, word ends marked), at the same place on all machines; a file that prepares
+    texts in another way is an error. Special strings
     in a text count as the library's default has it, as one token each. Null and empty
     texts have no tokens; rows that repeat an id each give a row; other columns are not read.
     """
