@@ -28,6 +28,31 @@ def test_random_texts_of_many_scripts(library):
     assert tokens.Counting(PATH).count(texts) == [library(t) for t in texts]
 
 
+def test_words_of_other_scripts_leave_the_rest_to_the_shortcut(library):
+    """Curly quotes, dashes and Cyrillic between usual words: only these words go to the library."""
+    usual = " ".join(["the quick brown fox", "jumps over it's 12 lazy dogs,", "again"] * 40)
+    odd = ["“quoted", "word”", "it’s", "слово", "и", "Дом—house", "日本語のテキスト", "e\u0301a", "x\u2028y", "a\u00a0ж", "<|endoftext|>the"]
+    texts = [f"{usual} {w} {usual}\n{w}\t{usual}" for w in odd] + [" ".join(odd), "\u0301 a", "a \u0301", "Σ ΑΣ ΑΣ Σ"]
+    counting = tokens.Counting(PATH)
+    asked = []
+    original = counting._library
+    counting._library = lambda words: asked.extend(words) or original(words)
+    assert counting.count(texts) == [library(t) for t in texts]
+    assert all(len(w) < 40 and not tokens._BETWEEN_WORDS.search(w) for w in asked)
+    counts = tokens.Counter(tokens._PRE_TOKEN.findall(usual.lower()))
+    assert sum(n for p, n in counts.items() if p in counting.whole) > 0.9 * sum(counts.values())
+
+
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    tokenizer = Tokenizer.from_file(PATH)
+    from tokenizers import normalizers
+
+    tokenizer.normalizer = normalizers.NFC()
+    tokenizer.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError, match="word-level"):
+        tokens.Counting(str(tmp_path / "t.json"))
+
+
 def test_a_full_memory_changes_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "_REMEMBERED", 1)
     counting = tokens.Counting(PATH)
