@@ -14,6 +14,8 @@ import bisect
 import functools
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -89,7 +91,8 @@ def plain_spans(text: str) -> list[Span]:
 
 # ---- transducers ------------------------------------------------------------------------
 
-#: Characters that look like ASCII ones, beside the full-width forms.
+#: Characters that look like ASCII ones, beside those that Unicode itself
+#: holds to be forms of them.
 _LOOKALIKES = {
     "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еє", "g": "ɡ", "h": "һ", "i": "іι", "j": "ј", "k": "κ",
     "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υս", "v": "ν", "w": "ԝ",
@@ -129,19 +132,39 @@ _name = r"[A-Za-z0-9_%+-]{1,64}"
 # as the words are common in prose.
 _AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]){_bracketed_at}(?=[A-Za-z0-9-])", re.IGNORECASE)
 _DOT = re.compile(rf"(?<=[A-Za-z0-9_%+-]){_bracketed_dot}(?=[A-Za-z0-9-])", re.IGNORECASE)
+#: The signs as words of the corpus' languages.
+_AT_WORDS, _DOT_WORDS = ("at", "arroba", "arobase"), ("dot", "punto", "punkt", "point")
+_spelled_at, _spelled_dot = (f" (?:{'|'.join(words)}) " for words in (_AT_WORDS, _DOT_WORDS))
 _AT_DOT = re.compile(
-    rf"(?<![A-Za-z0-9_%+-])({_name}(?:(?: dot |\.){_name}){{0,4}})( at | @ ?|@)([A-Za-z0-9-]{{1,63}}(?:(?: dot |\.)[A-Za-z0-9-]{{1,63}}){{1,4}})"
-    r"(?![A-Za-z0-9-])",
+    rf"(?<![A-Za-z0-9_%+-])({_name}(?:(?:{_spelled_dot}|\.){_name}){{0,4}})({_spelled_at}| @ ?|@)"
+    rf"([A-Za-z0-9-]{{1,63}}(?:(?:{_spelled_dot}|\.)[A-Za-z0-9-]{{1,63}}){{1,4}})(?![A-Za-z0-9-])",
     re.IGNORECASE,
 )
-_SPELLED_DOT = re.compile(r" dot ", re.IGNORECASE)
-_NUMBER_DOT = re.compile(r"(?<=\d) ?(?:dot|punto|punkt|point) ?(?=\d)", re.IGNORECASE)
+_SPELLED_DOT = re.compile(_spelled_dot, re.IGNORECASE)
+_UNDERSCORED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+-]{1,64}(?:_[A-Za-z0-9.%+-]{1,64}){0,4}?(_at_)"
+    r"([A-Za-z0-9-]{1,63}(?:_dot_[A-Za-z0-9-]{1,63}){1,4})(?![A-Za-z0-9_-])",
+    re.IGNORECASE,
+)
+_UNDERSCORED_DOT = re.compile("_dot_", re.IGNORECASE)
 
 
 @functools.cache
 def _homoglyphs() -> dict[int, str]:
-    wide = {code + 0xFEE0: chr(code) for code in range(0x21, 0x7F)}  # the full-width forms of ASCII
-    return wide | {ord(c): ascii for ascii, alike in _LOOKALIKES.items() for c in alike}
+    """ASCII characters by what stands for them, one for one.
+
+    Characters whose compatibility form is one ASCII character (full-width, mathematical,
+    circled) and the decimal digits of all scripts, beside the look-alikes. Signs of the
+    Latin scripts' own blocks, such as superscripts and ordinals, are usual prose.
+    """
+    table = {}
+    for code in range(0x250, sys.maxunicode + 1):
+        form, digit = unicodedata.normalize("NFKC", chr(code)), unicodedata.decimal(chr(code), None)
+        if digit is not None:
+            table[code] = str(digit)
+        elif len(form) == 1 and "!" <= form <= "~":
+            table[code] = form
+    return table | {ord(c): ascii for ascii, alike in _LOOKALIKES.items() for c in alike}
 
 
 Edit = tuple[int, int, str]
@@ -213,7 +236,9 @@ def _digit_edits(text: str) -> Iterator[Edit]:
 def _address_edits(text: str) -> Iterator[Edit]:
     for m in _AT_DOT.finditer(text):
         spelled_at, spelled_dot = m.group(2) != "@", " " in m.group(1) or " " in m.group(3)
-        if not (spelled_at or spelled_dot) or (m.group(2).strip() == "at" and " dot " not in m.group(3).lower()):
+        if not (spelled_at or spelled_dot) or (
+            m.group(2).strip().lower() == "at" and not _SPELLED_DOT.search(m.group(3))
+        ):
             continue
         for group in (1, 2, 3):
             a, b = m.span(group)
@@ -224,6 +249,13 @@ def _address_edits(text: str) -> Iterator[Edit]:
                     yield dot.start(), dot.end(), "."
 
 
+def _underscore_edits(text: str) -> Iterator[Edit]:
+    for m in _UNDERSCORED.finditer(text):
+        yield *m.span(1), "@"
+        for dot in _UNDERSCORED_DOT.finditer(text, *m.span(2)):
+            yield *dot.span(), "."
+
+
 _DOTTED = re.compile(
     rf"(?<![^\W_])(?:[0-9]{{1,3}}|{_word}(?:[ -]{_word}){{0,2}})(?: ?(?:dot|punto|punkt|point) ?(?:[0-9]{{1,3}}|{_word}(?:[ -]{_word}){{0,2}})){{3}}(?![^\W_])",
     re.IGNORECASE,
@@ -247,7 +279,7 @@ def normalised(text: str) -> Copy:
         if plain != copy.text:
             copy.text, copy.changed = plain, True
     lower = copy.text.lower()
-    dotted = any(w in lower for w in (" dot ", " punto ", " punkt ", " point "))
+    dotted = any(f" {w} " in lower for w in _DOT_WORDS)
     if dotted:
         copy.rewrite(list(_dotted_edits(copy.text)))
     if _ANY_SPELLED.search(copy.text):
@@ -255,8 +287,11 @@ def normalised(text: str) -> Copy:
         copy.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(copy.text)])
     copy.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(copy.text)])
     copy.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(copy.text)])
-    if " dot " in copy.text.lower() or "@ " in copy.text or " @" in copy.text:
+    lower = copy.text.lower()
+    if dotted or "@ " in lower or " @" in lower or any(f" {w} " in lower for w in _AT_WORDS[1:]):
         copy.rewrite(list(_address_edits(copy.text)))
+    if "_at_" in lower:
+        copy.rewrite(list(_underscore_edits(copy.text)))
     return copy
 
 
