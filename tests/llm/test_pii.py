@@ -67,9 +67,45 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert pii.masked(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize(
+    "kind, part",
+    [
+        ("email", "𝗷𝗼𝗵𝗻@𝗲𝘅𝗮𝗺𝗽𝗹𝗲.𝗰𝗼𝗺"),
+        ("email", "ⓙⓞⓗⓝ@example.com"),
+        ("email", "𝒥ohn＠ｅxample．com"),
+        ("phone", "+٤٤ ٢٠ ٧٩٤٦ ٠٩٥٨"),
+        ("phone", "+𝟏 𝟓𝟓𝟓 𝟏𝟐𝟑 𝟒𝟓𝟔𝟕"),
+        ("phone", "+४४ २० ७९४६ ०९५८"),
+        ("ip", "１９２.𝟭𝟲𝟴.٠.١"),
+        ("email", "john punto smith arroba example punto com"),
+        ("email", "john arroba example.com"),
+        ("email", "john punkt smith at example punkt com"),
+        ("email", "john point smith arobase example point com"),
+        ("email", "john_at_example_dot_com"),
+        ("email", "john_smith_AT_mail_dot_example_DOT_com"),
+    ],
+)
+def test_disguises_of_unicode_and_of_four_languages(kind, part):
+    text = f"é, write to: {part} (soon)"
+    plain, every = pii.spans(text)
+    assert plain == [] and [s for s in every if s[0] == kind] == [(kind, text.index(part), text.index(part) + len(part))]
+
+
+def test_every_decimal_digit_and_no_usual_sign_is_taken_for_ascii():
+    import sys
+    import unicodedata
+
+    table = pii._homoglyphs()
+    for code in range(0x250, sys.maxunicode + 1):
+        digit = unicodedata.decimal(chr(code), None)
+        assert digit is None or table[code] == str(digit)
+    assert not any(chr(c) in "ªº²³¹éñßÀ" for c in table) and all(len(v) == 1 and v.isascii() for v in table.values())
+
+
 @pytest.mark.parametrize(
     "text",
-    ["the man at work is dot. at night dot com", "one two three go", "uno de dos", "", "see section 1 dot 2", "plus one more"],
+    ["en este punto com mucho, a un punto del centro", "à ce point de vue, un point com", "Punkt für Punkt at", "look_at_me and dot_com_at_all",
+     "1º de mayo, 10² m, nº 5 punto 3", "una arroba de trigo punto", "the man at work is dot. at night dot com", "one two three go", "uno de dos", "", "see section 1 dot 2", "plus one more"],
 )
 def test_prose_is_left_alone(text):
     assert pii.spans(text) == ([], []) and pii.masked(text) == text
@@ -96,6 +132,7 @@ def test_offsets_through_every_rewrite():
 
 def test_long_texts_take_linear_time():
     texts = ["1" * 200_000, "a" * 200_000, "a@" * 100_000, "+1 " * 70_000, "1.1.1." * 30_000, "one two " * 40_000]
+    texts += ["a_" * 100_000 + "at_b", "_at_" * 50_000, "a_at_b_dot_" * 20_000, " punto x arroba y" * 20_000, "é point " * 30_000]
     texts += ["a.b" * 70_000 + "@x.y", " at x dot " * 20_000, "1-" * 100_000, "0" * 200_000 + ".1.1.1"]
     started = time.time()
     for text in texts:
