@@ -159,21 +159,64 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = 20_000,
     )
 
 
-def _cut(content: bytes) -> Iterator[bytes]:
-    """Records of a whole file, by their lengths."""
-    at = 0
-    while at < len(content):
-        head = content.find(END.encode(), at)
-        if head < 0:
-            raise ValueError("a record without end of header")
-        length = next(
-            int(line.split(b":", 1)[1])
-            for line in content[at:head].split(LINE.encode())
-            if line.lower().startswith(b"content-length:")
-        )
-        end = head + len(END) + length
-        yield content[at:end]
-        at = end + len(END)
+class Cutter:
+    """Records of a file by their lengths, from its bytes piece by piece.
+
+    It holds what has come of one record, and raises an error where a file ends within one.
+    """
+
+    def __init__(self) -> None:
+        self.held, self.passed = bytearray(), 0
+
+    def add(self, data: bytes) -> Iterator[bytes]:
+        self.held += data
+        while True:
+            gone = min(self.passed, len(self.held))
+            del self.held[:gone]  # closing line ends of the record before
+            self.passed -= gone
+            head = -1 if self.passed else self.held.find(END.encode())
+            if head < 0:
+                return
+            lines = bytes(self.held[:head]).split(LINE.encode())
+            lengths = [line.split(b":", 1)[1] for line in lines if line.lower().startswith(b"content-length:")]
+            if not lengths:
+                raise ValueError("a record without its length")
+            end = head + len(END) + int(lengths[0])
+            if len(self.held) < end:
+                return
+            yield bytes(self.held[:end])
+            del self.held[:end]
+            self.passed = len(END)
+
+    def close(self) -> None:
+        if self.held.strip():
+            raise ValueError("a file that ends within a record")
+        self.held.clear()
+        self.passed = 0
+
+
+def _by_length(pieces: DataFrame, separator: str) -> DataFrame:
+    """(value, path): the records of files whose pieces do not fit their declared lengths.
+
+    The pieces of a file come to one task in their order, which glues them again, a record
+    at a time.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, at = Cutter(), None
+        for batch in batches:
+            for path, value in zip(batch.column("path").to_pylist(), batch.column("value"), strict=True):
+                if path != at and at is not None:
+                    cutter.close()
+                data = value.as_py() if path != at else separator.encode() + value.as_py()
+                at = path
+                for record in cutter.add(data):
+                    yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary()), pa.array([path])], names=["value", "path"])
+        cutter.close()
+
+    raw = pieces.select("path", "start", "at", F.col("value").cast("binary").alias("value"))
+    ordered = raw.repartition("path").sortWithinPartitions("path", "start", "at").select("path", "value")
+    return ordered.mapInArrow(cut, "value binary, path string")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -182,36 +225,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     The payload is the body of an HTTP message, else the content.
 
-    Files are split and read in parallel (compressed ones by one task each). Header names
+    Files are split and read in parallel (compressed ones by one task each). Where a payload
+    holds what looks like the beginning of a record, the pieces of its file are put in
+    order again and cut by the declared lengths, a record at a time. Header names
     are matched in any case, records of any type and order are returned, and an empty
     folder of archives gives no record. A file that is cut short raises an error.
     """
     # The separator has no repeated beginning: those are missed at the border of a buffer.
     separator = f"\n{VERSION}{LINE}"
     pieces = spark.read.option("lineSep", separator).text(path)
-    pieces = pieces.select("value", F.col("_metadata.file_path").alias("path"))
+    pieces = pieces.select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
     # Records still have their closing line ends, and the first of a file its version line.
     whole = _fields(pieces, F.when(F.startswith("value", F.lit(VERSION + LINE)), len(VERSION + LINE)).otherwise(0))
     broken = whole.where(~_complete()).select("path").distinct()
     names = [r.path for r in broken.limit(1).collect()]
     if not names:
         return _finished(whole)
-    by_length = spark.read.format("binaryFile").load(path).join(
-        broken.withColumnRenamed("path", "__path"), F.col("path") == F.col("__path"), "left_semi"
-    )
     good = _finished(whole.join(broken, "path", "left_anti"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
-        schema = pa.schema([("value", pa.binary()), ("path", pa.string())])
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                plain = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                for record in _cut(plain):
-                    yield pa.RecordBatch.from_arrays([pa.array([record]), pa.array([name])], schema=schema)
-
-    records = by_length.select("path", "content").mapInArrow(cut, "value binary, path string")
+    records = _by_length(pieces.join(broken, "path", "left_semi"), separator)
     again = _fields(records.select(F.col("value").cast("string").alias("value"), "path"), F.lit(len(VERSION + LINE)))
     return good.unionByName(_finished(again))
 
