@@ -98,6 +98,41 @@ def test_several_and_orphaned_records(spark):
     assert (got["gone"].response, got["gone"].metadata.record_id) == (None, "m")
 
 
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_a_page_that_holds_records_among_large_pages(spark, tmp_path, compression):
+    """Such a page comes back whole, whichever splits its pieces are in, and so do its neighbours."""
+    hostile = "before\n" + warc.VERSION + warc.LINE + "WARC-Type: response" + warc.END + "after\n" + warc.VERSION + warc.LINE
+    rows = [(i, "u", (hostile * 3 if i == 40 else f"{i} ") * (1 if i == 40 else 20_000)) for i in range(80)]
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), path, compression=compression)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        found = digests(warc.read_records(spark, path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {i: r.payload_digest for i, r in found.items()} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
+
+
+def test_cutting_holds_one_record_at_a_time():
+    head = "WARC/1.1\r\nContent-Length: {}\r\n\r\n"
+    records = [(head.format(n) + "x" * n).encode() for n in (100_000, 0, 5, 100_000, 99_999) * 20]
+    data = b"".join(r + b"\r\n\r\n" for r in records)
+    for size in (7_001, 50_000, 300_000):
+        cutter, found, most = warc.Cutter(), [], 0
+        for at in range(0, len(data), size):
+            for record in cutter.add(data[at : at + size]):
+                found.append(record)
+            most = max(most, len(cutter.held))
+        cutter.close()
+        assert found == records and most < 100_100
+    cutter = warc.Cutter()
+    assert list(cutter.add(data[:50_000])) == []
+    with pytest.raises(ValueError, match="ends within"):
+        cutter.close()
+    with pytest.raises(ValueError, match="without its length"):
+        list(warc.Cutter().add(b"WARC/1.1\r\nX: 1\r\n\r\n"))
+
+
 def test_foreign_archive_of_single_members(spark, tmp_path):
     body = b"HTTP/1.1 200 OK\r\n\r\n\x00\xff\xfe binary"
     head = b"WARC/1.1\r\nwarc-type: response\r\nWARC-Record-ID: <a>\r\nContent-Type: application/http\r\ncontent-length: %d\r\n\r\n" % len(body)
