@@ -151,3 +151,10 @@ def test_empty_tables(spark):
 def test_a_very_long_text():
     text = "word " * 50_000 + "end"
     assert simhash.fingerprint(text, 3) & ((1 << 64) - 1) == brute_print(text)
+
+
+def test_very_long_texts_through_spark(spark):
+    text = " ".join(f"w{k * k % 9973}" for k in range(250_000))
+    got = by_id(simhash.near_duplicates(documents(spark, [(3, text), (2, text.upper()), (1, text[: len(text) // 2]), (4, "short")])))
+    assert got[3].fingerprint == f"{brute_print(text):016x}" and got[3].component_id == got[2].component_id
+    assert simhash.drop_near_duplicates(documents(spark, [(3, text), (2, text)])).collect()[0].text == text

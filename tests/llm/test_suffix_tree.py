@@ -86,3 +86,11 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     held = [i for i in range(200) if __import__("zlib").crc32(str(i).encode()) % 10 == 0][:2]
     rows = scored(documents(spark, [(held[0], "some words"), (held[1], None)])).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in rows) == [(1, 0, 0), (3, 0, 0)]
+
+
+def test_a_very_long_text_through_spark(spark):
+    text = "some Words of a long text " * 60_000
+    found = {r.doc_id: r for r in scored(documents(spark, [(k, "some words") for k in range(20)] + [(100, text)])).collect()}
+    long = found[100]
+    assert (long.n_tokens, long.n_known if not long.held_out else long.n_tokens) == (6 * 60_000 + 1, 6 * 60_000 + 1)
+    assert np.isfinite(long.score) and long.score < long.n_tokens * -0.0 and np.isfinite(long.base_score)

@@ -77,3 +77,10 @@ def test_missing_and_repeated_labels_and_empty_tables(spark):
     empty = documents(spark, [])
     assert toxicity.score(empty, toxicity.learn(empty, none)).collect() == []
     assert by_id(toxicity.score(docs, toxicity.learn(docs, none)))[2].score == 0.5
+
+
+def test_a_very_long_text_through_spark(spark):
+    machine = toxicity.Machine(np.sort(np.array(toxicity.terms("bad"), np.int64)), -2.0, np.array([5.0]), np.zeros((1, 4)))
+    rows = [(1, "word and more of it " * 80_000 + "bad"), (2, "word " * 400_000)]
+    got = by_id(toxicity.score(documents(spark, rows), machine))
+    assert got[1].score == machine(rows[0][1]) > 0.9 and got[1].predicted == 1 and got[2].predicted == 0
