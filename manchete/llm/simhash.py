@@ -167,9 +167,14 @@ def drop_near_duplicates(
     # Rows without id are chosen only where there is no other.
     best = known.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "fp")).alias("best"))
     chosen = best.select(F.col("best.first").alias("first"), F.col("best.fp").alias("print"))
-    kept = rows.join(chosen, (F.col("fp") == F.col("print")) & F.col(place[id]).eqNullSafe(F.col("first")), "left_semi")
+    times = rows.groupBy(F.col(place[id]).alias("__id"), F.col("fp").alias("__fp")).agg(F.count("*").alias("times"))
+    same = (F.col("__fp") == F.col("print")) & F.col("__id").eqNullSafe(F.col("first"))
+    counted = chosen.join(times, same).select("first", "print", "times")
+    kept = rows.join(counted, (F.col("fp") == F.col("print")) & F.col(place[id]).eqNullSafe(F.col("first")))
+    # Only rows that repeat are shuffled once more.
     content = [F.col(n) for n in place.values()]
-    one = kept.groupBy(F.col("fp").alias("__fp"), F.col(place[id]).alias("__id")).agg(
+    one = kept.where("times > 1").groupBy("print", "first").agg(
         F.min_by(F.struct(*content), F.xxhash64(*content)).alias("row")
     )
-    return one.select(*[F.col("row")[n].alias(c) for c, n in place.items()])
+    result = kept.where("times = 1").select(*content).unionByName(one.select("row.*"))
+    return result.select(*[F.col(n).alias(c) for c, n in place.items()])
