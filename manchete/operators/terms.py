@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,11 +11,17 @@ from pyspark.sql import functions as F
 from manchete import schema as S
 from manchete.functions.literals import text_array
 from manchete.functions.text import long_words, portuguese_stop_words, split_tags, without_stop_words
+from manchete.operators.ngram_counts import (
+    SIZES as _SIZES,
+    Ngrams,
+    buckets_of_numbers,
+    buckets_of_sections,
+    count_by_buckets,
+    last_ranked,
+)
 from manchete.operators.ranking import top_by_frequency, with_ties
 from manchete.workspace import materialise
 
-# Sections are numbered field by field, words before bigrams before trigrams.
-_SIZES = (1, 2, 3)
 _TAG_SECTION = len(S.TEXT_FIELDS) * len(_SIZES) + 1
 
 # Counters of a task's summary of a section, and how many terms are then counted exactly.
@@ -107,15 +114,13 @@ def _counted(terms: DataFrame) -> DataFrame:
 Terms = Callable[[Callable[[DataFrame], DataFrame]], DataFrame]
 
 
-def _rank(terms_of: Terms, row_id: str, limit: int, two_pass: bool = False) -> DataFrame:
-    """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent terms.
+def _rank(counted: DataFrame, terms_of: Terms, row_id: str, limit: int) -> DataFrame:
+    """``(secao, posicao, tipo, termo, frequencia)`` of the most frequent of the counted terms.
 
-    Counting keeps the first row of a term only. Where terms that can make the ranking are
+    Counts come with the first row of a term only. Where terms that can make the ranking are
     equal in both, their places in that row decide, and only those rows are cut into terms
     again.
     """
-    terms = terms_of(lambda df: df)
-    counted = count_frequent(terms, limit) if two_pass else _counted(terms)
     candidates = materialise(with_ties(counted, "secao", limit))
     same = Window.partitionBy("secao", "frequencia", "primeira")
     tied = candidates.withColumn("iguais", F.count("*").over(same)).where("iguais > 1")
@@ -152,8 +157,26 @@ def frequent_items(terms: DataFrame, tracked: int, candidates: int) -> tuple[Dat
     return best, others
 
 
+class Counting(NamedTuple):
+    """Exact counts of the terms of ``(secao, termo)``, and of all terms of some sections."""
+
+    chosen: Callable[[DataFrame], DataFrame]
+    sections: Callable[[list[int]], DataFrame]
+
+
+def _counting(terms: DataFrame) -> Counting:
+    return Counting(
+        lambda chosen: _counted(terms.join(F.broadcast(chosen), ["secao", "termo"], "left_semi")),
+        lambda sections: _counted(terms.where(F.col("secao").isin(sections))),
+    )
+
+
 def count_frequent(
-    terms: DataFrame, limit: int, tracked: int = _TRACKED, candidates: int = _CANDIDATES
+    terms: DataFrame,
+    limit: int,
+    tracked: int = _TRACKED,
+    candidates: int = _CANDIDATES,
+    counting: Counting | None = None,
 ) -> DataFrame:
     """Exact counts of enough terms to contain the ``limit`` most frequent of each section.
 
@@ -164,21 +187,37 @@ def count_frequent(
     pass counts only the ``candidates`` largest exactly. A section is settled if its last
     ranked term beats what any other term can be; sections that are not settled are counted
     in full. Runs these passes as jobs; their results go to the shared working folder.
+
+    ``terms`` may hold numbers that several terms share, if ``counting`` counts the terms
+    themselves: all those that have a given number.
     """
+    counting = counting or _counting(terms)
     candidates = max(candidates, 4 * limit)
     tracked = max(tracked, candidates)
     if tracked > _MOST_TRACKED:
-        return _counted(terms)
+        return counting.sections(list(section_labels()))
     best, others = frequent_items(terms, tracked, candidates)
-    chosen = F.broadcast(best.select("secao", F.explode("melhores.item").alias("termo")))
-    counted = materialise(_counted(terms.join(chosen, ["secao", "termo"], "left_semi")))
-    last = top_by_frequency(counted, "secao", limit).where(F.col("posicao") == limit)
-    ranked = dict(last.select("secao", "frequencia").collect())
+    counted = materialise(counting.chosen(best.select("secao", F.explode("melhores.item").alias("termo"))))
+    ranked = last_ranked(counted, limit)
     again = [section for section, bound in others.items() if bound and ranked.get(section, 0) <= bound]
     if not again:
         return counted
-    in_full = _counted(terms.where(F.col("secao").isin(again)))
-    return counted.where(~F.col("secao").isin(again)).unionByName(in_full)
+    return counted.where(~F.col("secao").isin(again)).unionByName(counting.sections(again))
+
+
+def count_ngrams(ngrams: Ngrams, limit: int, two_pass: bool = False) -> DataFrame:
+    """Exact counts that contain the ``limit`` most frequent n-grams of each section.
+
+    What is worth counting term by term is told by sums over buckets, or in ``two_pass``
+    mode by summaries of frequent items.
+    """
+    if not two_pass:
+        return count_by_buckets(ngrams, limit)
+    by_words = Counting(
+        lambda chosen: ngrams.counted(buckets_of_numbers(chosen)),
+        lambda sections: ngrams.counted(buckets_of_sections(sections)),
+    )
+    return count_frequent(ngrams.numbers(), limit, counting=by_words)
 
 
 def top_ngrams(
@@ -193,8 +232,8 @@ def top_ngrams(
     """Most frequent n-grams per field and size, all of them in one pass over the texts.
 
     Ties keep the order of first appearance, for which ``row_id`` must grow with the
-    order of the articles. ``two_pass`` gives the same result with far less data
-    shuffled and the texts read twice (see :func:`count_frequent`).
+    order of the articles. ``two_pass`` gives the same result by another first pass
+    (see :func:`count_ngrams`).
     """
     stop = portuguese_stop_words() if stop_words is None else list(stop_words)
     present = _present(df, fields)
@@ -202,12 +241,13 @@ def top_ngrams(
     def terms_of(rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
         return _ngrams(stack_texts(rows(df), present, row_id), stop, tuple(sizes))
 
-    return _rank(terms_of, row_id, limit, two_pass)
+    ngrams = Ngrams(stack_texts(df, present, row_id), stop, tuple(sizes))
+    return _rank(count_ngrams(ngrams, limit, two_pass), terms_of, row_id, limit)
 
 
 def top_tags(df: DataFrame, limit: int = S.TOP_TERMS, row_id: str = "row_id") -> DataFrame:
     """Most frequent tags; twenty of them are what the tag chart shows."""
-    return _rank(lambda rows: _tags(rows(df), row_id), row_id, limit)
+    return _rank(_counted(_tags(df, row_id)), lambda rows: _tags(rows(df), row_id), row_id, limit)
 
 
 def term_stats(
@@ -232,8 +272,12 @@ def term_stats(
         terms = _ngrams(stack_texts(read, fields, row_id), stop, _SIZES)
         return terms.unionByName(_tags(read, row_id)) if "tags_noticia" in df.columns else terms
 
+    counted = count_ngrams(Ngrams(stack_texts(df, fields, row_id), stop, _SIZES), limit, two_pass)
+    if "tags_noticia" in df.columns:
+        tags = _tags(df, row_id)
+        counted = counted.unionByName(count_frequent(tags, limit) if two_pass else _counted(tags))
     return (
-        _rank(terms_of, row_id, limit, two_pass)
+        _rank(counted, terms_of, row_id, limit)
         .orderBy("secao", "posicao")
         .select(
             F.col("tipo").alias("Tipo de Análise"),
