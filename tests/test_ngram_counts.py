@@ -105,3 +105,26 @@ def test_full_buckets_of_rare_terms_do_not_hide_frequent_ones(spark, odd, monkey
     wanted = terms.with_ties(terms._counted(terms._ngrams(texts, STOP, (1, 2, 3))), "secao", 3)
     got = terms.with_ties(count_by_buckets(Ngrams(texts, STOP, (1, 2, 3)), 3, 1), "secao", 3)
     assert rows(got) == rows(wanted)
+
+
+@pytest.mark.parametrize("two_pass", [False, True])
+def test_text_ids_and_missing_texts(spark, two_pass):
+    df = spark.createDataFrame([("é", "novo velho"), ("z", "velho novo"), ("a", None), (None, "outro novo")], "link string, titulo string")
+    got = terms.top_ngrams(df, sizes=(1,), row_id="link", stop_words=[], two_pass=two_pass).orderBy("posicao").collect()
+    assert [(r.termo, r.frequencia) for r in got] == [("novo", 3), ("velho", 2), ("outro", 1)]
+    none = terms.top_ngrams(df.limit(0), row_id="link", two_pass=two_pass)
+    assert none.collect() == []
+
+
+def test_both_modes_rank_the_same(spark, odd):
+    stop = portuguese_stop_words()
+    first = [tuple(r) for r in terms.term_stats(odd, limit=7, stop_words=stop).collect()]
+    assert first == [tuple(r) for r in terms.term_stats(odd, limit=7, stop_words=stop, two_pass=True).collect()]
+    assert len({r[0] for r in first}) == 9
+
+
+def test_two_passes_shuffle_few_terms(spark):
+    texts = terms.stack_texts(frequent(spark), FIELDS, "row_id")
+    found = terms.count_ngrams(Ngrams(texts, [], (1, 2, 3)), 2, two_pass=True).collect()
+    assert len(found) < 80_000
+    assert {r.termo for r in found if r.frequencia == 1500} == {"galo", "doido", "vai", "bem", "galo doido", "vai bem"}
