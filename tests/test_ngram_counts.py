@@ -128,3 +128,24 @@ def test_two_passes_shuffle_few_terms(spark):
     found = terms.count_ngrams(Ngrams(texts, [], (1, 2, 3)), 2, two_pass=True).collect()
     assert len(found) < 80_000
     assert {r.termo for r in found if r.frequencia == 1500} == {"galo", "doido", "vai", "bem", "galo doido", "vai bem"}
+
+
+def test_without_a_subtitle_few_terms_are_counted(spark, monkeypatch):
+    """The term table without subtitles, from counts of a few of 140,000 terms."""
+    seen = []
+    rank = terms._rank
+    monkeypatch.setattr(terms, "_rank", lambda counted, *a: seen.append(counted.count()) or rank(counted, *a))
+    df = frequent(spark).drop("subtitulo").withColumn("titulo", F.lit("vai bem"))
+    got = [tuple(r) for r in terms.term_stats(df, limit=2, stop_words=[]).collect()]
+    assert seen[0] < 10_000
+    assert got == [
+        ("Palavras - Títulos", "vai", 1500),
+        ("Palavras - Títulos", "bem", 1500),
+        ("Bigrams - Títulos", "vai bem", 1500),
+        ("Palavras - Texto Completo", "vai", 1500),
+        ("Palavras - Texto Completo", "bem", 1500),
+        ("Bigrams - Texto Completo", "vai bem", 1500),
+        ("Bigrams - Texto Completo", "galo doido", 1500),
+        ("Trigrams - Texto Completo", "galo doido vai", 1000),
+        ("Trigrams - Texto Completo", "doido vai bem", 1000),
+    ]
