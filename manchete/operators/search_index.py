@@ -1,8 +1,8 @@
 """A trigram index over the texts of articles, for many searches in the same corpus.
 
 The index is a folder of four tables: the articles in blocks of consecutive row ids, the
-postings (trigram, row id) sorted by trigram, how many rows hold each trigram, and the
-block size. A search reads the counts of the term's trigrams, intersects the postings of the
+postings (trigram, row ids of a chunk of texts) sorted by trigram, how many rows hold each
+trigram, and the block size. A search reads the counts of the term's trigrams, intersects the postings of the
 rarest of them, and verifies the term in the blocks that are left. It finds exactly what
 :func:`manchete.operators.selection.search_articles` finds by reading everything.
 """
@@ -10,7 +10,10 @@ rarest of them, and verifies the term in the blocks that are left. It finds exac
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,8 @@ BLOCK_ROWS = 4096
 _RAREST = 4
 #: Tasks that share the postings of a trigram, or the rows without id.
 _SHARES = 8
+#: Characters whose trigrams are made at a time; a longer text is a chunk by itself.
+_CHUNK_CHARS = 1_000_000
 #: Blocks that a search names to the scan; where more are left, all are read.
 _NAMED_BLOCKS = 10_000
 
@@ -38,6 +43,70 @@ def trigrams(text: Column) -> Column:
     )
 
 
+def _postings(texts: list[tuple[str, ...]], rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``(trigrama, linhas)``: the trigrams of rows of texts in lower case, each with the rows that hold it."""
+    cells = [cell for row in texts for cell in row]
+    points = np.frombuffer("".join(cells).encode("utf-32-le", "surrogatepass"), np.uint32)
+    known = np.zeros(0x110000, bool)
+    known[points] = True
+    alphabet = np.flatnonzero(known)
+    if len(texts) > 1 and len(alphabet) ** 3 * len(texts) >= 1 << 63:  # numbers of trigrams and rows would not fit
+        half = len(texts) // 2
+        yield from _postings(texts[:half], rows[:half])
+        yield from _postings(texts[half:], rows[half:])
+        return
+    places = np.zeros(0x110000, np.int64)
+    places[alphabet] = np.arange(len(alphabet))
+    signs, many = places[points], len(alphabet)
+    # No trigram begins in the last two characters of a text.
+    sizes = np.array([len(c) for c in cells], np.int64)
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    begins = np.flatnonzero(place < np.repeat(sizes, sizes) - 2)
+    row = np.repeat(np.arange(len(texts)), sizes.reshape(len(texts), -1).sum(axis=1))
+    numbers = (signs[begins] * many + signs[begins + 1]) * many + signs[begins + 2]
+    pairs = np.unique(numbers * len(texts) + row[begins])
+    if not len(pairs):
+        return
+    numbers, row = pairs // len(texts), pairs % len(texts)
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    found = numbers[starts]
+    signs = np.stack([alphabet[found // many**2], alphabet[found // many % many], alphabet[found % many]], axis=1)
+    spelled = signs.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    yield pa.RecordBatch.from_pydict(
+        {
+            "trigrama": pa.array([spelled[k : k + 3] for k in range(0, len(spelled), 3)], pa.string()),
+            "linhas": pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(rows[row], pa.int64())),
+        }
+    )
+
+
+def postings(articles: DataFrame, fields: list[str], row_id: str, chunk_chars: int = _CHUNK_CHARS) -> DataFrame:
+    """``(trigrama, linhas)`` of the text columns; a trigram has a row for each chunk of texts that holds it.
+
+    The same trigrams as :func:`trigrams` makes, whatever the number of fields they are in.
+    """
+
+    def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            columns = [[(t or b"").decode("utf-8", "replace") for t in c.to_pylist()] for c in batch.columns[1:]]
+            texts = list(zip(*columns))
+            begin, size = 0, 0
+            for k, row in enumerate(texts):
+                more = sum(map(len, row))
+                if size and size + more > chunk_chars:
+                    yield from _postings(texts[begin:k], rows[begin:k])
+                    begin, size = k, 0
+                size += more
+            if begin < len(texts):
+                yield from _postings(texts[begin:], rows[begin:])
+
+    lowered = articles.where(F.col(row_id).isNotNull()).select(
+        F.col(row_id).cast("long"), *(F.lower(F.col(c)).cast("binary") for c in fields)
+    )
+    return lowered.mapInArrow(of_chunks, "trigrama string, linhas array<long>")
+
+
 def _block(row_id: str, block_rows: int) -> Column:
     return F.floor(F.col(row_id) / F.lit(block_rows)).cast("long")
 
@@ -49,9 +118,10 @@ def _share(number: Column) -> Column:
 def write_search_index(articles: DataFrame, path: str, row_id: str = "row_id", block_rows: int = BLOCK_ROWS) -> None:
     """Write the index of the text columns that the table has; ``row_id`` is an integer.
 
-    Every task makes the trigrams of its rows. Postings are dealt by trigram, each to a few
-    tasks in case most rows hold it, and sorted, so that a search reads few pages of a
-    file. Rows without id are in a block of their own, which every search reads.
+    Every task makes the trigrams of its rows, chunk by chunk, each with a list of the rows of
+    the chunk that hold it. Lists are dealt by trigram, each to a few tasks in case most
+    rows hold it, and sorted, so that a search reads few pages of a file. Rows without id are
+    in a block of their own, which every search reads.
     """
     fields = [c for c, _ in S.TEXT_FIELDS if c in articles.columns]
     if not fields:
@@ -62,12 +132,11 @@ def write_search_index(articles: DataFrame, path: str, row_id: str = "row_id", b
         f"{path}/{_ARTICLES}"
     )
     stored = articles.sparkSession.read.schema(articles.schema).parquet(f"{path}/{_ARTICLES}")
-    texts = F.array_distinct(F.flatten(F.array(*[F.coalesce(trigrams(F.col(c)), F.array()) for c in fields])))
-    found = stored.where(F.col(row_id).isNotNull()).select(F.col(row_id).alias("linha"), F.explode(texts).alias("trigrama"))
-    postings = found.repartition("trigrama", _share(F.xxhash64("linha"))).sortWithinPartitions("trigrama", "linha")
-    postings.select("trigrama", "linha").write.parquet(f"{path}/{_POSTINGS}")
+    found = postings(stored, fields, row_id)
+    dealt = found.repartition("trigrama", _share(F.xxhash64("linhas"))).sortWithinPartitions("trigrama")
+    dealt.write.parquet(f"{path}/{_POSTINGS}")
     written = articles.sparkSession.read.parquet(f"{path}/{_POSTINGS}")
-    counts = written.groupBy("trigrama").agg(F.count("*").alias("linhas"))
+    counts = written.groupBy("trigrama").agg(F.sum(F.size("linhas")).alias("linhas"))
     counts.sortWithinPartitions("trigrama").write.parquet(f"{path}/{_COUNTS}")
     settings = [(row_id, block_rows, articles.schema.json())]
     articles.sparkSession.createDataFrame(settings, "linha string, bloco long, esquema string").coalesce(1).write.parquet(
@@ -83,10 +152,11 @@ def candidate_rows(spark: SparkSession, path: str, term: str) -> DataFrame | Non
     counts = spark.read.parquet(f"{path}/{_COUNTS}").where(F.col("trigrama").isin(wanted))
     known = {r["trigrama"]: r["linhas"] for r in counts.collect()}  # a row for each trigram of the term at most
     rarest = sorted(wanted, key=lambda t: (known.get(t, 0), t))[:_RAREST]
-    postings = spark.read.parquet(f"{path}/{_POSTINGS}").where(F.col("trigrama").isin(rarest))
+    lists = spark.read.parquet(f"{path}/{_POSTINGS}").where(F.col("trigrama").isin(rarest))
+    lines = lists.select("trigrama", F.explode("linhas").alias("linha"))
     if len(known) < len(wanted):  # a trigram that no row holds
-        return postings.select("linha").limit(0)
-    return postings.groupBy("linha").count().where(F.col("count") == len(rarest)).select("linha")
+        return lines.select("linha").limit(0)
+    return lines.groupBy("linha").count().where(F.col("count") == len(rarest)).select("linha")
 
 
 def search_index(spark: SparkSession, path: str, term: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from manchete.operators.search_index import candidate_rows, search_index, trigrams, write_search_index
+from manchete.operators.search_index import _postings, candidate_rows, postings, search_index, trigrams, write_search_index
 from manchete.operators.selection import search_articles
 
 COLUMNS = "row_id long, titulo string, subtitulo string, texto_completo string, nome_reporter string"
@@ -68,3 +69,38 @@ def test_empty_table_and_no_text_column(spark, corpus, tmp_path):
     assert search_index(spark, str(tmp_path / "e"), "g").columns == corpus.columns
     with pytest.raises(ValueError, match="no text column"):
         write_search_index(corpus.select("row_id", "nome_reporter"), str(tmp_path / "n"))
+
+
+def brute_postings(rows):
+    return sorted((t, k) for k, texts in rows for t in {x.lower()[i : i + 3] for x in texts if x for i in range(len(x.lower()) - 2)})
+
+
+@pytest.mark.parametrize("chunk_chars", [1, 60, 1_000_000])
+def test_postings_hold_every_trigram_of_every_row_once(spark, chunk_chars):
+    rng = random.Random(3)
+    signs = "abAÉ \n\x00日\U0001f642%"
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choice(signs) for _ in range(rng.randrange(12)))
+    rows = [(k * 7 - 40, text(), text()) for k in range(60)] + [(2**60, "aaaa", "aaa"), (2**61, None, None), (2**62, "", "ab")]
+    df = spark.createDataFrame([*rows, (None, "abc", "abc")], "n long, titulo string, texto_completo string").repartition(2)
+    lists = postings(df, ["titulo", "texto_completo"], "n", chunk_chars).collect()
+    got = [(r.trigrama, k) for r in lists for k in r.linhas]
+    assert sorted(got) == brute_postings([(k, texts) for k, *texts in rows])
+
+
+def test_a_chunk_has_one_list_a_trigram(spark, tmp_path):
+    """Far fewer rows are dealt and sorted than there are pairs of trigram and article."""
+    df = spark.createDataFrame([(k, "muitas vezes a mesma coisa") for k in range(500)], "row_id long, titulo string").coalesce(1)
+    write_search_index(df, str(tmp_path / "l"), block_rows=1000)
+    stored = spark.read.parquet(str(tmp_path / "l" / "ocorrencias"))
+    assert stored.count() == 24
+    assert {r.linhas for r in spark.read.parquet(str(tmp_path / "l" / "frequencias")).collect()} == {500}
+    assert search_index(spark, str(tmp_path / "l"), "MESMA").count() == 500
+
+
+def test_very_many_different_characters():
+    """Numbers of trigrams and rows that 63 bits cannot hold: the rows are halved."""
+    everything = "".join(chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000)
+    found = [(t, k) for batch in _postings([(everything,), ("abc",)] * 5, np.arange(10)) for t, rows in zip(*(c.to_pylist() for c in batch.columns)) for k in rows if t in ("abc", "\U0010fffd\U0010fffe\U0010ffff")]
+    assert sorted(found) == sorted([("abc", k) for k in range(10)] + [("\U0010fffd\U0010fffe\U0010ffff", k) for k in range(0, 10, 2)])
+    assert list(_postings([("",), ("ab",)], np.arange(2))) == []
+    assert list(_postings([("",)], np.arange(1))) == []
