@@ -9,6 +9,8 @@ from manchete import schema as S
 from manchete.functions.text import portuguese_stop_words
 from manchete.operators import ngram_counts, terms
 from manchete.operators.ngram_counts import Ngrams, buckets_of_sections, count_by_buckets, cut_words
+from manchete.sinks.csv_tables import write_term_stats
+from manchete.sources.news_csv import CSV_OPTIONS
 
 STOP = ["uma", "tempo", "de", "DIA", "x y z"]
 FIELDS = [(0, "titulo"), (1, "subtitulo"), (2, "texto_completo")]
@@ -149,3 +151,20 @@ def test_without_a_subtitle_few_terms_are_counted(spark, monkeypatch):
         ("Trigrams - Texto Completo", "galo doido vai", 1000),
         ("Trigrams - Texto Completo", "doido vai bem", 1000),
     ]
+
+
+def test_written_statistics_come_from_few_counts(spark, tmp_path, monkeypatch):
+    """The term table as CSV, from counts of a few of 140,000 terms."""
+    seen = []
+    rank = terms._rank
+    monkeypatch.setattr(terms, "_rank", lambda counted, *a: seen.append(counted.count()) or rank(counted, *a))
+    df = frequent(spark).withColumn("tags_noticia", F.when(F.col("row_id") < 3, "Galo, Minas"))
+    write_term_stats(terms.term_stats(df, limit=1, stop_words=[]), str(tmp_path / "e"))
+    back = spark.read.options(**CSV_OPTIONS).schema("secao string, termo string, vezes long").csv(str(tmp_path / "e"))
+    assert seen[0] < 10_000
+    assert [tuple(r) for r in back.collect()] == [
+        ("Palavras - Texto Completo", "vai", 1500),
+        ("Bigrams - Texto Completo", "vai bem", 1500),
+        ("Trigrams - Texto Completo", "galo doido vai", 1000),
+        ("Tags Mais Frequentes", "Galo", 3),
+    ]
